@@ -16,18 +16,23 @@ def _one_month():
 
 
 def spine_bounds(customers: DataFrame, subs: DataFrame, events: DataFrame) -> tuple[Column, Column]:
-    """(first month, last month) of the calendar.
+    """(first month, last month) of the calendar, as one scalar subquery.
 
     First = month of the earliest signup; last = month of the latest date seen
-    anywhere (end, start, event and signup dates). ``greatest`` skips NULLs, as
-    MAX over a UNION ALL of the four columns would.
+    anywhere (end, start, event and signup dates). One aggregate over a union of
+    the date columns (``greatest`` and ``max`` skip NULLs, as MAX over a UNION ALL
+    does). Subscriptions and events may be passed *before* deduplication: the
+    extremes of a column do not change when duplicate rows collapse.
     """
-    lo = customers.agg(month_start(F.min("signup_date"))).scalar()
-    hi_subs = subs.agg(F.greatest(F.max("end_date"), F.max("start_date"))).scalar()
-    hi_events = events.agg(F.max("event_date")).scalar()
-    hi_customers = customers.agg(F.max("signup_date")).scalar()
-    hi = month_start(F.greatest(hi_subs, hi_events, hi_customers))
-    return lo, hi
+    d = (
+        customers.select(F.col("signup_date").alias("lo_d"), F.col("signup_date").alias("hi_d"))
+        .unionByName(
+            subs.select(F.lit(None).cast("date").alias("lo_d"), F.greatest("end_date", "start_date").alias("hi_d"))
+        )
+        .unionByName(events.select(F.lit(None).cast("date").alias("lo_d"), F.col("event_date").alias("hi_d")))
+    )
+    b = d.agg(F.struct(month_start(F.min("lo_d")).alias("lo"), month_start(F.max("hi_d")).alias("hi"))).scalar()
+    return b.getField("lo"), b.getField("hi")
 
 
 def month_spine(customers: DataFrame, subs: DataFrame, events: DataFrame) -> DataFrame:
@@ -36,13 +41,30 @@ def month_spine(customers: DataFrame, subs: DataFrame, events: DataFrame) -> Dat
     Generated by ``sequence`` from a one-row aggregate of the customers table
     (never a recursive CTE: Spark caps recursion depth at 100 levels).
     """
-    _, hi = spine_bounds(customers, subs, events)
-    first = customers.agg(month_start(F.min("signup_date")).alias("lo"))
-    return first.select(F.explode(F.sequence(F.col("lo"), hi, _one_month())).alias("month_start")).select(
+    lo, hi = spine_bounds(customers, subs, events)
+    first = customers.agg(F.count(F.lit(1)).alias("_n"))
+    return first.select(F.explode(F.sequence(lo, hi, _one_month())).alias("month_start")).select(
         "month_start", F.last_day("month_start").alias("month_end")
     )
 
 
+def active_spans(subs: DataFrame, lo: Column, hi: Column, status: str = "active") -> DataFrame:
+    """Each subscription's run of active months as one row: (..., _f, _l), first and last
+    spine month at whose last day it is active; subscriptions never active are dropped.
+
+    Active at month M means ``start <= last_day(M)`` and (``end`` is NULL or
+    ``end > last_day(M)``), i.e. ``trunc(start) <= M <= trunc(end) - 1 month``.
+    """
+    start_m = month_start("start_date")
+    first = F.greatest(start_m, lo)
+    last = F.when(F.col("end_date").isNull(), hi).otherwise(
+        F.least(hi, F.add_months(month_start("end_date"), -1))
+    )
+    s = subs.filter((F.col("status") == status) & F.col("start_date").isNotNull())
+    s = s.select("subscription_id", "customer_id", "monthly_price", first.alias("_f"), last.alias("_l"))
+    return s.filter(F.col("_f") <= F.col("_l"))
+
+
 def active_subscription_months(
     subs: DataFrame, lo: Column, hi: Column, status: str = "active"
 ) -> DataFrame:
@@ -54,14 +76,8 @@ def active_subscription_months(
     expands to a contiguous run of months clipped to the spine: a per-row
     generator, with no join and no shuffle, instead of months x subscriptions.
     """
-    start_m = month_start("start_date")
-    first = F.greatest(start_m, lo)
-    last = F.when(F.col("end_date").isNull(), hi).otherwise(
-        F.least(hi, F.add_months(month_start("end_date"), -1))
-    )
-    s = subs.filter((F.col("status") == status) & F.col("start_date").isNotNull())
-    s = s.select("subscription_id", "customer_id", "monthly_price", first.alias("_f"), last.alias("_l"))
-    return s.filter(F.col("_f") <= F.col("_l")).select(
+    s = active_spans(subs, lo, hi, status)
+    return s.select(
         F.explode(F.sequence("_f", "_l", _one_month())).alias("month_start"),
         "subscription_id",
         "customer_id",

@@ -13,41 +13,128 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.schemas import MONEY, RATE
-from .calendar import active_subscription_months, spine_bounds
+from .calendar import active_spans, spine_bounds
 from .cleaning import ACTIVE, CANCELED, CHURNED
 
 CELL = ["month_start", "segment", "country", "source"]
 DIM_COLS = ["customer_id", "segment", "country", "source"]
 
 
+# --- revenue: deltas and running sums instead of month x subscription rows ------------
+#
+# A subscription active from month f to month l adds +price at f and -price at
+# l + 1 month. Summing those deltas per (customer, month) - a map-side combinable
+# aggregate, so a customer owning millions of subscriptions still ships at most
+# one row per delta month from each task - and running them forward per customer
+# gives the customer's active-subscription count and MRR in every month, as a few
+# constant *segments*. Segments then become +1/+mrr and -1/-mrr deltas per cell,
+# whose running sums give the cell's active customers and MRR. Every window is
+# partitioned by one customer or one cell and holds at most one row per calendar
+# month. Work is O(subscriptions + cells x months): no subscription is ever
+# expanded into its months.
+
+
+def _running(w: Window):
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def customer_deltas(subs: DataFrame, lo, hi) -> DataFrame:
+    """(customer_id, month_start, dn, dp): change in active subscriptions and MRR."""
+    s = active_spans(subs, lo, hi, status=ACTIVE)
+    price = F.coalesce(F.col("monthly_price"), F.lit(0).cast("decimal(10,2)"))
+    ev = F.explode(
+        F.array(
+            F.struct(F.col("_f").alias("m"), F.lit(1).alias("dn"), price.alias("dp")),
+            F.struct(F.add_months("_l", 1).alias("m"), F.lit(-1).alias("dn"), (-price).alias("dp")),
+        )
+    )
+    d = s.select("customer_id", ev.alias("e")).select("customer_id", "e.*").filter(F.col("m") <= hi)
+    return d.groupBy("customer_id", F.col("m").alias("month_start")).agg(
+        F.sum("dn").alias("dn"), F.sum("dp").alias("dp")
+    )
+
+
+def customer_segments(deltas: DataFrame, hi) -> DataFrame:
+    """(customer_id, seg_start, seg_end, mrr): maximal runs of months with >= 1 active subscription
+    and constant MRR (adjacent runs may share values)."""
+    w = Window.partitionBy("customer_id").orderBy("month_start")
+    run = deltas.select(
+        "customer_id",
+        "month_start",
+        F.sum("dn").over(_running(w)).alias("n"),
+        F.sum("dp").over(_running(w)).alias("mrr"),
+        F.lead("month_start").over(w).alias("next_start"),
+    )
+    return run.filter(F.col("n") > 0).select(
+        "customer_id",
+        F.col("month_start").alias("seg_start"),
+        F.coalesce(F.add_months("next_start", -1), hi).alias("seg_end"),
+        "mrr",
+    )
+
+
+def customer_segments_of(subs: DataFrame, lo, hi) -> DataFrame:
+    return customer_segments(customer_deltas(subs, lo, hi), hi)
+
+
 def customer_month_revenue(subs: DataFrame, lo, hi) -> DataFrame:
-    """(customer_id, month_start, mrr): price summed over the customer's active subscriptions."""
-    sm = active_subscription_months(subs, lo, hi, status=ACTIVE)
-    return sm.groupBy("customer_id", "month_start").agg(F.sum("monthly_price").alias("mrr"))
+    """(customer_id, month_start, mrr) for every month a customer is active (output-sized)."""
+    seg = customer_segments_of(subs, lo, hi)
+    return seg.select(
+        "customer_id", F.explode(F.sequence("seg_start", "seg_end", F.expr("INTERVAL 1 MONTH"))).alias("month_start"),
+        "mrr",
+    )
 
 
-def active_customers_by_month(cust_month: DataFrame, dim: DataFrame) -> DataFrame:
+def active_customers_by_month(segments: DataFrame, dim: DataFrame) -> DataFrame:
     """M3: (month, customer, segment, country, source) with an active subscription at month end.
 
     Inner join: subscriptions of customers missing from the customer table drop out.
     """
-    return cust_month.join(dim.select(*DIM_COLS), "customer_id").select(
-        "month_start", "customer_id", "segment", "country", "source"
+    j = segments.join(dim.select(*DIM_COLS), "customer_id")
+    return j.select(
+        F.explode(F.sequence("seg_start", "seg_end", F.expr("INTERVAL 1 MONTH"))).alias("month_start"),
+        "customer_id",
+        "segment",
+        "country",
+        "source",
     )
 
 
-def revenue_by_cell(cust_month: DataFrame, dim: DataFrame) -> DataFrame:
-    """M4: mrr, arr = 12 x mrr, and active customers per cell.
-
-    ``cust_month`` already has one row per (customer, month), so a plain count is
-    the distinct-customer count (the dimension is keyed by customer_id).
-    """
-    j = cust_month.join(dim.select(*DIM_COLS), "customer_id")
-    mrr = F.coalesce(F.sum("mrr"), F.lit(0))
-    return j.groupBy(*CELL).agg(
-        mrr.cast(MONEY).alias("mrr"),
-        (mrr * 12).cast(MONEY).alias("arr"),
-        F.count(F.lit(1)).alias("active_customers"),
+def revenue_by_cell(segments: DataFrame, dim: DataFrame, hi) -> DataFrame:
+    """M4: mrr, arr = 12 x mrr, and active customers per cell and month."""
+    j = segments.join(dim.select(*DIM_COLS), "customer_id")
+    ev = F.explode(
+        F.array(
+            F.struct(F.col("seg_start").alias("m"), F.lit(1).alias("dc"), F.col("mrr").alias("dm")),
+            F.struct(F.add_months("seg_end", 1).alias("m"), F.lit(-1).alias("dc"), (-F.col("mrr")).alias("dm")),
+        )
+    )
+    keys = CELL[1:]
+    d = (
+        j.select(*keys, ev.alias("e"))
+        .select(*keys, "e.*")
+        .filter(F.col("m") <= hi)
+        .groupBy(*keys, F.col("m").alias("month_start"))
+        .agg(F.sum("dc").alias("dc"), F.sum("dm").alias("dm"))
+    )
+    w = Window.partitionBy(*keys).orderBy("month_start")
+    run = d.select(
+        *keys,
+        "month_start",
+        F.sum("dc").over(_running(w)).alias("active_customers"),
+        F.sum("dm").over(_running(w)).alias("mrr"),
+        F.lead("month_start").over(w).alias("next_start"),
+    ).filter(F.col("active_customers") > 0)
+    months = F.sequence(
+        "month_start", F.coalesce(F.add_months("next_start", -1), hi), F.expr("INTERVAL 1 MONTH")
+    )
+    return run.select(
+        F.explode(months).alias("month_start"),
+        *keys,
+        F.col("mrr").cast(MONEY).alias("mrr"),
+        (F.col("mrr") * 12).cast(MONEY).alias("arr"),
+        F.col("active_customers").cast("bigint").alias("active_customers"),
     )
 
 
@@ -161,9 +248,13 @@ def with_churn_rates(revenue: DataFrame, churned: DataFrame) -> DataFrame:
     )
 
 
-def core_metrics(customers: DataFrame, subs: DataFrame, events: DataFrame, dim: DataFrame) -> DataFrame:
-    """The monthly metrics table, ordered by month, segment, country, source."""
-    lo, hi = spine_bounds(customers, subs, events)
-    revenue = revenue_by_cell(customer_month_revenue(subs, lo, hi), dim)
+def core_metrics(subs: DataFrame, events: DataFrame, dim: DataFrame, lo=None, hi=None) -> DataFrame:
+    """The monthly metrics table, ordered by month, segment, country, source.
+
+    ``lo``/``hi`` are the calendar bounds (computed from the tables when omitted).
+    """
+    if lo is None or hi is None:
+        lo, hi = spine_bounds(dim, subs, events)
+    revenue = revenue_by_cell(customer_segments_of(subs, lo, hi), dim, hi)
     churned = churned_by_cell(churn_base(churn_by_customer_month(events, subs), dim))
     return with_churn_rates(revenue, churned).orderBy(*CELL)

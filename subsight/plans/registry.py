@@ -136,7 +136,7 @@ def active_subscription_months(w: Workload) -> DataFrame:
 
 
 register("active_customers_by_month", _q(O.MONTHS_SQL, O.METRICS_SQL, "SELECT * FROM detailed_active"))(
-    lambda w: M.active_customers_by_month(w.customer_month_revenue(), w.dim)
+    lambda w: M.active_customers_by_month(w.customer_segments(), w.dim)
 )
 
 register(
@@ -148,7 +148,7 @@ register(
         """SELECT month_start, segment, country, source, CAST(mrr AS DECIMAL(22,2)) AS mrr,
        CAST(arr AS DECIMAL(22,2)) AS arr, active_customers FROM detailed_revenue""",
     ),
-)(lambda w: M.revenue_by_cell(w.customer_month_revenue(), w.dim))
+)(lambda w: w.revenue_by_cell())
 
 register(
     "churn_base",

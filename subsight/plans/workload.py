@@ -13,6 +13,7 @@ reading them back, which both products then share.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,13 @@ from ..operators import cleaning as C
 from ..operators import funnel as N
 from ..operators import metrics as M
 from ..operators.calendar import month_spine, spine_bounds
+from ..session import cut_lineage
 from ..sources import staging, testdata
 
 
+_cut = cut_lineage
+
+
 class Workload:
     def __init__(self, raw: dict[str, DataFrame]):
         self.raw = raw
@@ -32,8 +37,22 @@ class Workload:
     # --- constructors ------------------------------------------------------
 
     @classmethod
-    def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "Workload":
-        return cls(testdata.raw_trio(spark, sf_dir))
+    def from_testdata(cls, spark: SparkSession, sf_dir: str, cut: bool = True) -> "Workload":
+        """The raw trio derived from the driver tables.
+
+        With ``cut`` each derived table is written once as parquet under
+        the shared ``spark.checkpoint.dir`` and read back, so every product and
+        check plans from three small columnar scans instead of re-deriving the
+        raw tables in each branch and subquery, and a lost executor re-reads
+        those files rather than recomputing the derivation.
+        """
+        raw = testdata.raw_trio(spark, sf_dir)
+        if cut:
+            # Three independent write jobs, submitted together (the scheduler runs them side by side).
+            with ThreadPoolExecutor(max_workers=len(raw)) as pool:
+                futures = {name: pool.submit(_cut, df, f"raw_{name}") for name, df in raw.items()}
+                raw = {name: f.result() for name, f in futures.items()}
+        return cls(raw)
 
     @classmethod
     def from_csv(cls, spark: SparkSession, folder: str) -> "Workload":
@@ -83,22 +102,31 @@ class Workload:
         return self.dim.select(*C.CUSTOMER_COLS)
 
     def bounds(self):
-        return spine_bounds(self.customers, self.subscriptions, self.events)
+        return spine_bounds(self.customers, self.subscriptions_clean0, self.events_clean0)
 
     # --- products ----------------------------------------------------------
 
     def month_spine(self) -> DataFrame:
-        return month_spine(self.customers, self.subscriptions, self.events)
+        return month_spine(self.customers, self.subscriptions_clean0, self.events_clean0)
 
     def customer_month_revenue(self) -> DataFrame:
         lo, hi = self.bounds()
         return M.customer_month_revenue(self.subscriptions, lo, hi)
 
+    def customer_segments(self) -> DataFrame:
+        lo, hi = self.bounds()
+        return M.customer_segments_of(self.subscriptions, lo, hi)
+
+    def revenue_by_cell(self) -> DataFrame:
+        _, hi = self.bounds()
+        return M.revenue_by_cell(self.customer_segments(), self.dim, hi)
+
     def churn_base(self) -> DataFrame:
         return M.churn_base(M.churn_by_customer_month(self.events, self.subscriptions), self.dim)
 
     def core_metrics(self) -> DataFrame:
-        return M.core_metrics(self.customers, self.subscriptions, self.events, self.dim)
+        lo, hi = self.bounds()
+        return M.core_metrics(self.subscriptions, self.events, self.dim, lo, hi)
 
     def funnel_base(self) -> DataFrame:
         return N.customer_funnel_base(self.dim, self.subscriptions)

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution does three things we depend on at scale:
 #  * coalesces the many small post-aggregation partitions (cells are few);
@@ -36,6 +37,8 @@ BASE_CONF = {
     # 128 MiB input splits keep a parquet task's working set well inside an
     # executor's memory; the shuffle width is sized per cluster below.
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Checkpoint files of DataFrames that are no longer referenced are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -99,5 +102,17 @@ _LOCAL_CKPT: str | None = None
 
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table written under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
+    """A fresh path for an intermediate table under the shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Unlike ``DataFrame.checkpoint`` (row-serialised blocks), the result is a
+    columnar scan: later filters and projections are pushed into it, and a lost
+    executor re-reads the files instead of recomputing the lineage.
+    """
+    path = scratch_table_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

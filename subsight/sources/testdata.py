@@ -32,7 +32,8 @@ def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _ymd(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd")
+    # A date cast to text is ISO yyyy-MM-dd (years 1000-9999), without a formatter.
+    return F.to_date(c).cast("string")
 
 
 def raw_customers(customer: DataFrame, nation: DataFrame, region: DataFrame, orders: DataFrame) -> DataFrame:
