@@ -24,7 +24,10 @@ def expand_counts(df: DataFrame, count_col: str, chunk: int = DEFAULT_CHUNK) ->
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk).cast("long"))).alias("_chunk"),
     )
     sized = chunks.withColumn("_size", F.least(F.lit(chunk).cast("long"), F.col("_n") - F.col("_chunk") * chunk))
-    spread = sized.repartition(*[F.col(k) for k in keys], F.col("_chunk"))
+    # An explicit partition count: adaptive execution never coalesces it, so the
+    # chunks (few, small rows) stay spread even though their shuffle is tiny.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = sized.repartition(width, *[F.col(k) for k in keys], F.col("_chunk"))
     return spread.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size"))).alias("_i")).drop(
         "_i"
     )

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..operators import funnel as N
 from ..operators import metrics as M
 from . import oracle_sql as O
+from ..sources.sinks import preview
 from .workload import Workload
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +106,9 @@ register("clean_events", _q("SELECT * FROM events_clean0"))(lambda w: w.events_c
 register("dedup_events", _q("SELECT * FROM events_cleaned"))(lambda w: w.events)
 register("dedup_subscriptions", decimals=True, sql=_q("SELECT * FROM subscriptions_cleaned"))(lambda w: w.subscriptions)
 register("customers_override_signup", _q("SELECT * FROM customers_cleaned"))(lambda w: w.customers)
+register("preview_customers", _q("SELECT * FROM customers_cleaned ORDER BY customer_id LIMIT 5"))(
+    lambda w: preview(w.customers, "customer_id", 5)
+)
 register(
     "customer_acquisition_source",
     _q(f"SELECT c.customer_id, {O.SOURCE_OF.format(cid='c.customer_id')} AS source FROM customers_cleaned c"),
