@@ -160,42 +160,34 @@ def churn_by_customer_month(events: DataFrame, subs: DataFrame) -> DataFrame:
         events.filter(F.col("event_type") == CHURNED)
         .groupBy("customer_id", S.month_start("event_date").alias("month_start"))
         .agg(F.count(F.lit(1)).alias("k"))
+        .select("customer_id", "month_start", "k", F.lit(None).cast("decimal(20,2)").alias("p"),
+                F.lit(None).cast("bigint").alias("n"))
     )
     sb = (
         subs.filter((F.col("status") == CANCELED) & F.col("end_date").isNotNull())
         .groupBy("customer_id", S.month_start("end_date").alias("month_start"))
         .agg(F.sum("monthly_price").alias("p"), F.count(F.lit(1)).alias("n"))
-    )
-    ev_tot = ev.groupBy("customer_id").agg(
-        F.sum("k").alias("n_e"), F.sum(F.when(F.col("month_start").isNull(), F.col("k"))).alias("n_null")
-    )
-    sb_tot = sb.groupBy("customer_id").agg(F.sum("p").alias("p_tot"), F.sum("n").alias("n_s"))
-    by_event = (
-        ev.filter(F.col("month_start").isNotNull())
-        .join(sb_tot, "customer_id", "left")
-        .select(
-            "customer_id",
-            "month_start",
-            (F.col("k") * F.coalesce("n_s", F.lit(1))).alias("rows"),
-            (F.col("k") * F.col("p_tot")).alias("lost"),
-        )
-    )
+        .select("customer_id", "month_start", F.lit(None).cast("bigint").alias("k"), "p", "n")
+    )
+    # Per-customer totals by a window over the customer's (at most two per month)
+    # aggregated rows: no self-joins.
+    w = Window.partitionBy("customer_id")
+    both = ev.unionByName(sb).select(
+        "*",
+        F.sum("k").over(w).alias("n_e"),
+        F.sum(F.when(F.col("month_start").isNull(), F.col("k"))).over(w).alias("n_null"),
+        F.sum("p").over(w).alias("p_tot"),
+        F.sum("n").over(w).alias("n_s"),
+    )
+    is_event = F.col("k").isNotNull()
     mult = F.when(F.col("n_e").isNull(), F.lit(1)).otherwise(F.coalesce("n_null", F.lit(0)))
-    by_end = (
-        sb.join(ev_tot, "customer_id", "left")
-        .withColumn("mult", mult)
-        .filter(F.col("mult") > 0)
-        .select(
-            "customer_id",
-            "month_start",
-            (F.col("mult") * F.col("n")).alias("rows"),
-            (F.col("mult") * F.col("p")).alias("lost"),
-        )
-    )
+    rows = F.when(is_event, F.col("k") * F.coalesce("n_s", F.lit(1))).otherwise(mult * F.col("n"))
+    lost = F.when(is_event, F.col("k") * F.col("p_tot")).otherwise(mult * F.col("p"))
+    keep = F.when(is_event, F.col("month_start").isNotNull()).otherwise(mult > 0)
     return (
-        by_event.unionByName(by_end)
+        both.filter(keep)
         .groupBy("customer_id", "month_start")
-        .agg(F.sum("rows").alias("fanout_rows"), F.sum("lost").alias("lost"))
+        .agg(F.sum(rows).alias("fanout_rows"), F.sum(lost).alias("lost"))
     )
 
 

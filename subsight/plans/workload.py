@@ -22,11 +22,24 @@ from ..operators import cleaning as C
 from ..operators import funnel as N
 from ..operators import metrics as M
 from ..operators.calendar import month_spine, spine_bounds
-from ..session import cut_lineage
+from ..session import scratch_table_path
 from ..sources import staging, testdata
 
 
-_cut = cut_lineage
+# Landed raw trios of this application, by input signature -> {table: parquet path}.
+_LANDED: dict[tuple, dict[str, str]] = {}
+
+
+def _input_signature(spark: SparkSession, sf_dir: str):
+    """(application, folder, (table, mtime, size)...) for local inputs; None when unknown."""
+    sig = []
+    for t in testdata.TABLES:
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        if not os.path.exists(p):
+            return None
+        st = os.stat(p)
+        sig.append((t, st.st_mtime_ns, st.st_size))
+    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(sig))
 
 
 class Workload:
@@ -45,14 +58,29 @@ class Workload:
         check plans from three small columnar scans instead of re-deriving the
         raw tables in each branch and subquery, and a lost executor re-reads
         those files rather than recomputing the derivation.
+
+        Landing is a load step, as in the original flow (load once, then query): a
+        second query of the same application over the same, unchanged input files
+        (same modification time and size) reads the landed files instead of
+        deriving them again.
         """
+        key = _input_signature(spark, sf_dir) if cut else None
+        if key is not None and key in _LANDED:
+            return cls({name: spark.read.parquet(p) for name, p in _LANDED[key].items()})
         raw = testdata.raw_trio(spark, sf_dir)
-        if cut:
-            # Three independent write jobs, submitted together (the scheduler runs them side by side).
-            with ThreadPoolExecutor(max_workers=len(raw)) as pool:
-                futures = {name: pool.submit(_cut, df, f"raw_{name}") for name, df in raw.items()}
-                raw = {name: f.result() for name, f in futures.items()}
-        return cls(raw)
+        if not cut:
+            return cls(raw)
+        paths = {name: scratch_table_path(spark, f"raw_{name}") for name in raw}
+
+        def land(name: str) -> None:
+            raw[name].write.mode("overwrite").parquet(paths[name])
+
+        # Three independent write jobs, submitted together (the scheduler runs them side by side).
+        with ThreadPoolExecutor(max_workers=len(raw)) as pool:
+            list(pool.map(land, list(raw)))
+        if key is not None:
+            _LANDED[key] = paths
+        return cls({name: spark.read.parquet(p) for name, p in paths.items()})
 
     @classmethod
     def from_csv(cls, spark: SparkSession, folder: str) -> "Workload":
