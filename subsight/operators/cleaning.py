@@ -50,6 +50,20 @@ def clean_events(raw: DataFrame) -> DataFrame:
     )
 
 
+def with_collation(df: DataFrame, collation: str | None) -> DataFrame:
+    """Give every text column ``collation`` (e.g. 'UNICODE_CI_AI': case- and
+    accent-insensitive), so all later comparisons, groupings and joins use it.
+    ``None`` keeps exact (binary) matching, the default."""
+    if not collation:
+        return df
+    return df.select(
+        *[
+            F.collate(F.col(f.name), collation).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 EVENT_DEDUP_KEYS = ["customer_id", "event_type", "event_date", "source"]
 SUB_DEDUP_KEYS = ["customer_id", "start_date", "end_date", "monthly_price", "status"]
 

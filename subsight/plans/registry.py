@@ -35,15 +35,20 @@ DECIMAL_COLUMNS = (
     "activated_to_paid_pct", "activated_dropoff_pct", "paid_to_churn_pct", "paid_retention_pct",
     "growth_vs_prev_pct", "growth_vs_first_pct", "pct_of_previous", "dropoff_pct", "pct_of_rows",
     "lost_mrr_cell_sum", "value",
+    # A nullable integer flag: pandas shows Spark's as float64 and DuckDB's as a
+    # nullable int, so it is compared as DOUBLE too.
+    "is_enterprise",
 )
 
 
 def decimals_to_double(df: DataFrame) -> DataFrame:
-    cols = [
-        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-        for f in df.schema.fields
-    ]
-    return df.select(*cols)
+    def as_double(f: T.StructField) -> bool:
+        return isinstance(f.dataType, T.DecimalType) or (
+            f.name in DECIMAL_COLUMNS and isinstance(f.dataType, T.IntegerType)
+        )
+
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if as_double(f) else F.col(f.name)
+                       for f in df.schema.fields])
 
 
 def oracle_doubles(sql: str) -> str:
@@ -100,13 +105,13 @@ def load_row_counts(w: Workload) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-register("clean_customers", _q("SELECT * FROM customers_clean0"))(lambda w: w.customers_clean0)
+register("clean_customers", decimals=True, sql=_q("SELECT * FROM customers_clean0"))(lambda w: w.customers_clean0)
 register("clean_subscriptions", decimals=True, sql=_q("SELECT * FROM subscriptions_clean0"))(lambda w: w.subscriptions_clean0)
 register("clean_events", _q("SELECT * FROM events_clean0"))(lambda w: w.events_clean0)
 register("dedup_events", _q("SELECT * FROM events_cleaned"))(lambda w: w.events)
 register("dedup_subscriptions", decimals=True, sql=_q("SELECT * FROM subscriptions_cleaned"))(lambda w: w.subscriptions)
-register("customers_override_signup", _q("SELECT * FROM customers_cleaned"))(lambda w: w.customers)
-register("preview_customers", _q("SELECT * FROM customers_cleaned ORDER BY customer_id LIMIT 5"))(
+register("customers_override_signup", decimals=True, sql=_q("SELECT * FROM customers_cleaned"))(lambda w: w.customers)
+register("preview_customers", decimals=True, sql=_q("SELECT * FROM customers_cleaned ORDER BY customer_id LIMIT 5"))(
     lambda w: preview(w.customers, "customer_id", 5)
 )
 register(

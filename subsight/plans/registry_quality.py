@@ -162,7 +162,7 @@ CHECK_SQL: dict[str, tuple[str, bool]] = {
     "dup_row_counts": (
         "SELECT customer_id, signup_date, segment, country, is_enterprise, COUNT(*) AS dup_count "
         "FROM customers_clean0 GROUP BY ALL HAVING COUNT(*) > 1",
-        False,
+        True,
     ),
     "dup_rows_customers": (_dup_rows("customers"), False),
     "dup_rows_subscriptions": (_dup_rows("subscriptions"), True),
@@ -311,4 +311,5 @@ for _col in ("is_enterprise", "segment"):
     register(
         f"group_counts_{_col}",
         sql=_sql(f"SELECT {_col}, COUNT(*) AS count FROM customers_clean0 GROUP BY {_col}"),
+        decimals=_col == "is_enterprise",
     )((lambda c: lambda w: P.value_counts(w.customers_clean0, c))(_col))

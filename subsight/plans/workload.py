@@ -43,8 +43,13 @@ def _input_signature(spark: SparkSession, sf_dir: str):
 
 
 class Workload:
-    def __init__(self, raw: dict[str, DataFrame]):
+    """``collation`` (default None = exact match) is applied to the text columns of the
+    cleaned layer, e.g. 'UNICODE_CI_AI' to match values case- and accent-insensitively
+    as a database with such a default collation would."""
+
+    def __init__(self, raw: dict[str, DataFrame], collation: str | None = None):
         self.raw = raw
+        self.collation = collation
         self._cleaned: dict[str, DataFrame] | None = None
 
     # --- constructors ------------------------------------------------------
@@ -93,15 +98,15 @@ class Workload:
 
     @cached_property
     def customers_clean0(self) -> DataFrame:
-        return C.clean_customers(self.raw["customers"])
+        return C.with_collation(C.clean_customers(self.raw["customers"]), self.collation)
 
     @cached_property
     def subscriptions_clean0(self) -> DataFrame:
-        return C.clean_subscriptions(self.raw["subscriptions"])
+        return C.with_collation(C.clean_subscriptions(self.raw["subscriptions"]), self.collation)
 
     @cached_property
     def events_clean0(self) -> DataFrame:
-        return C.clean_events(self.raw["events"])
+        return C.with_collation(C.clean_events(self.raw["events"]), self.collation)
 
     @property
     def events(self) -> DataFrame:

@@ -287,3 +287,21 @@ def test_null_keys(spark):
     assert [r.subscription_id for r in Q.unknown_customer(subs, cust).collect()] == ["S2"]
     assert Q.duplicate_key_rows(cust).count() == 2
     assert rows(Q.customers_unique(cust)) == [{"unique_count": 1, "total_rows": 3}]
+
+
+def test_collation_option(spark):
+    events = raw(spark, "events", [
+        ("E1", "C1", "Signup", "2023-01-05", "Ads"),
+        ("E2", "C1", "SIGNUP", "2023-01-05", "ads"),
+        ("E3", "C1", "TRIAL_START", "2023-01-06", "ads"),
+    ])
+    customers = raw(spark, "customers", [("C1", "2023-01-01", "SMB", "UK", "1")])
+    subs = raw(spark, "subscriptions", [("S1", "C1", "2023-01-01", "", "1", "active")])
+    tables = {"customers": customers, "subscriptions": subs, "events": events}
+    exact = Workload(tables)
+    ci = Workload(tables, collation="UNICODE_CI_AI")
+    assert exact.events.count() == 3 and ci.events.count() == 2
+    # case-insensitive: the 'Signup' event now overrides the signup date, and counts as a trial
+    assert exact.customers.first().signup_date == D(2023, 1, 1)
+    assert ci.customers.first().signup_date == D(2023, 1, 5)
+    assert ci.funnel_base().first().trial == 1 and exact.funnel_base().first().trial == 0
