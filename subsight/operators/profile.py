@@ -39,11 +39,15 @@ def column_info(df: DataFrame) -> DataFrame:
     return long.select("column_name", dtype.alias("data_type"), "non_null", "total_rows")
 
 
-def describe_numeric(df: DataFrame, column: str, as_days: bool = False) -> DataFrame:
+def describe_numeric(
+    df: DataFrame, column: str, as_days: bool = False, approx_accuracy: int | None = None
+) -> DataFrame:
     """Count, mean, std (n - 1), min, 25 %, 50 %, 75 %, max of one column.
 
     ``as_days`` describes a date column as days since 1970-01-01 (and omits std,
-    as a data-frame describe does for dates). Quartiles are exact (interpolated).
+    as a data-frame describe does for dates). Quartiles are exact (interpolated)
+    by default; ``approx_accuracy`` switches to ``percentile_approx`` with that
+    accuracy (one pass, mergeable sketches, relative rank error 1/accuracy).
     """
     x = F.unix_date(F.col(column)).cast("double") if as_days else F.col(column).cast("double")
     stats = df.agg(
@@ -55,7 +59,14 @@ def describe_numeric(df: DataFrame, column: str, as_days: bool = False) -> DataF
     )
     names = ["count", "mean"] + ([] if as_days else ["std"]) + ["min", "max"]
     long = _stack(stats, names, "statistic", "value")
-    q = exact_quantiles(df, x, QUARTILES).select(
+    if approx_accuracy:
+        qs = df.agg(F.percentile_approx(x, list(QUARTILES), approx_accuracy).alias("q")).select(
+            F.posexplode("q").alias("i", "quantile")
+        )
+        q = qs.select(F.element_at(F.array(*[F.lit(p) for p in QUARTILES]), F.col("i") + 1).alias("prob"), "quantile")
+    else:
+        q = exact_quantiles(df, x, QUARTILES)
+    q = q.select(
         F.concat((F.col("prob") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
         F.col("quantile").alias("value"),
     )

@@ -38,11 +38,13 @@ def _anti(left: DataFrame, right_keys: DataFrame, col: str = "customer_id") -> D
 # --- uniqueness and duplicates -------------------------------------------------
 
 
-def customers_unique(customers: DataFrame) -> DataFrame:
-    """V1: distinct ids vs rows (one row)."""
-    return customers.agg(
-        F.count_distinct("customer_id").alias("unique_count"), F.count(F.lit(1)).alias("total_rows")
+def customers_unique(customers: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    """V1: distinct ids vs rows (one row). Exact by default; ``approx_rsd`` uses
+    ``approx_count_distinct`` (HyperLogLog++, that relative standard deviation)."""
+    distinct = (
+        F.approx_count_distinct("customer_id", approx_rsd) if approx_rsd else F.count_distinct("customer_id")
     )
+    return customers.agg(distinct.alias("unique_count"), F.count(F.lit(1)).alias("total_rows"))
 
 
 def duplicate_key_rows(df: DataFrame, key: str = "customer_id") -> DataFrame:

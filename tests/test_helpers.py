@@ -36,3 +36,22 @@ def test_expand_counts_exact_copies(spark):
     got = {(r.k, r.v): r.c for r in out.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).collect()}
     assert got == {("a", 1): 20001, ("b", None): 3, ("c", 2): 1}
     assert out.rdd.getNumPartitions() > 1
+
+
+def test_describe_approx_option_close_to_exact(spark):
+    from subsight.operators.profile import describe_numeric
+
+    df = spark.range(0, 20001).selectExpr("cast(id as decimal(10,2)) as p")
+    exact = {r.statistic: r.value for r in describe_numeric(df, "p").collect()}
+    approx = {r.statistic: r.value for r in describe_numeric(df, "p", approx_accuracy=10000).collect()}
+    assert exact["50%"] == 10000.0 and exact["25%"] == 5000.0
+    for k in ("25%", "50%", "75%"):
+        assert abs(approx[k] - exact[k]) <= 20001 / 10000 + 1
+
+
+def test_unique_approx_option(spark):
+    from subsight.operators.quality import customers_unique
+
+    df = spark.range(0, 5000).selectExpr("cast(id % 1000 as string) as customer_id")
+    assert customers_unique(df).first().unique_count == 1000
+    assert abs(customers_unique(df, approx_rsd=0.02).first().unique_count - 1000) < 60
