@@ -27,6 +27,11 @@ ADAPTIVE_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    # No broadcast from plan-time estimates (they are blind to rows added by
+    # explode and to skew): every implicit broadcast is decided by AQE on the
+    # measured size of a finished shuffle stage. Explicit hints remain only for
+    # sides of a proven size (TPC-H nation / region, fixed-size bucket tables).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
 }
 
 BASE_CONF = {
