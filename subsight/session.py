@@ -93,6 +93,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster it must name a folder every executor "
+            "can reach (lineage cuts are written there); a machine-local folder would not be shared"
+        )
     if not configured:
         global _LOCAL_CKPT
         if _LOCAL_CKPT is None:

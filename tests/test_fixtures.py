@@ -5,7 +5,6 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conftest import rows
 from subsight.functions import scalars as S
