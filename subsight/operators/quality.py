@@ -280,38 +280,46 @@ def summary(checks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+# name -> builder(workload, as_of): each check builds only what it reads.
+CHECKS = {
+    "customers_unique": lambda w, a: customers_unique(w.typed("customers")),
+    "duplicate_customer_ids": lambda w, a: duplicate_key_rows(w.typed("customers")),
+    "dup_key_counts": lambda w, a: duplicate_key_counts(w.customers_clean0),
+    "dup_row_counts": lambda w, a: duplicate_row_counts(w.customers_clean0),
+    "dup_rows_customers": lambda w, a: duplicate_rows(w.typed("customers")),
+    "dup_rows_subscriptions": lambda w, a: duplicate_rows(w.typed("subscriptions")),
+    "dup_rows_events": lambda w, a: duplicate_rows(w.typed("events")),
+    "subs_invalid_customers": lambda w, a: unknown_customer(w.typed("subscriptions"), w.typed("customers")),
+    "events_invalid_customers": lambda w, a: unknown_customer(w.typed("events"), w.typed("customers")),
+    "invalid_prices": lambda w, a: invalid_prices(w.typed("subscriptions")),
+    "invalid_dates": lambda w, a: invalid_dates(w.typed("subscriptions")),
+    "multiple_signups": lambda w, a: multiple_signups(w.typed("events")),
+    "events_before_signup": lambda w, a: events_before_signup(w.typed("events"), w.typed("customers")),
+    "active_with_end": lambda w, a: active_with_end(w.typed("subscriptions")),
+    "canceled_without_end": lambda w, a: canceled_without_end(w.typed("subscriptions")),
+    "customers_no_subs": lambda w, a: customers_without(w.typed("customers"), w.typed("subscriptions")),
+    "customers_no_events": lambda w, a: customers_without(w.typed("customers"), w.typed("events")),
+    "subs_no_events": lambda w, a: subscriptions_without_events(w.typed("subscriptions"), w.typed("events")),
+    "future_customers": lambda w, a: future_dates(w.typed("customers"), "signup_date", a),
+    "future_subs_start": lambda w, a: future_dates(w.typed("subscriptions"), "start_date", a),
+    "future_subs_end": lambda w, a: future_dates(w.typed("subscriptions"), "end_date", a),
+    "future_events": lambda w, a: future_dates(w.typed("events"), "event_date", a),
+    "event_sequence": lambda w, a: event_sequence(w.typed("events")),
+    "signup_mismatch": lambda w, a: signup_mismatch(w.typed("customers"), w.typed("events")),
+    "row_counts_match": lambda w, a: row_counts_match(
+        w.raw,
+        {"customers": w.customers_clean0, "subscriptions": w.subscriptions_clean0, "events": w.events_clean0},
+    ),
+    "null_dates": lambda w, a: null_dates(w.customers_clean0, w.subscriptions_clean0, w.events_clean0, w.customers),
+    "primary_keys": lambda w, a: primary_keys(
+        {"customers": w.customers, "subscriptions": w.subscriptions, "events": w.events}
+    ),
+    "column_constraints": lambda w, a: column_constraints(
+        {"customers": w.customers, "subscriptions": w.subscriptions, "events": w.events}
+    ),
+}
+
+
 def all_checks(w, as_of: dt.date = DEFAULT_AS_OF) -> dict[str, DataFrame]:
     """Every check of a workload, by name (lazy frames)."""
-    tc, ts, te = w.typed("customers"), w.typed("subscriptions"), w.typed("events")
-    cleaned0 = {"customers": w.customers_clean0, "subscriptions": w.subscriptions_clean0, "events": w.events_clean0}
-    final = {"customers": w.customers, "subscriptions": w.subscriptions, "events": w.events}
-    return {
-        "customers_unique": customers_unique(tc),
-        "duplicate_customer_ids": duplicate_key_rows(tc),
-        "dup_key_counts": duplicate_key_counts(w.customers_clean0),
-        "dup_row_counts": duplicate_row_counts(w.customers_clean0),
-        "dup_rows_customers": duplicate_rows(tc),
-        "dup_rows_subscriptions": duplicate_rows(ts),
-        "dup_rows_events": duplicate_rows(te),
-        "subs_invalid_customers": unknown_customer(ts, tc),
-        "events_invalid_customers": unknown_customer(te, tc),
-        "invalid_prices": invalid_prices(ts),
-        "invalid_dates": invalid_dates(ts),
-        "multiple_signups": multiple_signups(te),
-        "events_before_signup": events_before_signup(te, tc),
-        "active_with_end": active_with_end(ts),
-        "canceled_without_end": canceled_without_end(ts),
-        "customers_no_subs": customers_without(tc, ts),
-        "customers_no_events": customers_without(tc, te),
-        "subs_no_events": subscriptions_without_events(ts, te),
-        "future_customers": future_dates(tc, "signup_date", as_of),
-        "future_subs_start": future_dates(ts, "start_date", as_of),
-        "future_subs_end": future_dates(ts, "end_date", as_of),
-        "future_events": future_dates(te, "event_date", as_of),
-        "event_sequence": event_sequence(te),
-        "signup_mismatch": signup_mismatch(tc, te),
-        "row_counts_match": row_counts_match(w.raw, cleaned0),
-        "null_dates": null_dates(w.customers_clean0, w.subscriptions_clean0, w.events_clean0, w.customers),
-        "primary_keys": primary_keys(final),
-        "column_constraints": column_constraints(final),
-    }
+    return {name: build(w, as_of) for name, build in CHECKS.items()}

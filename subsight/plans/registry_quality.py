@@ -215,7 +215,7 @@ def _sql(body: str) -> str:
 
 def _register_check(name: str) -> None:
     body, dec = CHECK_SQL[name]
-    register(f"check_{name}", sql=_sql(body), decimals=dec)(lambda w: Q.all_checks(w, AS_OF)[name])
+    register(f"check_{name}", sql=_sql(body), decimals=dec)(lambda w: Q.CHECKS[name](w, AS_OF))
 
 
 for _name in CHECK_SQL:
