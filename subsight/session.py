@@ -75,6 +75,16 @@ def build_session(
     return spark
 
 
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, floor: int = 200) -> int:
+    """Initial shuffle width for an input of ``input_bytes``: about one partition per
+    ``target_bytes`` of input, never below ``floor``. AQE then coalesces the
+    (much smaller) post-aggregation shuffles; the first, widest shuffles keep
+    partitions near the target so they fit in executor memory without spilling.
+    Example: 100 TB of input -> 409,600 partitions; pass it to ``build_session``.
+    """
+    return max(floor, -(-input_bytes // target_bytes))
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """Single-JVM session for tests and the bench."""
     return build_session(
