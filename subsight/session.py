@@ -80,7 +80,7 @@ def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, floo
     ``target_bytes`` of input, never below ``floor``. AQE then coalesces the
     (much smaller) post-aggregation shuffles; the first, widest shuffles keep
     partitions near the target so they fit in executor memory without spilling.
-    Example: 100 TB of input -> 409,600 partitions; pass it to ``build_session``.
+    Example: 100 TiB of input -> 409,600 partitions; pass it to ``build_session``.
     """
     return max(floor, -(-input_bytes // target_bytes))
 
