@@ -87,31 +87,66 @@ def subscriptions_without_events(subs: DataFrame, events: DataFrame) -> DataFram
 
 
 # --- row rules ---------------------------------------------------------------------
+#
+# Each row rule is a predicate on one typed table. The check itself is
+# ``filter(predicate)``; the summary counts every rule of a table in one pass.
+
+
+def _pred_invalid_prices(a):
+    return F.col("monthly_price") <= 0
+
+
+def _pred_invalid_dates(a):
+    return F.col("end_date").isNotNull() & (F.col("start_date") > F.col("end_date"))
+
+
+def _pred_active_with_end(a):
+    return (F.col("status") == ACTIVE) & F.col("end_date").isNotNull()
+
+
+def _pred_canceled_without_end(a):
+    return (F.col("status") == CANCELED) & F.col("end_date").isNull()
+
+
+def _pred_future(column):
+    return lambda a: F.col(column) > F.lit(a)
+
+
+ROW_RULES = {
+    "invalid_prices": ("subscriptions", _pred_invalid_prices),
+    "invalid_dates": ("subscriptions", _pred_invalid_dates),
+    "active_with_end": ("subscriptions", _pred_active_with_end),
+    "canceled_without_end": ("subscriptions", _pred_canceled_without_end),
+    "future_customers": ("customers", _pred_future("signup_date")),
+    "future_subs_start": ("subscriptions", _pred_future("start_date")),
+    "future_subs_end": ("subscriptions", _pred_future("end_date")),
+    "future_events": ("events", _pred_future("event_date")),
+}
 
 
 def invalid_prices(subs: DataFrame) -> DataFrame:
     """V8: price <= 0 (a NULL price is not an offender here)."""
-    return subs.filter(F.col("monthly_price") <= 0)
+    return subs.filter(_pred_invalid_prices(None))
 
 
 def invalid_dates(subs: DataFrame) -> DataFrame:
     """V9: start after end."""
-    return subs.filter(F.col("end_date").isNotNull() & (F.col("start_date") > F.col("end_date")))
+    return subs.filter(_pred_invalid_dates(None))
 
 
 def active_with_end(subs: DataFrame) -> DataFrame:
     """V12."""
-    return subs.filter((F.col("status") == ACTIVE) & F.col("end_date").isNotNull())
+    return subs.filter(_pred_active_with_end(None))
 
 
 def canceled_without_end(subs: DataFrame) -> DataFrame:
     """V13."""
-    return subs.filter((F.col("status") == CANCELED) & F.col("end_date").isNull())
+    return subs.filter(_pred_canceled_without_end(None))
 
 
 def future_dates(df: DataFrame, column: str, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Rows dated after ``as_of``."""
-    return df.filter(F.col(column) > F.lit(as_of))
+    return df.filter(_pred_future(column)(as_of))
 
 
 # --- event rules -----------------------------------------------------------------------
@@ -323,3 +358,48 @@ CHECKS = {
 def all_checks(w, as_of: dt.date = DEFAULT_AS_OF) -> dict[str, DataFrame]:
     """Every check of a workload, by name (lazy frames)."""
     return {name: build(w, as_of) for name, build in CHECKS.items()}
+
+
+def workload_summary(w, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """(check_name, rows) for every check, with fewer passes than counting each frame.
+
+    * all row rules of a table are counted in one aggregate (``count_if`` per rule);
+    * every-copy duplicate reports are counted as the sum of their group counts,
+      without re-expanding the copies;
+    * every other check is counted as its frame.
+    Same numbers as ``summary(all_checks(w))``, in the same check order.
+    """
+    counts: dict[str, DataFrame] = {}
+    by_table: dict[str, list[str]] = {}
+    for name, (table, _) in ROW_RULES.items():
+        by_table.setdefault(table, []).append(name)
+    for table, names in by_table.items():
+        wide = w.typed(table).agg(*[F.count_if(ROW_RULES[n][1](as_of)).alias(n) for n in names])
+        pairs = ", ".join(f"'{n}', `{n}`" for n in names)
+        long = wide.selectExpr(f"stack({len(names)}, {pairs}) AS (check_name, rows)")
+        for n in names:
+            counts[n] = long
+    for table in ("customers", "subscriptions", "events"):
+        df = w.typed(table)
+        counts[f"dup_rows_{table}"] = (
+            df.groupBy(*df.columns)
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .filter("_n > 1")
+            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
+            .select(F.lit(f"dup_rows_{table}").alias("check_name"), "rows")
+        )
+    parts, seen = [], set()
+    for name, build in CHECKS.items():
+        part = counts.get(name)
+        if part is None:
+            part = build(w, as_of).agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(name).alias("check_name"), "rows"
+            )
+        if id(part) in seen:
+            continue
+        seen.add(id(part))
+        parts.append(part)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -224,7 +224,7 @@ for _name in CHECK_SQL:
 _SUMMARY_SQL = "\nUNION ALL ".join(
     f"SELECT '{n}' AS check_name, (SELECT COUNT(*) FROM ({b}) s) AS rows" for n, (b, _) in CHECK_SQL.items()
 )
-register("check_summary", sql=_sql(_SUMMARY_SQL))(lambda w: Q.summary(Q.all_checks(w, AS_OF)))
+register("check_summary", sql=_sql(_SUMMARY_SQL))(lambda w: Q.workload_summary(w, AS_OF))
 
 # --- profiles -------------------------------------------------------------------------
 

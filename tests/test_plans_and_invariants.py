@@ -69,3 +69,14 @@ def test_paid_equals_active_customers_somewhere(w):
         w.dim.select("customer_id"), "customer_id", "left_semi"
     ).select("customer_id").distinct().count()
     assert fp_paid == paying
+
+
+def test_fast_summary_equals_counting_every_check(w):
+    import datetime as dt
+
+    from subsight.operators import quality as Q
+
+    as_of = dt.date(2000, 6, 30)
+    fast = {r.check_name: r.rows for r in Q.workload_summary(w, as_of).collect()}
+    slow = {r.check_name: r.rows for r in Q.summary(Q.all_checks(w, as_of)).collect()}
+    assert fast == slow and len(fast) == len(Q.CHECKS)
