@@ -109,6 +109,15 @@ def funnel_by(fp: DataFrame, keys: list[str]) -> DataFrame:
     return rates_and_flags(sums, keys)
 
 
+def funnel_sliced(fp: DataFrame, keys: list[str] | None = None, **slicers: list[str]) -> DataFrame:
+    """B2 on the funnel: keep rows matching every slicer (e.g. data_flag, source), then
+    re-total per ``keys`` (default: month) and recompute rates and flag on the sums."""
+    f = fp
+    for col, values in slicers.items():
+        f = f.filter(F.col(col).isin(list(values)))
+    return funnel_by(f, keys or ["month_start"])
+
+
 STAGES = ("signup", "trial", "activated", "paid", "churned")
 
 

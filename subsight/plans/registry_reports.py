@@ -86,9 +86,10 @@ WINDOW w AS ({part}ORDER BY month_start)"""
 
 
 register("report_overall_churn", decimals=True, sql=_churn_sql([]))(lambda w: R.churn_by(w.core_metrics()))
-register("report_churn_by_segment", decimals=True, sql=_churn_sql(["segment"]))(
-    lambda w: R.churn_by(w.core_metrics(), ("segment",))
-)
+for _dim in ("segment", "country", "source"):
+    register(f"report_churn_by_{_dim}", decimals=True, sql=_churn_sql([_dim]))(
+        (lambda d: lambda w: R.churn_by(w.core_metrics(), (d,)))(_dim)
+    )
 register(
     "report_arpc_by_segment",
     decimals=True,
@@ -114,6 +115,18 @@ register("report_funnel_by_source", decimals=True, sql=_funnel_by_sql("source"))
     lambda w: R.funnel_by(w.funnel_performance(), ["source"])
 )
 
+FUNNEL_SLICE = {"data_flag": ["consistent"], "source": ["ads", "organic"]}
+_fwhere = " AND ".join(f"{c} IN (" + ", ".join(f"'{v}'" for v in vs) + ")" for c, vs in FUNNEL_SLICE.items())
+register(
+    "report_funnel_sliced",
+    decimals=True,
+    sql=_q(
+        "fs AS (SELECT month_start, " + ", ".join(f"CAST(SUM({t}) AS BIGINT) AS {t}" for t in R.TOTALS)
+        + f" FROM fp WHERE {_fwhere} GROUP BY month_start)",
+        O.funnel_rates_select("fs", keys="month_start"),
+    ),
+)(lambda w: R.funnel_sliced(w.funnel_performance(), **FUNNEL_SLICE))
+
 _stage_rows = "\nUNION ALL ".join(
     f"SELECT month_start, {i + 1} AS stage_order, '{s}' AS stage, {t} AS stage_count FROM s"
     for i, (s, t) in enumerate(zip(R.STAGES, R.TOTALS))
