@@ -6,9 +6,11 @@ final task. Here the work stays distributed:
 
 1. value counts: ``groupBy(v).count()`` (partial aggregation collapses repeats,
    so one hot value is one row);
-2. approximate bucket bounds: ``percentile_approx`` gives ``B - 1`` cut points -
-   a fixed-size array (``B`` doubles, whatever the data size), fetched once and
-   inlined as a binary-search CASE tree (log2 B comparisons per distinct value);
+2. approximate bucket bounds: ``percentile_approx`` gives ``B - 1`` cut points.
+   ``B`` grows with the row count (about 2M rows per bucket, 256 to 65,536
+   buckets) so every bucket's window stays task-sized; the cut points (at most
+   65,535 doubles) are fetched once, and Spark's ``Bucketizer`` assigns buckets
+   by binary search in the JVM;
 3. per-bucket totals (at most ``B`` rows) -> running offsets;
 4. a running count inside each bucket (a window partitioned by bucket);
 5. each distinct value then knows the rank range it covers, and the two order
@@ -24,29 +26,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+MIN_BUCKETS, MAX_BUCKETS = 256, 65536
+ROWS_PER_BUCKET = 2_000_000
 
 
-def _bucket(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
-    """Number of ``bounds`` strictly below ``v``, as a balanced CASE tree over [lo, hi]."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v <= F.lit(bounds[mid]), _bucket(v, bounds, lo, mid)).otherwise(_bucket(v, bounds, mid + 1, hi))
+def bucket_count(n: int) -> int:
+    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, -(-n // ROWS_PER_BUCKET))))
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column, probs: Sequence[float], buckets: int = DEFAULT_BUCKETS
+    df: DataFrame, value: Column, probs: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
-    """One row per probability: (prob, quantile double); NULL when the column is all NULL."""
+    """One row per probability: (prob, quantile double); no row when the column is all NULL."""
+    from pyspark.ml.feature import Bucketizer
+
     v = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = v.agg(F.count(F.lit(1))).scalar()
+    rows = v.agg(F.count(F.lit(1))).first()[0]
+    n = F.lit(rows)
+    if buckets is None:
+        buckets = bucket_count(rows)
     cuts = [i / buckets for i in range(1, buckets)]
-    row = v.agg(F.percentile_approx("v", cuts, 10000).alias("b")).first()
+    accuracy = max(10000, 4 * buckets)
+    row = v.agg(F.percentile_approx("v", cuts, accuracy).alias("b")).first()
     bounds = sorted({b for b in (row["b"] or []) if b is not None})
+    splits = [float("-inf"), *bounds, float("inf")]
 
     vc = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    vc = vc.withColumn("b", _bucket(F.col("v"), bounds, 0, len(bounds)))
+    vc = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vc)
     totals = vc.groupBy("b").agg(F.sum("c").alias("bt"))
     # At most ``buckets`` rows: a single ordered window over them is bounded.
     offsets = totals.select(
