@@ -24,6 +24,7 @@ from ..operators import metrics as M
 from ..operators.calendar import month_spine, spine_bounds
 from ..session import scratch_table_path
 from ..sources import staging, testdata
+from ..sources.schemas import STAGING
 
 
 # Landed raw trios of this application, by input signature -> {table: parquet path}.
@@ -42,6 +43,11 @@ def _input_signature(spark: SparkSession, sf_dir: str):
     return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(sig))
 
 
+def _read_landed(spark: SparkSession, name: str, path: str) -> DataFrame:
+    # The schema is known (all-string staging): no footer reads at planning time.
+    return spark.read.schema(STAGING[name]).parquet(path)
+
+
 class Workload:
     """``collation`` (default None = exact match) is applied to the text columns of the
     cleaned layer, e.g. 'UNICODE_CI_AI' to match values case- and accent-insensitively
@@ -71,7 +77,7 @@ class Workload:
         """
         key = _input_signature(spark, sf_dir) if cut else None
         if key is not None and key in _LANDED:
-            return cls({name: spark.read.parquet(p) for name, p in _LANDED[key].items()})
+            return cls({name: _read_landed(spark, name, p) for name, p in _LANDED[key].items()})
         raw = testdata.raw_trio(spark, sf_dir)
         if not cut:
             return cls(raw)
@@ -85,7 +91,7 @@ class Workload:
             list(pool.map(land, list(raw)))
         if key is not None:
             _LANDED[key] = paths
-        return cls({name: spark.read.parquet(p) for name, p in paths.items()})
+        return cls({name: _read_landed(spark, name, p) for name, p in paths.items()})
 
     @classmethod
     def from_csv(cls, spark: SparkSession, folder: str) -> "Workload":
@@ -94,7 +100,11 @@ class Workload:
     # --- layers ------------------------------------------------------------
 
     def typed(self, table: str) -> DataFrame:
-        return staging.typed(self.raw[table], table)
+        # One DataFrame object per table: later operations reuse its analysed plan.
+        cache = self.__dict__.setdefault("_typed", {})
+        if table not in cache:
+            cache[table] = staging.typed(self.raw[table], table)
+        return cache[table]
 
     @cached_property
     def customers_clean0(self) -> DataFrame:
@@ -108,29 +118,26 @@ class Workload:
     def events_clean0(self) -> DataFrame:
         return C.with_collation(C.clean_events(self.raw["events"]), self.collation)
 
-    @property
+    # Derived frames are built once per workload (cached_property) so every use
+    # shares one analysed plan; ``materialize`` replaces them with file scans.
+
+    @cached_property
     def events(self) -> DataFrame:
-        if self._cleaned:
-            return self._cleaned["events"]
         return C.dedup_events(self.events_clean0)
 
-    @property
+    @cached_property
     def subscriptions(self) -> DataFrame:
-        if self._cleaned:
-            return self._cleaned["subscriptions"]
         return C.dedup_subscriptions(self.subscriptions_clean0)
 
-    @property
+    @cached_property
     def profile(self) -> DataFrame:
         return C.customer_event_profile(self.events)
 
-    @property
+    @cached_property
     def dim(self) -> DataFrame:
-        if self._cleaned:
-            return self._cleaned["dim"]
         return C.customer_dimension(self.customers_clean0, self.profile)
 
-    @property
+    @cached_property
     def customers(self) -> DataFrame:
         return self.dim.select(*C.CUSTOMER_COLS)
 
@@ -183,4 +190,8 @@ class Workload:
             df.write.mode("overwrite").parquet(path)
             out[name] = spark.read.parquet(path)
         self._cleaned = out
+        for name in ("events", "subscriptions", "dim"):
+            self.__dict__[name] = out[name]
+        self.__dict__["customers"] = out["dim"].select(*C.CUSTOMER_COLS)
+        self.__dict__.pop("profile", None)
         return self
