@@ -97,6 +97,12 @@ class Workload:
     def from_csv(cls, spark: SparkSession, folder: str) -> "Workload":
         return cls(staging.read_staging_dir(spark, folder))
 
+    @classmethod
+    def from_staging(cls, spark: SparkSession, folder: str) -> "Workload":
+        """The raw trio from the parquet staging tables ``folder/<table>`` written by
+        the incremental landing stream (``streaming.ingest.land_all``)."""
+        return cls({t: _read_landed(spark, t, os.path.join(folder, t)) for t in STAGING})
+
     # --- layers ------------------------------------------------------------
 
     def typed(self, table: str) -> DataFrame:
