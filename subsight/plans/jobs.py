@@ -40,6 +40,8 @@ def run(spark: SparkSession, w: Workload, out: str, as_of=Q.DEFAULT_AS_OF) -> di
         "report_mrr_growth": R.mrr_growth(cm),
         "report_overall_churn": R.churn_by(cm),
         "report_churn_by_segment": R.churn_by(cm, ("segment",)),
+        "report_churn_by_country": R.churn_by(cm, ("country",)),
+        "report_churn_by_source": R.churn_by(cm, ("source",)),
         "report_arpc_by_segment": R.arpc_by(cm),
         "report_funnel_by_month": R.funnel_by(fp, ["month_start"]),
         "report_funnel_by_source": R.funnel_by(fp, ["source"]),
