@@ -2,15 +2,17 @@
 
 1. ``pack``: texts are gathered into blocks of bounded size. In its block each document becomes
    the ordered list of its words, written as numbers into the block's list of distinct words.
-2. The distinct words of all blocks are exploded with their numbers, shuffled and sorted by word:
-   each distinct word is encoded once, however many blocks ask for it.
+2. The distinct words of all blocks are shuffled by a hash of the word (its slice): each distinct
+   word is encoded once, however many blocks ask for it.
 3. The ids go back to their blocks, where the documents are put together again by position.
 
-A word is hot in as many rows as there are blocks, never in as many as it has occurrences.
+A word travels at most once from each block, never once for each occurrence, and the words of a
+slice travel compressed together, so the shuffles stay smaller than the texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from subsight.llm.common import landed
 
 #: Text bytes gathered into one block (a longer text is a block of its own).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
+#: Slices of the vocabulary; a task holds the distinct words of one slice at a time.
+SLICES = 256
 
 Split = Callable[[str], list[str]]
 Encode = Callable[[list[bytes]], list[bytes]]
@@ -40,9 +44,21 @@ def _unplanes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.fromiter(map(len, words), "<u4", len(words)).tobytes() + b"".join(words))
+
+
+def _unpack_words(packed: bytes, n: int) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    edge = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64))) + 4 * n
+    return [raw[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``start, start + 1, ...`` of every range, one after the other."""
-    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    out = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class _Words:
@@ -67,7 +83,7 @@ def _pack_block(texts: pa.Array, split: Split, spaced: bool) -> tuple[list[bytes
     texts = pc.fill_null(texts, "")
     parts = pc.split_pattern(texts, " ")
     coded = parts.values.dictionary_encode()
-    units, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    units, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).copy()
     offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
     first, counts, whole = offsets[:-1], np.diff(offsets), np.zeros(len(texts), bool)
     words = _Words(split)
@@ -85,8 +101,8 @@ def _pack_block(texts: pa.Array, split: Split, spaced: bool) -> tuple[list[bytes
         keep = ~np.repeat(whole, counts)
         keep[first] = True
         at, counts = at[keep], np.where(whole, 1, counts)
-    sizes = np.array(words.sizes, np.int64)
-    flat = np.array(words.flat, np.int64)
+    del parts, coded
+    sizes, flat = np.array(words.sizes, np.int64), np.array(words.flat, np.uint32)
     per_unit = sizes[at]
     codes = flat[_ranges((np.cumsum(sizes) - sizes)[at], per_unit)] if len(flat) else flat
     ends = np.cumsum(per_unit)[np.cumsum(counts) - 1]
@@ -94,28 +110,30 @@ def _pack_block(texts: pa.Array, split: Split, spaced: bool) -> tuple[list[bytes
 
 
 def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> DataFrame:
-    """One row per block; ``want`` leaves out the columns of ``body`` or of ``words``.
+    """Per block one row of its documents (``slice`` -1) and one for each slice of its words.
 
-    Block numbers come from the partition and the order in it: ``docs`` must be a read that gives
-    the same rows again (a stored table), else use ``want='both'`` and store the result.
+    ``want`` leaves out the rows of ``body`` or of ``words``. Block numbers come from the partition
+    and the order in it: ``docs`` must be a read that gives the same rows again (a stored table),
+    else use ``want='both'`` and store the result.
     """
     body, listed = want in ("both", "body"), want in ("both", "words")
-    schema = pa.schema(
-        [("block", pa.int64())]
-        + ([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())] if body else [])
-        + ([("words", pa.list_(pa.binary()))] if listed else [])
-    )
+    names = ["block", "slice", "doc_ids", "counts", "n", "packed", "slices"]
 
-    def flush(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        texts = pa.concat_arrays([b.column("text") for b in held])
-        words, codes, counts = _pack_block(texts, split, spaced)
-        cells = [[block]]
+    def flush(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+        doc_ids = [k for b in held for k in b.column("doc_id").to_pylist()]
+        words, codes, counts = _pack_block(pa.concat_arrays([b.column("text") for b in held]), split, spaced)
+        slices = np.fromiter((zlib.crc32(w) % SLICES for w in words), "<u2", len(words))
+        rows = []
         if body:
-            cells += [[rows["doc_id"].to_pylist()], [counts], [_planes(codes)]]
+            rows.append((block, -1, doc_ids, counts.tolist(), len(words), _planes(codes), zstandard.ZstdCompressor(level=1).compress(slices.tobytes())))
         if listed:
-            cells += [[words]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
+            order = np.argsort(slices, kind="stable")
+            edges = np.concatenate(([0], np.cumsum(np.bincount(slices, minlength=SLICES)))).tolist()
+            for k in range(SLICES):
+                if own := [words[w] for w in order[edges[k] : edges[k + 1]].tolist()]:
+                    rows.append((block, k, None, None, len(own), _pack_words(own), None))
+        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, block = [], 0, TaskContext.get().partitionId() << 32
@@ -125,73 +143,81 @@ def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> Dat
                 held.append(piece)
                 size += pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
                 if size >= BLOCK_BYTES:
-                    yield flush(held, block)
+                    yield from flush(held, block)
                     held, size, block = [], 0, block + 1
         if held:
-            yield flush(held, block)
+            yield from flush(held, block)
 
-    fields = ["block long"] + (["doc_ids array<long>", "counts array<long>", "codes binary"] if body else []) + (["words array<binary>"] if listed else [])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(fields))
+    schema = "block long, slice int, doc_ids array<long>, counts array<long>, n int, packed binary, slices binary"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _encode_rows(encoder: Callable[[], Encode]) -> Callable:
+def _encode_slices(encoder: Callable[[], Encode]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
-        last_word, last_ids = None, b""  # rows come sorted: only the last word can go on in the next batch
+        encode, at, known = encoder(), None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            known = 1 if words[0] == last_word else 0
-            ids = [last_ids] * known + encode(words[known:])
-            last_word, last_ids = words[-1], ids[-1]
-            found = pa.array(ids, pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), found], ["block", "code", "ids"])
+            columns = [batch.column(c).to_pylist() for c in ("slice", "n", "packed")]
+            out = []
+            for slice_, n, packed in zip(*columns, strict=True):
+                if slice_ != at:  # rows come sorted by slice
+                    at, known = slice_, {}
+                words = _unpack_words(packed, n)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encode(new), strict=True))
+                ids = [known[w] for w in words]
+                sizes = np.fromiter(map(len, ids), "<u4", n) // 4
+                out.append(_planes(np.concatenate((sizes, np.frombuffer(b"".join(ids), "<u4")))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("slice"), batch.column("n"), pa.array(out, pa.binary())], ["block", "slice", "n", "ids"])
 
     return run
 
 
 def _assemble(bodies: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of one block, from their word numbers and the ids of each word."""
-    numbers = words["code"].to_numpy()
-    each = words["ids"].to_pylist()
-    flat = np.frombuffer(b"".join(each), "<u4")
-    lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
-    start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-    start[numbers], size[numbers] = np.cumsum(lengths) - lengths, lengths
-    out_ids, out_n, out_ids_bytes = [], [], []
-    for doc_ids, counts, codes in zip(bodies["doc_ids"].to_pylist(), bodies["counts"].to_pylist(), bodies["codes"].to_pylist(), strict=True):
-        codes = _unplanes(codes)
+    out_ids, out_n, out_bytes = [], [], []
+    for body in bodies.select(["doc_ids", "counts", "n", "packed", "slices"]).to_pylist():
+        slices = np.frombuffer(zstandard.ZstdDecompressor().decompress(body["slices"]), "<u2")
+        by_slice = np.argsort(slices, kind="stable")  # a slice's words came in the order of their numbers
+        edges = np.concatenate(([0], np.cumsum(np.bincount(slices, minlength=SLICES))))
+        start, size, flat, passed = np.zeros(body["n"], np.int64), np.zeros(body["n"], np.int64), [], 0
+        for k, n, packed in zip(*(words[c].to_pylist() for c in ("slice", "n", "ids")), strict=True):
+            own = by_slice[edges[k] : edges[k + 1]]
+            if len(own) != n:
+                raise RuntimeError("the texts changed between two reads; store them first")
+            values = _unplanes(packed)
+            size[own] = values[:n]
+            start[own] = passed + np.cumsum(values[:n], dtype=np.int64) - values[:n]
+            flat.append(values[n:])
+            passed += len(values) - n
+        flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+        codes = _unplanes(body["packed"])
         per_word = size[codes]
-        tokens = flat[_ranges(start[codes], per_word)] if len(codes) else flat[:0]
-        edge = np.concatenate(([0], np.cumsum(per_word)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-        raw = tokens.astype("<u4", copy=False).tobytes()
-        out_ids += doc_ids
+        raw = (flat[_ranges(start[codes], per_word)] if len(codes) else flat[:0]).tobytes()
+        edge = np.concatenate(([0], np.cumsum(per_word)))[np.concatenate(([0], np.cumsum(body["counts"], dtype=np.int64)))].tolist()
+        out_ids += body["doc_ids"]
         out_n += [b - a for a, b in zip(edge, edge[1:], strict=False)]
-        out_ids_bytes += [raw[4 * a : 4 * b] for a, b in zip(edge, edge[1:], strict=False)]
-    return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "n_tokens": pa.array(out_n, pa.int64()), "ids": pa.array(out_ids_bytes, pa.binary())})
+        out_bytes += [raw[4 * a : 4 * b] for a, b in zip(edge, edge[1:], strict=False)]
+    return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "n_tokens": pa.array(out_n, pa.int64()), "ids": pa.array(out_bytes, pa.binary())})
 
 
 def encode_corpus(docs: DataFrame, split: Split, spaced: bool, encoder: Callable[[], Encode], store: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` per row of ``docs``; ``ids`` are little-endian unsigned 32-bit integers.
 
     ``split`` cuts a unit of text into words that are encoded on their own; ``encoder`` makes, once
-    in each task, the function that gives the id bytes of each of a list of words. ``store`` writes the packed blocks to the shared checkpoint
-    folder and reads both sides from there; without it the texts are packed once for each side,
-    which takes more time and less disk. A null text has no ids. Rows are not merged.
+    in each task, the function that gives the id bytes of each of a list of words. ``store`` writes
+    the packed blocks to the shared checkpoint folder and reads both sides from there; without it
+    the texts are packed once for each side, which takes more time and less disk. A null text has
+    no ids. Rows are not merged.
     """
     if store:
         packed = landed(pack(docs, split, spaced), "packed")
-        bodies, listed = packed.drop("words"), packed.select("block", "words")
+        bodies, listed = packed.where("slice < 0"), packed.where("slice >= 0")
     else:
         bodies, listed = pack(docs, split, spaced, "body"), pack(docs, split, spaced, "words")
-    asked = listed.select("block", F.posexplode("words").alias("code", "word"))
     encoded = (
-        asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_rows(encoder), "block long, code int, ids binary")
-    )
-    return (
-        bodies.groupBy("block")
-        .cogroup(encoded.groupBy("block"))
-        .applyInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+        listed.select("block", "slice", "n", "packed")
+        .repartition("slice")
+        .sortWithinPartitions("slice")
+        .mapInArrow(_encode_slices(encoder), "block long, slice int, n int, ids binary")
     )
+    return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
