@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from subsight.session import cut_lineage
@@ -30,3 +35,9 @@ def spare_name(taken: list[str], base: str) -> str:
         n += 1
         name = f"{base}_{n}"
     return name
+
+
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives ``value`` inside tasks; it is broadcast once, so its size must be bounded."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from subsight.llm.bpe import op2_bpe
+from subsight.llm.langid import op8_language
 from subsight.llm.simhash import op10_simhash
+from subsight.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op10_simhash": op10_simhash,
 }
 ORACLE: dict[str, str] = {}
