@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from subsight.llm.bpe import op2_bpe
+from subsight.llm.embeddings import op1_embeddings
 from subsight.llm.langid import op8_language
 from subsight.llm.simhash import op10_simhash
 from subsight.llm.toxicity import op7_toxicity
+from subsight.llm.urls import OP4_SQL, op4_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_bpe": op2_bpe,
+    "op4_urls": op4_urls,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_urls": OP4_SQL}
