@@ -47,16 +47,6 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             pairs[k] = ranks.get(parts[k] + parts[k + 1])
 
 
-def _splitter(pattern: str):
-    find = regex.compile(pattern).findall
-
-    def split(unit: str) -> list[str]:
-        # a single run of letters, with or without its space, is one pre-token in every case
-        return [unit] if (unit[1:] if unit[0] == " " else unit).isalpha() else find(unit)
-
-    return split
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` per row of ``docs``; ``ids`` are little-endian unsigned 32-bit integers.
 
@@ -69,7 +59,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
         ranks = read_ranks(path)
         return lambda words: [np.array(merge_word(w, ranks), "<u4").tobytes() for w in words]
 
-    return encode_corpus(docs, _splitter(pattern), True, encoder)
+    return encode_corpus(docs, regex.compile(pattern).findall, True, encoder)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

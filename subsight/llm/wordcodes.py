@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from subsight.llm.common import landed
 
 #: Text bytes gathered into one block (a longer text is a block of its own).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Slices of the vocabulary; a task holds the distinct words of one slice at a time.
 SLICES = 256
 
@@ -61,18 +61,6 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Words:
-    """The block's distinct words, and for each unit of text the numbers of its words."""
-
-    def __init__(self, split: Split):
-        self.split, self.known, self.flat, self.sizes = split, {}, [], []
-
-    def add(self, unit: str) -> None:
-        known, words = self.known, self.split(unit) if unit else ()
-        self.flat.extend([known.setdefault(w, len(known)) for w in words])
-        self.sizes.append(len(words))
-
-
 def _pack_block(texts: pa.Array, split: Split, spaced: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """``(words, numbers of all documents, words per document)`` of one block.
 
@@ -86,27 +74,41 @@ def _pack_block(texts: pa.Array, split: Split, spaced: bool) -> tuple[list[bytes
     units, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).copy()
     offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
     first, counts, whole = offsets[:-1], np.diff(offsets), np.zeros(len(texts), bool)
-    words = _Words(split)
+    known: dict[str, int] = {}
+    number, flat, sizes, blank = known.setdefault, [], [], []
     lead = " " if spaced else ""
-    for unit in units:
-        words.add(lead + unit)
+
+    def add(unit: str) -> None:
+        words = split(unit) if unit else ()
+        flat.extend([number(w, len(known)) for w in words])
+        sizes.append(len(words))
+
+    for k, unit in enumerate(units):
+        if unit.isalpha():  # a single run of letters is one word
+            flat.append(number(lead + unit, len(known)))
+            sizes.append(1)
+        else:
+            add(lead + unit)
+            if not unit or unit[-1].isspace():
+                blank.append(k)
     if spaced:
-        blank = np.fromiter((not u or u[-1].isspace() for u in units), bool, len(units))
+        ends_blank = np.zeros(len(units), bool)
+        ends_blank[blank] = True
         last = np.zeros(len(at), bool)
         last[offsets[1:] - 1] = True
-        whole[np.repeat(np.arange(len(texts)), counts)[blank[at] & ~last]] = True
+        whole[np.repeat(np.arange(len(texts)), counts)[ends_blank[at] & ~last]] = True
         for k in range(len(texts)):  # a text's first unit has no space before it
-            words.add(texts[k].as_py() if whole[k] else units[at[first[k]]])
+            add(texts[k].as_py() if whole[k] else units[at[first[k]]])
         at[first] = len(units) + np.arange(len(texts))
         keep = ~np.repeat(whole, counts)
         keep[first] = True
         at, counts = at[keep], np.where(whole, 1, counts)
     del parts, coded
-    sizes, flat = np.array(words.sizes, np.int64), np.array(words.flat, np.uint32)
+    sizes, flat = np.array(sizes, np.int64), np.array(flat, np.uint32)
     per_unit = sizes[at]
     codes = flat[_ranges((np.cumsum(sizes) - sizes)[at], per_unit)] if len(flat) else flat
     ends = np.cumsum(per_unit)[np.cumsum(counts) - 1]
-    return [w.encode() for w in words.known], codes, np.diff(ends, prepend=0)
+    return [w.encode() for w in known], codes, np.diff(ends, prepend=0)
 
 
 def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> DataFrame:
@@ -203,7 +205,8 @@ def _assemble(bodies: pa.Table, words: pa.Table) -> pa.Table:
 def encode_corpus(docs: DataFrame, split: Split, spaced: bool, encoder: Callable[[], Encode], store: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` per row of ``docs``; ``ids`` are little-endian unsigned 32-bit integers.
 
-    ``split`` cuts a unit of text into words that are encoded on their own; ``encoder`` makes, once
+    ``split`` cuts a unit of text into words that are encoded on their own (a single run of letters
+    always is one word); ``encoder`` makes, once
     in each task, the function that gives the id bytes of each of a list of words. ``store`` writes
     the packed blocks to the shared checkpoint folder and reads both sides from there; without it
     the texts are packed once for each side, which takes more time and less disk. A null text has
