@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from subsight.llm.bpe import op2_bpe
+from subsight.llm.decontamination import op5_decontamination
 from subsight.llm.embeddings import op1_embeddings
 from subsight.llm.langid import op8_language
+from subsight.llm.records import op3_records
 from subsight.llm.simhash import op10_simhash
 from subsight.llm.toxicity import op7_toxicity
 from subsight.llm.urls import OP4_SQL, op4_urls
@@ -16,7 +18,9 @@ from subsight.llm.urls import OP4_SQL, op4_urls
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_bpe": op2_bpe,
+    "op3_records": op3_records,
     "op4_urls": op4_urls,
+    "op5_decontamination": op5_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
