@@ -14,6 +14,7 @@ from subsight.llm.records import op3_records
 from subsight.llm.simhash import op10_simhash
 from subsight.llm.toxicity import op7_toxicity
 from subsight.llm.urls import OP4_SQL, op4_urls
+from subsight.llm.warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {"op4_urls": OP4_SQL}
+ORACLE: dict[str, str] = {"op4_urls": OP4_SQL, "op9_warc": OP9_SQL}
