@@ -12,6 +12,7 @@ from subsight.llm.embeddings import op1_embeddings
 from subsight.llm.langid import op8_language
 from subsight.llm.records import op3_records
 from subsight.llm.simhash import op10_simhash
+from subsight.llm.suffix_dedup import op6_suffix
 from subsight.llm.toxicity import op7_toxicity
 from subsight.llm.urls import OP4_SQL, op4_urls
 from subsight.llm.warc import OP9_SQL, op9_warc
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_records": op3_records,
     "op4_urls": op4_urls,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix": op6_suffix,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_warc": op9_warc,

@@ -384,6 +384,18 @@ def predict(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns; the texts are not shuffled."""
+    fitted = shared(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fitted()
+        for batch in _pieces(batches):
+            yield batch.filter(pa.array(model.score(utf8(batch.column("text"))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learning(rows: DataFrame) -> DataFrame:
     """The rows one may learn from: ``crc32(doc_id) mod 3`` is not 1."""
     return rows.where(remainder("doc_id", 3) != 1)
