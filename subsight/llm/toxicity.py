@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,21 +239,64 @@ def count_features(labelled: DataFrame) -> FeatureCounts:
                 marks[label, f.word[0][word] * 64 + before] = True
                 marks[label, (f.grams[0][f.spread(word)] + WORD_BUCKETS) * 64 + np.repeat(before, f.sizes[word])] = True
         if any_rows:
-            packed = np.packbits(marks, axis=1).view("<i8")
-            used = np.flatnonzero(counts.any(axis=(0, 1)))
-            columns = [used, *(counts[k, v, used] for k in range(2) for v in range(2)), *(packed[v, used] for v in range(2))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "c0", "t0", "c1", "t1", "cm", "tm"])
-
-    schema = "bucket long, c0 long, t0 long, c1 long, t1 long, cm long, tm long"
-    parts = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, schema)
-    sums = [F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")] + [F.bit_count(F.bit_or(c)).alias(c) for c in ("cm", "tm")]
-    got = parts.groupBy("bucket").agg(*sums).toPandas()
+            table = np.concatenate((counts.reshape(4, -1), np.packbits(marks, axis=1).view("<i8")))
+            yield _blobs(table, TaskContext.get().partitionId())
+
+    parts = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, BLOB)
+    for _ in range(TREE_LEVELS):  # the counts of up to TREE_WIDTH tasks meet in one, and of these again
+        parts = parts.withColumn("task", F.expr(f"task div {TREE_WIDTH}")).groupBy("part", "task").applyInArrow(_merge_blobs, BLOB)
+    got = parts.mapInArrow(_unfold_blobs, "bucket long, c0 long, t0 long, c1 long, t1 long, cm long, tm long")
+    got = got.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")], *[F.bit_count(F.bit_or(c)).alias(c) for c in ("cm", "tm")]).toPandas()
     table = np.zeros((6, width + 1))
     table[:, got["bucket"]] = got[["c0", "t0", "c1", "t1", "cm", "tm"]].to_numpy().T
     contexts = -64 * np.log1p(-np.minimum(table[4:], 63.5) / 64)
     return FeatureCounts(table[:2, width], table[:4, :width].reshape(2, 2, width), contexts[:, :width])
 
 
+#: A task's counts travel as compressed parts of the table, not as a row for each bucket.
+BLOB = "part int, task int, n int, packed binary"
+PART_BUCKETS, TREE_WIDTH, TREE_LEVELS = 1 << 15, 64, 3
+
+
+def _blobs(table: np.ndarray, task: int) -> pa.RecordBatch:
+    """``table`` has four rows of counts and two of marks, one column for each bucket."""
+    rows = []
+    for part, low in enumerate(range(0, table.shape[1], PART_BUCKETS)):
+        own = table[:, low : low + PART_BUCKETS]
+        used = np.flatnonzero(own.any(axis=0))
+        if len(used):
+            planes = np.ascontiguousarray(np.concatenate((used[None], own[:, used])), "<i8").view(np.uint8).reshape(7, len(used), 8).transpose(0, 2, 1)
+            rows.append((part, task, len(used), zstandard.ZstdCompressor(level=3).compress(planes.tobytes())))
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else ([],) * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "task", "n", "packed"])
+
+
+def _unfold(n: int, packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(7, 8, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(7, n)
+
+
+def _merge_blobs(blobs: pa.Table) -> pa.Table:
+    """One blob of all the blobs of a part: counts are added, marks are joined."""
+    part, task = blobs["part"][0].as_py(), blobs["task"][0].as_py()
+    table = np.zeros((6, PART_BUCKETS), np.int64)
+    for n, packed in zip(blobs["n"].to_pylist(), blobs["packed"].to_pylist(), strict=True):
+        own = _unfold(n, packed)
+        table[:4, own[0]] += own[1:5]
+        table[4:, own[0]] |= own[5:]
+    merged = pa.Table.from_batches([_blobs(table, task)])
+    return merged.set_column(0, "part", pa.array([part] * len(merged), pa.int32()))
+
+
+def _unfold_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, n, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "packed")), strict=True):
+            own = _unfold(n, packed)
+            own = np.concatenate((own[:1] + part * PART_BUCKETS, own[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], ["bucket", "c0", "t0", "c1", "t1", "cm", "tm"])
+
+
 def choose_windows(sample: DataFrame, others: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, list[bytes]]]:
     """``(label, words)`` of the windows of most evidence and, of clean rows, some more of the text.
 
