@@ -70,7 +70,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     """``n`` rows of +1 / -1. Up to six languages: every split in two; more: the random code of the widest distance."""
     if n <= 6:
         splits = range(1, 1 << (n - 1)) if n > 1 else ()
-        return np.array([[1 if s >> row & 1 else -1 for s in splits] for row in range(n)], float).reshape(n, -1)
+        return np.array([[1 if s >> row & 1 else -1 for s in splits] for row in range(n)], float).reshape(n, max(0, (1 << n >> 1) - 1))
     rng, best, width = np.random.default_rng(seed), None, -1
     for _ in range(200):
         code = rng.choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
