@@ -105,46 +105,28 @@ def load_row_counts(w: Workload) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-register("clean_customers", decimals=True, sql=_q("SELECT * FROM customers_clean0"))(lambda w: w.customers_clean0)
-register("clean_subscriptions", decimals=True, sql=_q("SELECT * FROM subscriptions_clean0"))(lambda w: w.subscriptions_clean0)
-register("clean_events", _q("SELECT * FROM events_clean0"))(lambda w: w.events_clean0)
-register("dedup_events", _q("SELECT * FROM events_cleaned"))(lambda w: w.events)
-register("dedup_subscriptions", decimals=True, sql=_q("SELECT * FROM subscriptions_cleaned"))(lambda w: w.subscriptions)
-register("customers_override_signup", decimals=True, sql=_q("SELECT * FROM customers_cleaned"))(lambda w: w.customers)
-register("preview_customers", decimals=True, sql=_q("SELECT * FROM customers_cleaned ORDER BY customer_id LIMIT 5"))(
+register("clean_customers", decimals=True, sql=_q("SELECT * FROM c_clean"))(lambda w: w.customers_clean0)
+register("clean_subscriptions", decimals=True, sql=_q("SELECT * FROM s_clean"))(lambda w: w.subscriptions_clean0)
+register("clean_events", _q("SELECT * FROM e_clean"))(lambda w: w.events_clean0)
+register("dedup_events", _q("SELECT * FROM e_unique"))(lambda w: w.events)
+register("dedup_subscriptions", decimals=True, sql=_q("SELECT * FROM s_unique"))(lambda w: w.subscriptions)
+register("customers_override_signup", decimals=True, sql=_q("SELECT * FROM c_final"))(lambda w: w.customers)
+register("preview_customers", decimals=True, sql=_q("SELECT * FROM c_final ORDER BY customer_id LIMIT 5"))(
     lambda w: preview(w.customers, "customer_id", 5)
 )
 register(
     "customer_acquisition_source",
-    _q(f"SELECT c.customer_id, {O.SOURCE_OF.format(cid='c.customer_id')} AS source FROM customers_cleaned c"),
+    _q("SELECT customer_id, source FROM c_cell"),
 )(lambda w: w.dim.select("customer_id", "source"))
 
 # --- calendar and metrics ------------------------------------------------------------
 
-register("month_spine", _q(O.MONTHS_SQL, "SELECT month_start, month_end FROM month_ends"))(
+register("month_spine", _q(O.MONTHS_SQL, "SELECT month_start, month_end FROM months"))(
     lambda w: w.month_spine()
 )
 
 
-@register(
-    "active_subscription_months",
-    decimals=True,
-    sql=_q(
-        O.MONTHS_SQL,
-        """SELECT m.month_start, s.subscription_id, s.customer_id, s.monthly_price
-FROM month_ends m JOIN subscriptions_cleaned s
-  ON s.start_date <= m.month_end AND (s.end_date IS NULL OR s.end_date > m.month_end) AND s.status = 'active'""",
-    ),
-)
-def active_subscription_months(w: Workload) -> DataFrame:
-    """Every (month, active subscription) pair, from the per-row month expansion."""
-    from ..operators.calendar import active_subscription_months as asm
-
-    lo, hi = w.bounds()
-    return asm(w.subscriptions, lo, hi)
-
-
-register("active_customers_by_month", _q(O.MONTHS_SQL, O.METRICS_SQL, "SELECT * FROM detailed_active"))(
+register("active_customers_by_month", _q(O.MONTHS_SQL, O.METRICS_SQL, "SELECT * FROM active"))(
     lambda w: M.active_customers_by_month(w.customer_segments(), w.dim)
 )
 
@@ -155,7 +137,7 @@ register(
         O.MONTHS_SQL,
         O.METRICS_SQL,
         """SELECT month_start, segment, country, source, CAST(mrr AS DECIMAL(22,2)) AS mrr,
-       CAST(arr AS DECIMAL(22,2)) AS arr, active_customers FROM detailed_revenue""",
+       CAST(arr AS DECIMAL(22,2)) AS arr, active_customers FROM revenue""",
     ),
 )(lambda w: w.revenue_by_cell())
 
@@ -166,8 +148,8 @@ register(
         O.MONTHS_SQL,
         O.METRICS_SQL,
         """SELECT month_start, customer_id, segment, country, source, COUNT(*) AS fanout_rows,
-       CAST(COALESCE(SUM(monthly_price), 0) AS DECIMAL(22,2)) AS lost_mrr
-FROM detailed_churn_base GROUP BY month_start, customer_id, segment, country, source""",
+       CAST(COALESCE(SUM(price), 0) AS DECIMAL(22,2)) AS lost_mrr
+FROM lost GROUP BY month_start, customer_id, segment, country, source""",
     ),
 )(lambda w: w.churn_base())
 
@@ -178,7 +160,7 @@ register(
         O.MONTHS_SQL,
         O.METRICS_SQL,
         """SELECT month_start, segment, country, source, churned_logos,
-       CAST(lost_mrr AS DECIMAL(22,2)) AS lost_mrr FROM detailed_churned""",
+       CAST(lost_mrr AS DECIMAL(22,2)) AS lost_mrr FROM lost_cell""",
     ),
 )(lambda w: M.churned_by_cell(w.churn_base()))
 
@@ -201,24 +183,24 @@ register(
 
 # --- funnel --------------------------------------------------------------------------
 
-register("customer_funnel_base", _q(O.FUNNEL_SQL, "SELECT * FROM customer_funnel_base"))(
+register("customer_funnel_base", _q(O.FUNNEL_SQL, "SELECT * FROM people"))(
     lambda w: w.funnel_base()
 )
-register("funnel_counts", _q(O.FUNNEL_SQL, "SELECT * FROM funnel_aggregated"))(
+register("funnel_counts", _q(O.FUNNEL_SQL, "SELECT * FROM stages"))(
     lambda w: N.funnel_counts(w.funnel_base())
 )
 register(
     "funnel_rates",
     decimals=True,
-    sql=_q(O.FUNNEL_SQL, "fr AS (" + O.funnel_rates_select("funnel_aggregated") + ")",
+    sql=_q(O.FUNNEL_SQL, "fr AS (" + O.funnel_rates_select("stages") + ")",
        "SELECT * EXCLUDE (data_flag) FROM fr"),
 )(lambda w: N.funnel_rates(N.funnel_counts(w.funnel_base())))
 register(
     "funnel_flags",
-    _q(O.FUNNEL_SQL, "fr AS (" + O.funnel_rates_select("funnel_aggregated") + ")",
+    _q(O.FUNNEL_SQL, "fr AS (" + O.funnel_rates_select("stages") + ")",
        "SELECT month_start, segment, country, source, total_signups, total_trials, total_activated, "
        "total_paid, total_churned, data_flag FROM fr"),
 )(lambda w: N.funnel_flags(N.funnel_counts(w.funnel_base())))
-register("funnel_performance", _q(O.FUNNEL_SQL, O.funnel_rates_select("funnel_aggregated")), decimals=True)(
+register("funnel_performance", _q(O.FUNNEL_SQL, O.funnel_rates_select("stages")), decimals=True)(
     lambda w: w.funnel_performance()
 )

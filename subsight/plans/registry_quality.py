@@ -49,8 +49,8 @@ TYPED_TYPES = {
     "subscriptions": ["string", "string", "date", "date", "decimal(10,2)", "string"],
     "events": ["string", "string", "string", "date", "string"],
 }
-FINAL = {"customers": "customers_cleaned", "subscriptions": "subscriptions_cleaned", "events": "events_cleaned"}
-CLEAN0 = {"customers": "customers_clean0", "subscriptions": "subscriptions_clean0", "events": "events_clean0"}
+FINAL = {"customers": "c_final", "subscriptions": "s_unique", "events": "e_unique"}
+CLEAN0 = {"customers": "c_clean", "subscriptions": "s_clean", "events": "e_clean"}
 
 
 def _not_in(table: str, other: str) -> str:
@@ -79,11 +79,11 @@ def _row_counts() -> str:
 
 def _null_dates() -> str:
     rows = [
-        ("customers_clean0", "customers", "signup_date", "cleaned"),
-        ("events_clean0", "events", "event_date", "cleaned"),
-        ("subscriptions_clean0", "subscriptions", "start_date", "cleaned"),
-        ("subscriptions_clean0", "subscriptions", "end_date", "cleaned"),
-        ("customers_cleaned", "customers", "signup_date", "final"),
+        ("c_clean", "customers", "signup_date", "cleaned"),
+        ("e_clean", "events", "event_date", "cleaned"),
+        ("s_clean", "subscriptions", "start_date", "cleaned"),
+        ("s_clean", "subscriptions", "end_date", "cleaned"),
+        ("c_final", "customers", "signup_date", "final"),
     ]
     return "\nUNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{s}' AS stage, "
@@ -156,12 +156,12 @@ CHECK_SQL: dict[str, tuple[str, bool]] = {
         False,
     ),
     "dup_key_counts": (
-        "SELECT customer_id, COUNT(*) AS row_count FROM customers_clean0 GROUP BY customer_id HAVING COUNT(*) > 1",
+        "SELECT customer_id, COUNT(*) AS row_count FROM c_clean GROUP BY customer_id HAVING COUNT(*) > 1",
         False,
     ),
     "dup_row_counts": (
         "SELECT customer_id, signup_date, segment, country, is_enterprise, COUNT(*) AS dup_count "
-        "FROM customers_clean0 GROUP BY ALL HAVING COUNT(*) > 1",
+        "FROM c_clean GROUP BY ALL HAVING COUNT(*) > 1",
         True,
     ),
     "dup_rows_customers": (_dup_rows("customers"), False),
@@ -310,6 +310,6 @@ for _short, _t in VALUE_COUNTS.items():
 for _col in ("is_enterprise", "segment"):
     register(
         f"group_counts_{_col}",
-        sql=_sql(f"SELECT {_col}, COUNT(*) AS count FROM customers_clean0 GROUP BY {_col}"),
+        sql=_sql(f"SELECT {_col}, COUNT(*) AS count FROM c_clean GROUP BY {_col}"),
         decimals=_col == "is_enterprise",
     )((lambda c: lambda w: P.value_counts(w.customers_clean0, c))(_col))

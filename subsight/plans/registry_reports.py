@@ -9,7 +9,7 @@ from . import oracle_sql as O
 from .registry import register
 
 CM = "cm AS (" + O.CORE_METRICS_SELECT + ")"
-FP = "fp AS (" + O.funnel_rates_select("funnel_aggregated") + ")"
+FP = "fp AS (" + O.funnel_rates_select("stages") + ")"
 
 SLICE = {"segment": ["BUILDING", "FURNITURE"], "source": ["ads", "organic"]}
 
