@@ -38,7 +38,7 @@ from subsight.llm.suffix_array import equal_prefixes
 LENGTH = 50
 GRAM = 24
 #: Text bytes in a block; window starts worked on at a time.
-BLOCK_BYTES, SEGMENT = 8 << 20, 1 << 20
+BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 18
 #: Text bytes of which one task groups the grams, about.
 SLICE_BYTES = 16 << 20
 #: Spans of one gram in a block above which they all go to step 3.
@@ -125,7 +125,10 @@ class Block:
 
     @classmethod
     def unpack(cls, packed: bytes) -> Block:
-        rows = pa.ipc.open_stream(io.BytesIO(zstandard.ZstdDecompressor().decompress(packed))).read_all()
+        return cls.of(pa.ipc.open_stream(io.BytesIO(zstandard.ZstdDecompressor().decompress(packed))).read_all())
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Block:
         ids = pc.fill_null(rows.column(rows.num_columns - 2), NO_ID).to_numpy()
         order = np.argsort(ids, kind="stable")
         rows = rows.take(pa.array(order))
@@ -183,67 +186,73 @@ def others_of(docs: DataFrame, text: str = "text") -> list[str]:
     return [c for c in docs.columns if c != text]
 
 
-def pack_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _with_id_and_text(docs: DataFrame, others: list[str]) -> DataFrame:
+    return docs.select(*[docs[c] for c in others], docs["doc_id"].cast("long").alias(spare_name(others, "id")), docs["text"].cast("string").alias("text"))
+
+
+def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """``(number, rows)`` of each block; the numbers come from the partition and the order in it."""
+    held, size, number, seen = [], 0, TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        low = 0
+        while low < batch.num_rows:  # cut at every 128 rows of the partition, wherever its batches end
+            piece = batch.slice(low, 128 - seen % 128)
+            low, seen = low + piece.num_rows, seen + piece.num_rows
+            held.append(piece)
+            size += pc.sum(pc.binary_length(piece.column(piece.num_columns - 1))).as_py() or 0
+            if size >= BLOCK_BYTES and seen % 128 == 0:
+                yield number, pa.Table.from_batches(held)
+                held, size, number = [], 0, number + 1
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+def pack_blocks(docs: DataFrame) -> DataFrame:
     """``(block, packed)``: the rows of ``docs`` with all their columns, many to a block.
 
-    Block numbers come from the partition and the order in it, and the blocks are made again for
-    each step: ``docs`` must be a read that gives the same rows again, as a stored table is.
+    The blocks are made again for each step: ``docs`` must be a read that gives the same rows
+    again, as a stored table is.
     """
-    rows = docs.select(*[docs[c] for c in others_of(docs, text)], docs[doc_id].cast("long").alias(spare_name(others_of(docs, text), "id")), docs[text].cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+        for number, rows in _cut_blocks(batches):
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, held[0].schema) as writer:
-                for batch in held:
-                    writer.write_batch(batch)
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_table(rows)
             packed = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed], pa.binary())], ["block", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed], pa.binary())], ["block", "packed"])
 
-        held, size, block = [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for low in range(0, batch.num_rows, 128):
-                piece = batch.slice(low, 128)
-                held.append(piece)
-                size += pc.sum(pc.binary_length(piece.column(piece.num_columns - 1))).as_py() or 0
-                if size >= BLOCK_BYTES:
-                    yield flush(held, block)
-                    held, size, block = [], 0, block + 1
-        if held:
-            yield flush(held, block)
+    return _with_id_and_text(docs, others_of(docs)).mapInArrow(run, "block long, packed binary")
 
-    return rows.mapInArrow(run, "block long, packed binary")
 
-
-def gram_entries(blocks: DataFrame, slices: int, length: int = LENGTH) -> DataFrame:
+def gram_entries(docs: DataFrame, slices: int, length: int = LENGTH) -> DataFrame:
     """``(block, slice, n, ids, packed)``: the entries of every block, by the leading bits of the gram."""
     shift = np.uint64(64 - (slices - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                block = Block.unpack(packed)
-                e = make_entries(find_anchors(block.text, block.edges, length))
-                edges = _groups(e.gram)
-                crowded = np.repeat(np.diff(edges) > MANY, np.diff(edges))
-                rows, cut = [], np.searchsorted(e.gram >> shift, np.arange(slices + 1, dtype=np.uint64)) if slices > 1 else np.array([0, len(e.gram)])
-                for k in range(slices):
-                    s = slice(cut[k], cut[k + 1])
-                    if s.stop == s.start:
-                        continue
-                    # a crowded gram is sent as two spans that nobody else has: all its spans are to be looked at
-                    keep = ~crowded[s]
-                    marks = np.unique(e.gram[s][~keep])
-                    gram = np.concatenate((e.gram[s][keep], np.repeat(marks, 2)))
-                    span = np.concatenate((e.span[s][keep], np.tile(np.arange(2, dtype=np.uint64) + np.uint64(number & _MASK), len(marks))))
-                    doc = np.concatenate((e.doc[s][keep], np.zeros(2 * len(marks), np.int64)))
-                    used, doc = np.unique(doc, return_inverse=True)
-                    rows.append((number, k, len(gram), _squeeze(block.ids[used]), len(used), _squeeze(gram, span, doc.astype("<u4"))))
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-                columns = zip(*rows, strict=True) if rows else ([],) * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "slice", "n", "ids", "m", "packed"])
-
-    return blocks.mapInArrow(run, "block long, slice int, n int, ids binary, m int, packed binary")
+        for number, rows in _cut_blocks(batches):
+            block = Block.of(rows)
+            e = make_entries(find_anchors(block.text, block.edges, length))
+            edges = _groups(e.gram)
+            crowded = np.repeat(np.diff(edges) > MANY, np.diff(edges))
+            rows, cut = [], np.searchsorted(e.gram >> shift, np.arange(slices + 1, dtype=np.uint64)) if slices > 1 else np.array([0, len(e.gram)])
+            for k in range(slices):
+                s = slice(cut[k], cut[k + 1])
+                if s.stop == s.start:
+                    continue
+                # a crowded gram is sent as two spans that nobody else has: all its spans are to be looked at
+                keep = ~crowded[s]
+                marks = np.unique(e.gram[s][~keep])
+                gram = np.concatenate((e.gram[s][keep], np.repeat(marks, 2)))
+                span = np.concatenate((e.span[s][keep], np.tile(np.arange(2, dtype=np.uint64) + np.uint64(number & _MASK), len(marks))))
+                doc = np.concatenate((e.doc[s][keep], np.zeros(2 * len(marks), np.int64)))
+                used, doc = np.unique(doc, return_inverse=True)
+                rows.append((number, k, len(gram), _squeeze(block.ids[used]), len(used), _squeeze(gram, span, doc.astype("<u4"))))
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+            columns = zip(*rows, strict=True) if rows else ([],) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "slice", "n", "ids", "m", "packed"])
+
+    return _with_id_and_text(docs, []).mapInArrow(run, "block long, slice int, n int, ids binary, m int, packed binary")
 
 
 def _judge_slice(rows: pa.Table) -> pa.Table:
@@ -422,7 +431,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, as_tex
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 << max(0, (-(-total // SLICE_BYTES) - 1).bit_length())
     blocks = pack_blocks(docs)
-    judged = gram_entries(blocks, slices, length).groupBy("slice").applyInArrow(_judge_slice, "block long, slice int, codes binary")
+    judged = gram_entries(docs, slices, length).groupBy("slice").applyInArrow(_judge_slice, "block long, slice int, codes binary")
     codes = landed(judged, "gram-codes")
     pieces = landed(unsettled_pieces(blocks, codes, slices, length), "pieces")
     settled = settle(pieces, length, hot)
