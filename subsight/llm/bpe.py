@@ -8,6 +8,7 @@ the table of token bytes, which is as large as the vocabulary file and no larger
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,6 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from subsight.llm.common import table
 from subsight.llm.wordcodes import encode_corpus
@@ -47,6 +47,14 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             pairs[k] = ranks.get(parts[k] + parts[k + 1])
 
 
+def _encoded(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
+    def encoder():
+        ranks = read_ranks(path)
+        return lambda words: [np.array(merge_word(w, ranks), "<u4").tobytes() for w in words]
+
+    return encode_corpus(docs, regex.compile(pattern).findall, True, encoder, **options)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` per row of ``docs``; ``ids`` are little-endian unsigned 32-bit integers.
 
@@ -54,12 +62,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
     encoded like any other. Columns other than ``doc_id`` and ``text`` are not read. An empty
     table gives an empty result.
     """
+    return _encoded(docs, path, pattern)
 
-    def encoder():
-        ranks = read_ranks(path)
-        return lambda words: [np.array(merge_word(w, ranks), "<u4").tobytes() for w in words]
 
-    return encode_corpus(docs, regex.compile(pattern).findall, True, encoder)
+def _decode(ids: bytes, token_bytes: dict[int, bytes]) -> bytes:
+    return b"".join(map(token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -68,20 +75,27 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes = dict(map(reversed, read_ranks(path).items()))
         for batch in batches:
-            found = [
-                None if ids is None else b"".join(map(token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                for ids in batch.column("ids").to_pylist()
-            ]
+            found = [None if ids is None else _decode(ids, token_bytes) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in encoded.dtypes), "decoded binary"])
     return encoded.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row, encoded and decoded again."""
-    done = decode_documents(encode_documents(docs, path), path)
-    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row, encoded and decoded again.
+
+    As ``decode_documents(encode_documents(docs))``, but ids and bytes stay where they are made.
+    """
+
+    def finish(rows: pa.Table) -> pa.Table:
+        token_bytes = dict(map(reversed, read_ranks(path).items()))
+        ids = rows["ids"].to_pylist()
+        own = [hashlib.sha256(x).hexdigest() for x in ids]
+        back = [hashlib.sha256(_decode(x, token_bytes)).hexdigest() for x in ids]
+        return pa.table({"doc_id": rows["doc_id"], "n_tokens": rows["n_tokens"], "ids_sha256": pa.array(own, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
+
+    return _encoded(docs, path, pattern, finish=finish, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

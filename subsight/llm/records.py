@@ -37,7 +37,7 @@ from subsight.session import scratch_table_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Payload bytes per file, about: a file is read by one task.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 
 #: Characters with which letters, digits and signs can be told apart before the tokenizer's own
 #: normalisation: no marks that combine, none whose lower case is two characters, no apostrophe.
@@ -50,12 +50,7 @@ def split_unit(unit: str) -> list[str]:
     return PARTS.findall(unit) if "<|" not in unit and PLAIN.fullmatch(unit) else [unit]
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` by the tokenizers library's file at ``path``, no special tokens added.
-
-    Words are encoded once each, without regard to where they stand; null and empty texts have no ids.
-    """
-
+def _encoded(docs: DataFrame, path: str, **options) -> DataFrame:
     def encoder():
         import os
 
@@ -70,7 +65,15 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
         return encode
 
-    return encode_corpus(docs, split_unit, False, encoder, store=True)
+    return encode_corpus(docs, split_unit, False, encoder, **options)
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids)`` by the tokenizers library's file at ``path``, no special tokens added.
+
+    Words are encoded once each, without regard to where they stand; null and empty texts have no ids.
+    """
+    return _encoded(docs, path)
 
 
 def masked(data: bytes) -> int:
@@ -114,26 +117,42 @@ def file_bounds(docs: DataFrame, file_bytes: int = FILE_BYTES) -> list[int]:
     return sorted(set(found or []))
 
 
-def write_records(encoded: DataFrame, folder: str, bounds: list[int], end_id: int = END_ID) -> None:
-    """Write ``encoded`` (``doc_id, ids``; null ids: none) with ``end_id`` after each record's ids.
+FRAMED = "file int, doc_id long, record binary"
+
+
+def _framed(rows: pa.Table | pa.RecordBatch, bounds: list[int], end_id: int) -> pa.Table:
+    doc_ids = rows.column("doc_id").to_pylist()
+    if None in doc_ids:
+        raise ValueError("a record needs a doc_id")
+    records = [frame(k, np.append(np.frombuffer(raw or b"", "<u4"), np.uint32(end_id))) for k, raw in zip(doc_ids, rows.column("ids").to_pylist(), strict=True)]
+    file = np.searchsorted(np.array(bounds, np.int64), np.array(doc_ids, np.int64), "right").astype(np.int32)
+    # the line end that closes a record is the one that the text writer adds
+    return pa.table({"file": pa.array(file), "doc_id": pa.array(doc_ids, pa.int64()), "record": pa.array([r[:-1] for r in records], pa.binary())})
+
+
+def frame_records(encoded: DataFrame, bounds: list[int], end_id: int = END_ID) -> DataFrame:
+    """``(file, doc_id, record)``: ``encoded`` (``doc_id, ids``; null ids: none) with ``end_id`` after each record's ids.
 
     ``bounds`` cut the files (``file_bounds``). Rows with a null ``doc_id`` have no place in the order
-    and are an error. Repeated rows are written each. An empty table gives an empty data set.
+    and are an error. Repeated rows are records each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            if None in doc_ids:
-                raise ValueError("a record needs a doc_id")
-            records = [frame(k, np.append(np.frombuffer(raw or b"", "<u4"), np.uint32(end_id))) for k, raw in zip(doc_ids, batch.column("ids").to_pylist(), strict=True)]
-            # the line end that closes a record is the one that the text writer adds
-            columns = [pa.array(np.searchsorted(bounds, doc_ids, "right").astype(np.int32)), batch.column("doc_id"), pa.array([r[:-1] for r in records], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "record"])
-
-    spark = encoded.sparkSession
-    framed = encoded.select("doc_id", "ids").mapInArrow(run, "file int, doc_id long, record binary")
-    ordered = framed.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("doc_id", "record")
+            yield from _framed(batch, bounds, end_id).to_batches()
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, FRAMED)
+
+
+def encode_framed(docs: DataFrame, path: str, bounds: list[int], end_id: int = END_ID) -> DataFrame:
+    """``frame_records(encode_documents(docs))``, the ids staying where they are made."""
+    return _encoded(docs, path, finish=lambda rows: _framed(rows, bounds, end_id), schema=FRAMED)
+
+
+def write_records(framed: DataFrame, folder: str, files: int) -> None:
+    """Write framed records into ``files`` files and an index. An empty table gives an empty data set."""
+    spark = framed.sparkSession
+    ordered = framed.repartitionById(files, "file").sortWithinPartitions("doc_id", "record")
     # bytes go through a string column as they are: nothing checks or changes them
     ordered.select(F.col("record").cast("string").alias("value")).write.mode("errorifexists").text(f"{folder}/data")
     # the index is read off the files, so it says what is in them
@@ -190,5 +209,6 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, docs = scratch_table_path(spark, "llm-records"), table(spark, sf_dir, "documents")
-    write_records(encode_documents(docs, public_tokenizers.path(VOCABULARY)), folder, file_bounds(docs))
+    bounds = file_bounds(docs)
+    write_records(encode_framed(docs, public_tokenizers.path(VOCABULARY), bounds), folder, len(bounds) + 1)
     return read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from subsight.llm.common import landed
 
 #: Text bytes gathered into one block (a longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Slices of the vocabulary; a task holds the distinct words of one slice at a time.
 SLICES = 256
 
@@ -135,16 +135,19 @@ def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> Dat
                 if own := [words[w] for w in order[edges[k] : edges[k + 1]].tolist()]:
                     rows.append((block, k, None, None, len(own), _pack_words(own), None))
         types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        columns = zip(*rows, strict=True) if rows else ([],) * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, block = [], 0, TaskContext.get().partitionId() << 32
+        held, size, block, seen = [], 0, TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                piece = batch.slice(low, 256)
+            low = 0
+            while low < batch.num_rows:  # cut at every 128 rows of the partition, wherever its batches end
+                piece = batch.slice(low, 128 - seen % 128)
+                low, seen = low + piece.num_rows, seen + piece.num_rows
                 held.append(piece)
                 size += pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
-                if size >= BLOCK_BYTES:
+                if size >= BLOCK_BYTES and seen % 128 == 0:
                     yield from flush(held, block)
                     held, size, block = [], 0, block + 1
         if held:
@@ -202,15 +205,23 @@ def _assemble(bodies: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "n_tokens": pa.array(out_n, pa.int64()), "ids": pa.array(out_bytes, pa.binary())})
 
 
-def encode_corpus(docs: DataFrame, split: Split, spaced: bool, encoder: Callable[[], Encode], store: bool = False) -> DataFrame:
+def encode_corpus(
+    docs: DataFrame,
+    split: Split,
+    spaced: bool,
+    encoder: Callable[[], Encode],
+    store: bool = False,
+    finish: Callable[[pa.Table], pa.Table] | None = None,
+    schema: str = "doc_id long, n_tokens long, ids binary",
+) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` per row of ``docs``; ``ids`` are little-endian unsigned 32-bit integers.
 
     ``split`` cuts a unit of text into words that are encoded on their own (a single run of letters
-    always is one word); ``encoder`` makes, once
-    in each task, the function that gives the id bytes of each of a list of words. ``store`` writes
-    the packed blocks to the shared checkpoint folder and reads both sides from there; without it
-    the texts are packed once for each side, which takes more time and less disk. A null text has
-    no ids. Rows are not merged.
+    always is one word); ``encoder`` makes, once in each task, the function that gives the id bytes
+    of each of a list of words. ``store`` writes the packed blocks to the shared checkpoint folder
+    and reads both sides from there; without it the texts are packed once for each side, which
+    takes more time and less disk. ``finish`` turns the rows of a block into others, of ``schema``,
+    where they are put together. A null text has no ids. Rows are not merged.
     """
     if store:
         packed = landed(pack(docs, split, spaced), "packed")
@@ -223,4 +234,9 @@ def encode_corpus(docs: DataFrame, split: Split, spaced: bool, encoder: Callable
         .sortWithinPartitions("slice")
         .mapInArrow(_encode_slices(encoder), "block long, slice int, n int, ids binary")
     )
-    return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+
+    def put_together(bodies: pa.Table, words: pa.Table) -> pa.Table:
+        rows = _assemble(bodies, words)
+        return rows if finish is None else finish(rows)
+
+    return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(put_together, schema)

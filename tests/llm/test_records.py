@@ -56,7 +56,8 @@ def test_query_against_the_library_and_the_files(spark):
 
 def written(spark, rows, bounds):
     folder = scratch_table_path(spark, "test-records")
-    records.write_records(spark.createDataFrame(rows, "doc_id long, ids binary"), folder, bounds)
+    encoded = spark.createDataFrame(rows, "doc_id long, ids binary")
+    records.write_records(records.frame_records(encoded, bounds), folder, len(bounds) + 1)
     return folder
 
 
