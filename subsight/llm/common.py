@@ -41,3 +41,11 @@ def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """A function that gives ``value`` inside tasks; it is broadcast once, so its size must be bounded."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(packed.value)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on in this session: texts are long, and a batch of the
+    usual 10,000 rows is held by the executor, by the socket and by the worker at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsight.llm.common import landed, spare_name, table
+from subsight.llm.common import landed, small_batches, spare_name, table
 from subsight.llm.suffix_array import equal_prefixes
 
 LENGTH = 50
@@ -428,6 +428,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, as_tex
     """
     if not GRAM + 8 <= length <= 64:
         raise ValueError(f"length must be from {GRAM + 8} to 64")
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 << max(0, (-(-total // SLICE_BYTES) - 1).bit_length())
     blocks = pack_blocks(docs)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsight.llm import gru
-from subsight.llm.common import shared, table, utf8
+from subsight.llm.common import shared, small_batches, table, utf8
 from subsight.llm.langid import remainder
 
 #: Words per window, and words from one window's start to the next.
@@ -388,6 +388,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityMo
 
     Rows with a null in any of these, and labels other than 0 and 1, teach nothing.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = count_features(texts.join(known, "doc_id"))

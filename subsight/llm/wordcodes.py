@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsight.llm.common import landed
+from subsight.llm.common import landed, small_batches
 
 #: Text bytes gathered into one block (a longer text is a block of its own).
 BLOCK_BYTES = 6 << 20
@@ -223,6 +223,7 @@ def encode_corpus(
     takes more time and less disk. ``finish`` turns the rows of a block into others, of ``schema``,
     where they are put together. A null text has no ids. Rows are not merged.
     """
+    small_batches(docs.sparkSession)
     if store:
         packed = landed(pack(docs, split, spaced), "packed")
         bodies, listed = packed.where("slice < 0"), packed.where("slice >= 0")
