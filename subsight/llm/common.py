@@ -49,3 +49,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows:
         spark.conf.set(name, str(rows))
+
+
+def lean_memory() -> None:
+    """In a task: Arrow gives buffers back to the system when they are dropped, and does not keep them."""
+    pa.set_memory_pool(pa.system_memory_pool())

@@ -32,15 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsight.llm.common import landed, small_batches, spare_name, table
+from subsight.llm.common import landed, lean_memory, small_batches, spare_name, table
 from subsight.llm.suffix_array import equal_prefixes
 
 LENGTH = 50
 GRAM = 24
 #: Text bytes in a block; window starts worked on at a time.
-BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 18
+BLOCK_BYTES, SEGMENT = 3 << 20, 1 << 18
 #: Text bytes of which one task groups the grams, about.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 #: Spans of one gram in a block above which they all go to step 3.
 MANY = 64
 #: Text bytes in a suffix array; pieces of a deal above which windows are grouped instead.
@@ -215,6 +215,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for number, rows in _cut_blocks(batches):
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, rows.schema) as writer:
@@ -230,6 +231,7 @@ def gram_entries(docs: DataFrame, slices: int, length: int = LENGTH) -> DataFram
     shift = np.uint64(64 - (slices - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for number, rows in _cut_blocks(batches):
             block = Block.of(rows)
             e = make_entries(find_anchors(block.text, block.edges, length))
@@ -257,6 +259,7 @@ def gram_entries(docs: DataFrame, slices: int, length: int = LENGTH) -> DataFram
 
 def _judge_slice(rows: pa.Table) -> pa.Table:
     """``(block, slice, n, codes)``: what is known of each entry that a block has sent."""
+    lean_memory()
     parts = [(block, n, _unsqueeze(packed, n, "<u8", "<u8", "<u4"), _unsqueeze(ids, m, "<i8")[0]) for block, n, ids, m, packed in zip(*(rows[c].to_pylist() for c in ("block", "n", "ids", "m", "packed")), strict=True)]
     gram, span = (np.concatenate([p[2][k] for p in parts]) for k in (0, 1))
     ids = np.concatenate([p[3][p[2][2]] for p in parts])
@@ -344,6 +347,7 @@ def unsettled_pieces(blocks: DataFrame, codes: DataFrame, slices: int, length: i
     """``(block, piece, key, doc, text)``: the pieces that must be looked at, each once in its block."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        lean_memory()
         rows = []
         for number, packed in zip(blocks["block"].to_pylist(), blocks["packed"].to_pylist(), strict=True):
             block = Block.unpack(packed)
@@ -444,6 +448,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, as_tex
     columns = docs.columns
 
     def cut(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        lean_memory()
         out = []
         for packed in blocks["packed"].to_pylist():
             block = Block.unpack(packed)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsight.llm.common import landed, small_batches
+from subsight.llm.common import landed, lean_memory, small_batches
 
 #: Text bytes gathered into one block (a longer text is a block of its own).
 BLOCK_BYTES = 6 << 20
@@ -139,6 +139,7 @@ def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         held, size, block, seen = [], 0, TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             low = 0
@@ -237,6 +238,7 @@ def encode_corpus(
     )
 
     def put_together(bodies: pa.Table, words: pa.Table) -> pa.Table:
+        lean_memory()
         rows = _assemble(bodies, words)
         return rows if finish is None else finish(rows)
 
