@@ -15,7 +15,8 @@ from ..sources.schemas import PCT, PRICE, RATE
 # Fixed values of the workload: accepted spellings of a true / false flag.
 TRUE_WORDS = ("TRUE", "T", "1")
 FALSE_WORDS = ("FALSE", "F", "0")
-DATE_FORMAT = "yyyy-MM-dd"
+DATE_FORMAT = "yyyy-M-d"  # one or two digits of month and day
+DATE_TIME_FORMAT = "yyyy-M-d HH:mm:ss"
 
 
 def _c(c: Column | str) -> Column:
@@ -31,10 +32,15 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    """Blank-safe ``yyyy-MM-dd`` parse; unparsable text gives NULL, never an error."""
+    """Blank-safe year-month-day parse; unparsable text gives NULL, never an error."""
     return F.try_to_date(blank_to_null(c), DATE_FORMAT)
 
 
+def parse_date_or_time(c: Column | str) -> Column:
+    """As ``parse_date``, but text with a time of day gives its date (the typed read of the checks)."""
+    return F.coalesce(parse_date(c), F.try_to_timestamp(blank_to_null(c), F.lit(DATE_TIME_FORMAT)).cast("date"))
+
+
 def parse_flag(c: Column | str) -> Column:
     """Text to 0/1: TRUE/T/1 -> 1, FALSE/F/0 -> 0 (case-insensitive, trimmed), else NULL."""
     u = F.upper(F.trim(_c(c)))

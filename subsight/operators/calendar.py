@@ -1,7 +1,7 @@
 """The month axis (M1-M2) and the "active at month end" expansion.
 
-The spine bounds are two scalar subqueries (one aggregate row each), so no join
-is needed to attach them: Spark evaluates each once and inlines the value.
+The spine bounds are one small aggregate; callers evaluate it once and pass the two
+dates on as literals, so no plan carries the aggregate inside it.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ def _one_month():
     return F.expr("INTERVAL 1 MONTH")
 
 
-def spine_bounds(customers: DataFrame, subs: DataFrame, events: DataFrame) -> tuple[Column, Column]:
-    """(first month, last month) of the calendar, as one scalar subquery.
+def spine_bounds(customers: DataFrame, subs: DataFrame, events: DataFrame) -> DataFrame:
+    """``(lo, hi)``: the first and the last month of the calendar, as one row (nulls without any date).
 
     First = month of the earliest signup; last = month of the latest date seen
     anywhere (end, start, event and signup dates). One aggregate over a union of
@@ -24,26 +24,22 @@ def spine_bounds(customers: DataFrame, subs: DataFrame, events: DataFrame) -> tu
     does). Subscriptions and events may be passed *before* deduplication: the
     extremes of a column do not change when duplicate rows collapse.
     """
+    none = F.lit(None).cast("date").alias("lo_d")
     d = (
         customers.select(F.col("signup_date").alias("lo_d"), F.col("signup_date").alias("hi_d"))
-        .unionByName(
-            subs.select(F.lit(None).cast("date").alias("lo_d"), F.greatest("end_date", "start_date").alias("hi_d"))
-        )
-        .unionByName(events.select(F.lit(None).cast("date").alias("lo_d"), F.col("event_date").alias("hi_d")))
+        .unionByName(subs.select(none, F.greatest("end_date", "start_date").alias("hi_d")))
+        .unionByName(events.select(none, F.col("event_date").alias("hi_d")))
     )
-    b = d.agg(F.struct(month_start(F.min("lo_d")).alias("lo"), month_start(F.max("hi_d")).alias("hi"))).scalar()
-    return b.getField("lo"), b.getField("hi")
+    return d.agg(month_start(F.min("lo_d")).alias("lo"), month_start(F.max("hi_d")).alias("hi"))
 
 
-def month_spine(customers: DataFrame, subs: DataFrame, events: DataFrame) -> DataFrame:
+def month_spine(bounds: DataFrame) -> DataFrame:
     """M1+M2: one row per month from the first to the last month, with its last day.
 
-    Generated by ``sequence`` from a one-row aggregate of the customers table
-    (never a recursive CTE: Spark caps recursion depth at 100 levels).
+    Generated by ``sequence`` from the one-row ``bounds`` (never a recursive CTE:
+    Spark caps recursion depth at 100 levels).
     """
-    lo, hi = spine_bounds(customers, subs, events)
-    first = customers.agg(F.count(F.lit(1)).alias("_n"))
-    return first.select(F.explode(F.sequence(lo, hi, _one_month())).alias("month_start")).select(
+    return bounds.select(F.explode(F.sequence("lo", "hi", _one_month())).alias("month_start")).select(
         "month_start", F.last_day("month_start").alias("month_end")
     )
 

@@ -135,7 +135,3 @@ def customer_dimension(customers: DataFrame, profile: DataFrame) -> DataFrame:
         "has_churned",
     )
 
-
-def override_signup(customers: DataFrame, profile: DataFrame) -> DataFrame:
-    """The cleaned customer table after the signup-date override."""
-    return customer_dimension(customers, profile).select(*CUSTOMER_COLS)

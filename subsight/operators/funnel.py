@@ -42,7 +42,8 @@ def customer_funnel_base(dim: DataFrame, subs: DataFrame) -> DataFrame:
 
     ``dim`` already carries the event-derived flags (one aggregate of the event
     log per customer), so only the paying set is joined here. NULL segment or
-    country become 'Unknown' in the funnel (the metric table keeps them).
+    country become 'Unknown' in the funnel (the metric table keeps them). Rows that
+    agree in month, customer, segment and country are one.
     """
     j = dim.join(paying_customers(subs), "customer_id", "left")
     return j.select(
@@ -56,7 +57,7 @@ def customer_funnel_base(dim: DataFrame, subs: DataFrame) -> DataFrame:
         F.coalesce("has_activated", F.lit(0)).alias("activated"),
         F.coalesce("paid", F.lit(0)).alias("paid"),
         F.coalesce("has_churned", F.lit(0)).alias("churned"),
-    )
+    ).distinct()
 
 
 def funnel_counts(base: DataFrame) -> DataFrame:

@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.schemas import MONEY, RATE
-from .calendar import active_spans, spine_bounds
+from .calendar import active_spans
 from .cleaning import ACTIVE, CANCELED, CHURNED
 
 CELL = ["month_start", "segment", "country", "source"]
 DIM_COLS = ["customer_id", "segment", "country", "source"]
 
 
+def cells_of(dim: DataFrame) -> DataFrame:
+    """The distinct cells of each customer: repeated customer rows are one, so they count and pay once."""
+    return dim.select(*DIM_COLS).distinct()
+
+
 # --- revenue: deltas and running sums instead of month x subscription rows ------------
 #
 # A subscription active from month f to month l adds +price at f and -price at
@@ -91,7 +96,7 @@ def active_customers_by_month(segments: DataFrame, dim: DataFrame) -> DataFrame:
 
     Inner join: subscriptions of customers missing from the customer table drop out.
     """
-    j = segments.join(dim.select(*DIM_COLS), "customer_id")
+    j = segments.join(cells_of(dim), "customer_id")
     return j.select(
         F.explode(F.sequence("seg_start", "seg_end", F.expr("INTERVAL 1 MONTH"))).alias("month_start"),
         "customer_id",
@@ -103,7 +108,7 @@ def active_customers_by_month(segments: DataFrame, dim: DataFrame) -> DataFrame:
 
 def revenue_by_cell(segments: DataFrame, dim: DataFrame, hi) -> DataFrame:
     """M4: mrr, arr = 12 x mrr, and active customers per cell and month."""
-    j = segments.join(dim.select(*DIM_COLS), "customer_id")
+    j = segments.join(cells_of(dim), "customer_id")
     ev = F.explode(
         F.array(
             F.struct(F.col("seg_start").alias("m"), F.lit(1).alias("dc"), F.col("mrr").alias("dm")),
@@ -192,15 +197,19 @@ def churn_by_customer_month(events: DataFrame, subs: DataFrame) -> DataFrame:
 
 
 def churn_base(churn_cm: DataFrame, dim: DataFrame) -> DataFrame:
-    """M5: churned customers per month with their cell, fan-out row count and lost MRR."""
-    return churn_cm.join(dim.select(*DIM_COLS), "customer_id").select(
+    """M5: churned customers per month with their cell, fan-out row count and lost MRR.
+
+    The fan-out starts from customer rows, so each repeat of a customer row repeats it.
+    """
+    cells = dim.groupBy(*DIM_COLS).agg(F.count(F.lit(1)).alias("copies"))
+    return churn_cm.join(cells, "customer_id").select(
         "month_start",
         "customer_id",
         "segment",
         "country",
         "source",
-        F.col("fanout_rows").cast("bigint").alias("fanout_rows"),
-        F.coalesce(F.col("lost"), F.lit(0)).cast(MONEY).alias("lost_mrr"),
+        (F.col("fanout_rows") * F.col("copies")).cast("bigint").alias("fanout_rows"),
+        F.coalesce(F.col("lost") * F.col("copies"), F.lit(0)).cast(MONEY).alias("lost_mrr"),
     )
 
 
@@ -240,13 +249,11 @@ def with_churn_rates(revenue: DataFrame, churned: DataFrame) -> DataFrame:
     )
 
 
-def core_metrics(subs: DataFrame, events: DataFrame, dim: DataFrame, lo=None, hi=None) -> DataFrame:
+def core_metrics(subs: DataFrame, events: DataFrame, dim: DataFrame, lo, hi) -> DataFrame:
     """The monthly metrics table, ordered by month, segment, country, source.
 
-    ``lo``/``hi`` are the calendar bounds (computed from the tables when omitted).
+    ``lo``/``hi`` are the calendar bounds (``calendar.spine_bounds``).
     """
-    if lo is None or hi is None:
-        lo, hi = spine_bounds(dim, subs, events)
     revenue = revenue_by_cell(customer_segments_of(subs, lo, hi), dim, hi)
     churned = churned_by_cell(churn_base(churn_by_customer_month(events, subs), dim))
     return with_churn_rates(revenue, churned).orderBy(*CELL)

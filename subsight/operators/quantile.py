@@ -1,22 +1,15 @@
 """Exact quantiles (linear interpolation, as a data-frame ``describe``) without
-gathering the column into one task.
+gathering the column into one task or the driver.
 
 Spark's exact ``percentile`` merges a map of every distinct value in a single
-final task. Here the work stays distributed:
+final task. Here the work stays distributed, in one lazy plan:
 
 1. value counts: ``groupBy(v).count()`` (partial aggregation collapses repeats,
    so one hot value is one row);
-2. approximate bucket bounds: ``percentile_approx`` gives ``B - 1`` cut points.
-   ``B`` grows with the row count (about 2M rows per bucket, 256 to 65,536
-   buckets) so every bucket's window stays task-sized; the cut points (at most
-   65,535 doubles) are fetched once, and Spark's ``Bucketizer`` assigns buckets
-   by binary search in the JVM;
-3. per-bucket totals (at most ``B`` rows) -> running offsets;
-4. a running count inside each bucket (a window partitioned by bucket);
-5. each distinct value then knows the rank range it covers, and the two order
-   statistics around each requested position are picked by a filter.
-
-The approximation only decides *where* buckets split; the answer is exact.
+2. counts per bucket of equal width between the least and the greatest value, at
+   most ``buckets`` rows, whose running sums say which bucket holds each rank;
+3. only the values of those buckets (two ranks for each probability) are ordered
+   and counted through.
 """
 
 from __future__ import annotations
@@ -26,61 +19,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_BUCKETS, MAX_BUCKETS = 256, 65536
-ROWS_PER_BUCKET = 2_000_000
-
+BUCKETS = 65536
 
-def bucket_count(n: int) -> int:
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, -(-n // ROWS_PER_BUCKET))))
 
-
-def exact_quantiles(
-    df: DataFrame, value: Column, probs: Sequence[float], buckets: int | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], buckets: int = BUCKETS) -> DataFrame:
     """One row per probability: (prob, quantile double); no row when the column is all NULL."""
-    from pyspark.ml.feature import Bucketizer
-
     v = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull())
-    rows = v.agg(F.count(F.lit(1))).first()[0]
-    n = F.lit(rows)
-    if buckets is None:
-        buckets = bucket_count(rows)
-    cuts = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10000, 4 * buckets)
-    row = v.agg(F.percentile_approx("v", cuts, accuracy).alias("b")).first()
-    bounds = sorted({b for b in (row["b"] or []) if b is not None})
-    splits = [float("-inf"), *bounds, float("inf")]
-
-    vc = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    vc = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vc)
-    totals = vc.groupBy("b").agg(F.sum("c").alias("bt"))
-    # At most ``buckets`` rows: a single ordered window over them is bounded.
-    offsets = totals.select(
-        "b", (F.sum("bt").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).alias("off")
-    ).fillna(0, ["off"])
-    w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = vc.withColumn("cum", F.sum("c").over(w)).join(F.broadcast(offsets), "b")
-    ranked = ranked.select("v", (F.col("off") + F.col("cum") - F.col("c")).alias("lo"), (F.col("off") + F.col("cum")).alias("hi"))
-
-    targets = []
-    for p in probs:
-        h = (n - 1) * F.lit(float(p))
-        i = F.floor(h).cast("long")
-        targets.append(F.struct(F.lit(float(p)).alias("prob"), i.alias("i"), (h - i).alias("frac")))
-    t = ranked.select(
-        "v",
-        "lo",
-        "hi",
-        F.explode(F.array(*targets)).alias("t"),
-    ).select("v", "lo", "hi", "t.prob", "t.i", "t.frac")
-    # The value holding rank i, and the one holding rank i + 1 (the same value when
-    # its run of copies covers both).
-    at_i = (F.col("lo") <= F.col("i")) & (F.col("i") < F.col("hi"))
-    at_next = (F.col("lo") <= F.col("i") + 1) & (F.col("i") + 1 < F.col("hi"))
-    picked = t.filter(at_i | at_next).groupBy("prob").agg(
-        F.max(F.when(at_i, F.col("v"))).alias("x0"),
-        F.max(F.when(at_next, F.col("v"))).alias("x1"),
-        F.first("frac").alias("frac"),
+    ends = v.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+    lo, hi = ends.getField("lo"), ends.getField("hi")
+    at = F.when(hi > lo, F.least(F.lit(buckets - 1), F.floor((F.col("v") - lo) / (hi - lo) * buckets))).otherwise(0)
+    counted = v.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("b", at.cast("int"))
+
+    # at most ``buckets`` rows: a single ordered window over them is bounded
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = counted.groupBy("b").agg(F.sum("c").alias("held")).select(
+        "b", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("off"), F.sum("held").over(whole).alias("n")
+    )
+    wanted = [
+        F.struct(F.lit(float(p)).alias("prob"), F.lit(k).alias("k"), ((F.col("n") - 1) * F.lit(float(p))).alias("h"))
+        for p in probs
+        for k in (0, 1)
+    ]
+    asked = sums.select("b", "held", "off", F.explode(F.array(*wanted)).alias("t")).select(
+        "b", "t.prob", "t.k", (F.col("t.h") - F.floor("t.h")).alias("frac"), "held", (F.floor("t.h") + F.col("t.k") - F.col("off")).alias("rank")
+    )
+    held = asked.filter((F.col("rank") >= 0) & (F.col("rank") < F.col("held")))
+
+    # two rows for each probability: a proven bound
+    found = counted.join(F.broadcast(held), "b")
+    upto = Window.partitionBy("prob", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = found.withColumn("cum", F.sum("c").over(upto)).filter((F.col("cum") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("cum")))
+    picked = ranked.groupBy("prob").agg(
+        F.max(F.when(F.col("k") == 0, F.col("v"))).alias("x0"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("x1"), F.max("frac").alias("frac")
     )
     q = F.when(F.col("x1").isNull(), F.col("x0")).otherwise(F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0")))
     return picked.select("prob", q.alias("quantile"))

@@ -1,6 +1,6 @@
 """The whole workload as one batch job, in the workload's run order.
 
-1. land the raw trio (CSV drop folder, or the driver tables for testing);
+1. land the raw trio once (CSV drop folder, or the driver tables for testing) as parquet;
 2. write every data check to its own table plus ``check_summary``;
 3. clean + deduplicate, and write the cleaned tables (the lineage cut both
    products share; a lost executor re-reads these files);
@@ -28,7 +28,8 @@ from .workload import Workload
 
 
 def run(spark: SparkSession, w: Workload, out: str, as_of=Q.DEFAULT_AS_OF) -> dict[str, str]:
-    paths = {}
+    paths = {"raw": os.path.join(out, "raw")}
+    w = w.land(paths["raw"])
     sinks.write_checks(Q.all_checks(w, as_of), os.path.join(out, "checks"))
     paths["checks"] = os.path.join(out, "checks")
     w.materialize(os.path.join(out, "cleaned"))

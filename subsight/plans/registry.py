@@ -24,57 +24,53 @@ QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
 
-# Exact decimal columns of the workload. The library computes and returns them as
-# decimals; at this contract boundary both the Spark result and the oracle cast
-# them to DOUBLE, so the two sides compare as the same float64 values whatever
-# client library fetches them. (Every value has at most 15 significant digits, so
-# the cast is exact to the cent.)
+# Decimal columns of the workload (all of scale 2). The library computes and returns decimals; at
+# this contract boundary both sides give them as text of fixed scale, which is exact at any size.
 DECIMAL_COLUMNS = (
     "monthly_price", "mrr", "arr", "lost_mrr", "logo_churn_rate_pct", "revenue_churn_rate_pct", "arpc",
     "signup_to_trial_pct", "signup_dropoff_pct", "trial_to_activated_pct", "trial_dropoff_pct",
     "activated_to_paid_pct", "activated_dropoff_pct", "paid_to_churn_pct", "paid_retention_pct",
     "growth_vs_prev_pct", "growth_vs_first_pct", "pct_of_previous", "dropoff_pct", "pct_of_rows",
-    "lost_mrr_cell_sum", "value",
-    # A nullable integer flag: pandas shows Spark's as float64 and DuckDB's as a
-    # nullable int, so it is compared as DOUBLE too.
-    "is_enterprise",
 )
+# A nullable integer flag: pandas shows Spark's as float64 and DuckDB's as a nullable int, so both are DOUBLE.
+FLAG_COLUMNS = ("is_enterprise",)
 
 
-def decimals_to_double(df: DataFrame) -> DataFrame:
-    def as_double(f: T.StructField) -> bool:
-        return isinstance(f.dataType, T.DecimalType) or (
-            f.name in DECIMAL_COLUMNS and isinstance(f.dataType, T.IntegerType)
-        )
+def contract_columns(df: DataFrame) -> DataFrame:
+    def shown(f: T.StructField):
+        if isinstance(f.dataType, T.DecimalType):
+            return F.col(f.name).cast("decimal(38,2)").cast("string").alias(f.name)
+        flag = f.name in FLAG_COLUMNS and isinstance(f.dataType, T.IntegerType)
+        return F.col(f.name).cast("double").alias(f.name) if flag else F.col(f.name)
 
-    return df.select(*[F.col(f.name).cast("double").alias(f.name) if as_double(f) else F.col(f.name)
-                       for f in df.schema.fields])
+    return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def oracle_doubles(sql: str) -> str:
-    names = ", ".join(f"'{c}'" for c in DECIMAL_COLUMNS)
-    return (
-        f"SELECT COLUMNS(lambda c: c NOT IN ({names})), CAST(COLUMNS(lambda c: c IN ({names})) AS DOUBLE)\n"
-        f"FROM (\n{sql}\n) q"
-    )
+def oracle_columns(sql: str, flags: bool = False) -> str:
+    """The oracle's result with the same columns shown the same way (a result has decimals or the flag, not both)."""
+    names = ", ".join(f"'{c}'" for c in (FLAG_COLUMNS if flags else DECIMAL_COLUMNS))
+    own = f"COLUMNS(lambda c: c IN ({names}))"
+    shown = f"CAST({own} AS DOUBLE)" if flags else f"CAST(CAST({own} AS DECIMAL(38,2)) AS VARCHAR)"
+    return f"SELECT COLUMNS(lambda c: c NOT IN ({names})), {shown}\nFROM (\n{sql}\n) q"
 
 
-def register(name: str, sql: str | None = None, decimals: bool = False):
+def register(name: str, sql: str | None = None, decimals: bool = False, flags: bool = False):
     """Register ``fn(workload) -> DataFrame`` as query ``name``.
 
-    ``decimals``: the result has decimal columns (cast to DOUBLE on both sides).
+    ``decimals``: the result has decimal columns (text of fixed scale on both sides);
+    ``flags``: it has the nullable flag column.
     """
 
     def deco(fn: Callable[[Workload], DataFrame]) -> Callable[[Workload], DataFrame]:
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(Workload.from_testdata(spark, sf_dir))
-            return decimals_to_double(df) if decimals else df
+            return contract_columns(df) if decimals or flags else df
 
         build.__name__ = name
         build.__doc__ = fn.__doc__
         QUERIES[name] = build
         if sql is not None:
-            ORACLE[name] = oracle_doubles(sql) if decimals else sql
+            ORACLE[name] = oracle_columns(sql, flags) if decimals or flags else sql
         return fn
 
     return deco
@@ -105,13 +101,13 @@ def load_row_counts(w: Workload) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-register("clean_customers", decimals=True, sql=_q("SELECT * FROM c_clean"))(lambda w: w.customers_clean0)
+register("clean_customers", flags=True, sql=_q("SELECT * FROM c_clean"))(lambda w: w.customers_clean0)
 register("clean_subscriptions", decimals=True, sql=_q("SELECT * FROM s_clean"))(lambda w: w.subscriptions_clean0)
 register("clean_events", _q("SELECT * FROM e_clean"))(lambda w: w.events_clean0)
 register("dedup_events", _q("SELECT * FROM e_unique"))(lambda w: w.events)
 register("dedup_subscriptions", decimals=True, sql=_q("SELECT * FROM s_unique"))(lambda w: w.subscriptions)
-register("customers_override_signup", decimals=True, sql=_q("SELECT * FROM c_final"))(lambda w: w.customers)
-register("preview_customers", decimals=True, sql=_q("SELECT * FROM c_final ORDER BY customer_id LIMIT 5"))(
+register("customers_override_signup", flags=True, sql=_q("SELECT * FROM c_final"))(lambda w: w.customers)
+register("preview_customers", flags=True, sql=_q("SELECT * FROM c_final ORDER BY customer_id LIMIT 5"))(
     lambda w: preview(w.customers, "customer_id", 5)
 )
 register(

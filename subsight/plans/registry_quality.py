@@ -18,15 +18,15 @@ AS_OF = dt.date(2000, 6, 30)
 TYPED_SQL = """
 typed_customers AS (
   SELECT NULLIF(customer_id, '') AS customer_id,
-         CAST(try_strptime(NULLIF(TRIM(signup_date), ''), '%Y-%m-%d') AS DATE) AS signup_date,
+         CAST(try_strptime(NULLIF(TRIM(signup_date), ''), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S']) AS DATE) AS signup_date,
          NULLIF(segment, '') AS segment, NULLIF(country, '') AS country,
          NULLIF(is_enterprise, '') AS is_enterprise
   FROM raw_customers
 ),
 typed_subscriptions AS (
   SELECT NULLIF(subscription_id, '') AS subscription_id, NULLIF(customer_id, '') AS customer_id,
-         CAST(try_strptime(NULLIF(TRIM(start_date), ''), '%Y-%m-%d') AS DATE) AS start_date,
-         CAST(try_strptime(NULLIF(TRIM(end_date), ''), '%Y-%m-%d') AS DATE) AS end_date,
+         CAST(try_strptime(NULLIF(TRIM(start_date), ''), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S']) AS DATE) AS start_date,
+         CAST(try_strptime(NULLIF(TRIM(end_date), ''), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S']) AS DATE) AS end_date,
          TRY_CAST(TRIM(monthly_price) AS DECIMAL(10,2)) AS monthly_price,
          NULLIF(status, '') AS status
   FROM raw_subscriptions
@@ -34,7 +34,7 @@ typed_subscriptions AS (
 typed_events AS (
   SELECT NULLIF(event_id, '') AS event_id, NULLIF(customer_id, '') AS customer_id,
          NULLIF(event_type, '') AS event_type,
-         CAST(try_strptime(NULLIF(TRIM(event_date), ''), '%Y-%m-%d') AS DATE) AS event_date,
+         CAST(try_strptime(NULLIF(TRIM(event_date), ''), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S']) AS DATE) AS event_date,
          NULLIF(source, '') AS source
   FROM raw_events
 )"""
@@ -144,8 +144,8 @@ LEFT JOIN (SELECT customer_id, event_date FROM typed_events WHERE event_type = '
        ON c.customer_id IS NOT DISTINCT FROM e.customer_id
 WHERE c.signup_date IS DISTINCT FROM e.event_date"""
 
-# name -> (oracle body over TYPED/CLEAN CTEs, has decimal columns)
-CHECK_SQL: dict[str, tuple[str, bool]] = {
+# name -> (oracle body over TYPED/CLEAN CTEs, has decimal columns, or 'flag')
+CHECK_SQL: dict[str, tuple[str, bool | str]] = {
     "customers_unique": (
         "SELECT COUNT(DISTINCT customer_id) AS unique_count, COUNT(*) AS total_rows FROM typed_customers",
         False,
@@ -162,7 +162,7 @@ CHECK_SQL: dict[str, tuple[str, bool]] = {
     "dup_row_counts": (
         "SELECT customer_id, signup_date, segment, country, is_enterprise, COUNT(*) AS dup_count "
         "FROM c_clean GROUP BY ALL HAVING COUNT(*) > 1",
-        True,
+        "flag",
     ),
     "dup_rows_customers": (_dup_rows("customers"), False),
     "dup_rows_subscriptions": (_dup_rows("subscriptions"), True),
@@ -215,7 +215,7 @@ def _sql(body: str) -> str:
 
 def _register_check(name: str) -> None:
     body, dec = CHECK_SQL[name]
-    register(f"check_{name}", sql=_sql(body), decimals=dec)(lambda w: Q.CHECKS[name](w, AS_OF))
+    register(f"check_{name}", sql=_sql(body), decimals=dec is True, flags=dec == "flag")(lambda w: Q.CHECKS[name](w, AS_OF))
 
 
 for _name in CHECK_SQL:
@@ -277,18 +277,33 @@ register(
     sql=_sql(_describe_sql("subscriptions", "start_date", True)),
 )(lambda w: P.describe_numeric(w.typed("subscriptions"), "start_date", as_days=True))
 
-_CAT_COLS = ["customer_id", "segment", "country", "is_enterprise"]
-_CAT_SQL = (
-    "SELECT column_name, CAST(SUM(n) AS BIGINT) AS count, COUNT(*) AS unique, "
-    "MAX(CASE WHEN rk = 1 THEN value END) AS top, MAX(n) AS freq FROM ("
-    "SELECT column_name, value, n, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rk "
-    "FROM (SELECT column_name, value, COUNT(*) AS n FROM ("
-    + "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value FROM typed_customers" for c in _CAT_COLS)
-    + ") l WHERE value IS NOT NULL GROUP BY column_name, value) vc) r GROUP BY column_name"
-)
-register("profile_categorical_customers", sql=_sql(_CAT_SQL))(
-    lambda w: P.describe_categorical(w.typed("customers"), _CAT_COLS)
-)
+for _t, _col in (("customers", "signup_date"), ("subscriptions", "end_date")):
+    register(f"profile_dates_{_t}_{_col.split('_')[0]}", sql=_sql(_describe_sql(_t, _col, True)))(
+        (lambda t, c: lambda w: P.describe_numeric(w.typed(t), c, as_days=True))(_t, _col)
+    )
+
+CATEGORICAL = {
+    "customers": ["customer_id", "segment", "country", "is_enterprise"],
+    "subscriptions": ["subscription_id", "customer_id", "status"],
+    "events": ["event_id", "customer_id", "event_type", "source"],
+}
+
+
+def _categorical_sql(table: str) -> str:
+    long = "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value FROM typed_{table}" for c in CATEGORICAL[table])
+    return (
+        "SELECT column_name, CAST(SUM(n) AS BIGINT) AS count, COUNT(*) AS unique, "
+        "MAX(CASE WHEN rk = 1 THEN value END) AS top, MAX(n) AS freq FROM ("
+        "SELECT column_name, value, n, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rk "
+        f"FROM (SELECT column_name, value, COUNT(*) AS n FROM ({long}) l WHERE value IS NOT NULL GROUP BY column_name, value) vc) r "
+        "GROUP BY column_name"
+    )
+
+
+for _t in CATEGORICAL:
+    register(f"profile_categorical_{_t}", sql=_sql(_categorical_sql(_t)))(
+        (lambda t: lambda w: P.describe_categorical(w.typed(t), CATEGORICAL[t]))(_t)
+    )
 
 VALUE_COUNTS = {
     "segment": "customers",
@@ -311,5 +326,5 @@ for _col in ("is_enterprise", "segment"):
     register(
         f"group_counts_{_col}",
         sql=_sql(f"SELECT {_col}, COUNT(*) AS count FROM c_clean GROUP BY {_col}"),
-        decimals=_col == "is_enterprise",
+        flags=_col == "is_enterprise",
     )((lambda c: lambda w: P.value_counts(w.customers_clean0, c))(_col))

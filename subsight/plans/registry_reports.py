@@ -111,9 +111,10 @@ def _funnel_by_sql(key: str) -> str:
 register("report_funnel_by_month", decimals=True, sql=_funnel_by_sql("month_start"))(
     lambda w: R.funnel_by(w.funnel_performance(), ["month_start"])
 )
-register("report_funnel_by_source", decimals=True, sql=_funnel_by_sql("source"))(
-    lambda w: R.funnel_by(w.funnel_performance(), ["source"])
-)
+for _dim in ("source", "segment", "country"):
+    register(f"report_funnel_by_{_dim}", decimals=True, sql=_funnel_by_sql(_dim))(
+        (lambda d: lambda w: R.funnel_by(w.funnel_performance(), [d]))(_dim)
+    )
 
 FUNNEL_SLICE = {"data_flag": ["consistent"], "source": ["ads", "organic"]}
 _fwhere = " AND ".join(f"{c} IN (" + ", ".join(f"'{v}'" for v in vs) + ")" for c, vs in FUNNEL_SLICE.items())

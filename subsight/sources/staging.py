@@ -12,6 +12,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from .schemas import STAGING
@@ -24,15 +25,40 @@ DATE_COLUMNS = {
 MONEY_COLUMNS = {"subscriptions": ("monthly_price",)}
 
 
-def read_staging_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A headered CSV read with the all-string staging schema of ``table``."""
-    return (
-        spark.read.schema(STAGING[table])
+CORRUPT = "_corrupt_record"
+
+
+def scan_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The columns of ``table`` by their names in the header, all text, and the text of malformed lines.
+
+    Columns may come in any order and others may stand beside them; a missing one is an error.
+    ``_corrupt_record`` is NULL for a line that has as many fields as the header.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in STAGING[table].fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
+    rows = (
+        spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)  # else the fields of a line are not counted
         .option("emptyValue", "")
         .csv(path)
     )
+    return rows.select(*[f.name for f in STAGING[table].fields], CORRUPT)
+
+
+def read_staging_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The well-formed rows of a headered CSV, read by column name; ``csv_rejects`` has the others."""
+    return scan_csv(spark, path, table).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def csv_rejects(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The malformed lines of a CSV: what could be read of them, and ``line``, their text."""
+    return scan_csv(spark, path, table).where(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "line")
 
 
 def read_staging_dir(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -47,7 +73,7 @@ def typed(raw: DataFrame, table: str) -> DataFrame:
     out = []
     for c in raw.columns:
         if c in dates:
-            out.append(S.parse_date(c).alias(c))
+            out.append(S.parse_date_or_time(c).alias(c))
         elif c in money:
             out.append(S.parse_money(c).alias(c))
         else:

@@ -31,6 +31,11 @@ def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in TABLES}
 
 
+def _variants(*kinds: tuple[Column | None, Column]) -> Column:
+    """One row for each kind whose condition holds (None: always), from a single scan."""
+    return F.explode(F.filter(F.array(*[row if when is None else F.when(when, row) for when, row in kinds]), lambda r: r.isNotNull()))
+
+
 def _ymd(c: Column) -> Column:
     # A date cast to text is ISO yyyy-MM-dd (years 1000-9999), without a formatter.
     return F.to_date(c).cast("string")
@@ -53,10 +58,14 @@ def raw_customers(customer: DataFrame, nation: DataFrame, region: DataFrame, ord
     seg = F.col("c_mktsegment")
     code = F.substring("r_name", 1, 2)
     is_auto = seg == F.lit("AUTOMOBILE")
-    return c.select(
+    first = F.to_date("first_order")
+    base = c.select(
+        k.alias("k"),
         k.cast("string").alias("customer_id"),
         F.when(k % 28 == 0, F.lit(""))
         .when(k % 97 == 13, F.lit("2023-13-45"))
+        .when((k % 37 == 2) & first.isNotNull(), F.concat_ws("-", F.year(first), F.month(first), F.day(first)))
+        .when((k % 41 == 6) & first.isNotNull(), F.concat(_ymd(first), F.lit(" 00:00:00")))
         .otherwise(F.coalesce(_ymd(F.col("first_order")), F.lit("")))
         .alias("signup_date"),
         F.when(seg == F.lit("MACHINERY"), F.lit(""))
@@ -74,6 +83,19 @@ def raw_customers(customer: DataFrame, nation: DataFrame, region: DataFrame, ord
         .otherwise(F.lit("False"))
         .alias("is_enterprise"),
     )
+    names = ["customer_id", "signup_date", "segment", "country", "is_enterprise"]
+
+    def row(**changed: Column) -> Column:
+        return F.struct(*[changed.get(n, F.col(n)).alias(n) for n in names])
+
+    b = F.col("k")
+    kinds = _variants(
+        (None, row()),
+        (b % 31 == 5, row()),  # the same row again
+        (b % 43 == 9, row(segment=F.lit("HOUSEHOLD"))),  # the same customer in another segment
+        (b % 47 == 3, row(customer_id=F.concat(F.lit("N"), "customer_id"))),  # nobody subscribed or did anything
+    )
+    return base.select(kinds.alias("r")).select("r.*")
 
 
 def raw_subscriptions(orders: DataFrame) -> DataFrame:
@@ -104,29 +126,27 @@ def raw_subscriptions(orders: DataFrame) -> DataFrame:
         price.alias("clean_price"),
     )
     cols = ["subscription_id", "customer_id", "start_date", "end_date", "monthly_price", "status"]
-    plain = base.select(*cols)
+
+    def row(**changed: Column) -> Column:
+        return F.struct(*[changed.get(n, F.col(n)).alias(n) for n in cols])
+
     bk = F.col("k")
-    copies = base.filter(bk % 313 == 0).select(*cols)
-    renamed = base.filter(bk % 27 == 0).withColumn("subscription_id", F.concat(F.lit("D"), "subscription_id"))
-    active_end = base.filter(bk % 50 == 1).select(
-        F.concat(F.lit("A"), "subscription_id").alias("subscription_id"),
-        "customer_id",
-        "start_date",
-        _ymd(F.date_add(F.to_date("start_date"), (bk % 900).cast("int"))).alias("end_date"),
-        F.col("clean_price").alias("monthly_price"),
-        F.lit("active").alias("status"),
-    )
-    orphans = base.filter(bk % 50 == 2).select(
-        F.concat(F.lit("X"), "subscription_id").alias("subscription_id"),
-        F.concat(F.lit("X"), "customer_id").alias("customer_id"),
-        *cols[2:],
-    )
-    return (
-        plain.unionByName(copies)
-        .unionByName(renamed.select(*cols))
-        .unionByName(active_end)
-        .unionByName(orphans)
+    kinds = _variants(
+        (None, row()),
+        (bk % 313 == 0, row()),  # exact copies
+        (bk % 27 == 0, row(subscription_id=F.concat(F.lit("D"), "subscription_id"))),  # copies under new ids
+        (
+            bk % 50 == 1,  # active with an end date
+            row(
+                subscription_id=F.concat(F.lit("A"), "subscription_id"),
+                end_date=_ymd(F.date_add(F.to_date("start_date"), (bk % 900).cast("int"))),
+                monthly_price=F.col("clean_price"),
+                status=F.lit("active"),
+            ),
+        ),
+        (bk % 50 == 2, row(subscription_id=F.concat(F.lit("X"), "subscription_id"), customer_id=F.concat(F.lit("X"), "customer_id"))),  # orphans
     )
+    return base.select(kinds.alias("r")).select("r.*")
 
 
 def raw_events(events: DataFrame) -> DataFrame:
@@ -151,11 +171,17 @@ def raw_events(events: DataFrame) -> DataFrame:
         F.when(i % 11 == 0, F.concat(F.lit(" "), src)).otherwise(src).alias("source"),
     )
     cols = ["event_id", "customer_id", "event_type", "event_date", "source"]
-    plain = base.select(*cols)
+
+    def row(**changed: Column) -> Column:
+        return F.struct(*[changed.get(n, F.col(n)).alias(n) for n in cols])
+
     bk = F.col("k")
-    copies = base.filter(bk % 331 == 0).select(*cols)
-    renamed = base.filter(bk % 23 == 0).withColumn("event_id", F.concat(F.lit("E"), "event_id")).select(*cols)
-    return plain.unionByName(copies).unionByName(renamed)
+    kinds = _variants(
+        (None, row()),
+        (bk % 331 == 0, row()),  # exact copies
+        (bk % 23 == 0, row(event_id=F.concat(F.lit("E"), "event_id"))),  # copies under new ids
+    )
+    return base.select(kinds.alias("r")).select("r.*")
 
 
 def raw_trio(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -175,10 +201,13 @@ def raw_trio(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------------------
 
 RAW_CUSTOMERS_SQL = """
-raw_customers AS (
-  SELECT CAST(c.c_custkey AS VARCHAR) AS customer_id,
+cust_base AS (
+  SELECT c.c_custkey AS k, CAST(c.c_custkey AS VARCHAR) AS customer_id,
          CASE WHEN c.c_custkey % 28 = 0 THEN ''
               WHEN c.c_custkey % 97 = 13 THEN '2023-13-45'
+              WHEN c.c_custkey % 37 = 2 AND fo.first_order IS NOT NULL
+                THEN concat_ws('-', year(fo.first_order), month(fo.first_order), day(fo.first_order))
+              WHEN c.c_custkey % 41 = 6 AND fo.first_order IS NOT NULL THEN strftime(fo.first_order, '%Y-%m-%d 00:00:00')
               ELSE COALESCE(strftime(fo.first_order, '%Y-%m-%d'), '') END AS signup_date,
          CASE WHEN c.c_mktsegment = 'MACHINERY' THEN ''
               WHEN c.c_custkey % 10 = 3 THEN concat('  ', c.c_mktsegment, ' ')
@@ -196,6 +225,12 @@ raw_customers AS (
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
   LEFT JOIN (SELECT o_custkey, MIN(o_orderdate) AS first_order FROM orders GROUP BY o_custkey) fo
          ON c.c_custkey = fo.o_custkey
+),
+raw_customers AS (
+  SELECT * EXCLUDE (k) FROM cust_base
+  UNION ALL SELECT * EXCLUDE (k) FROM cust_base WHERE k % 31 = 5
+  UNION ALL SELECT customer_id, signup_date, 'HOUSEHOLD', country, is_enterprise FROM cust_base WHERE k % 43 = 9
+  UNION ALL SELECT concat('N', customer_id), signup_date, segment, country, is_enterprise FROM cust_base WHERE k % 47 = 3
 )"""
 
 RAW_SUBSCRIPTIONS_SQL = """

@@ -22,7 +22,7 @@ def test_job_writes_everything_and_matches_lazy_products(spark):
 
 
 def test_csv_drop_gives_same_products(spark):
-    src = Workload.from_testdata(spark, SMALL, cut=False)
+    src = Workload.from_testdata(spark, SMALL)
     folder = tempfile.mkdtemp(prefix="subsight-csv-")
     for name, df in src.raw.items():
         tmp = os.path.join(folder, name + "_parts")

@@ -58,7 +58,7 @@ def test_stream_landing_feeds_the_workload(spark):
     from subsight.streaming.ingest import land_all
 
     root = tempfile.mkdtemp(prefix="subsight-drop-")
-    src = Workload.from_testdata(spark, SMALL, cut=False)
+    src = Workload.from_testdata(spark, SMALL)
     for name, df in src.raw.items():
         df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
             "ignoreTrailingWhiteSpace", False
