@@ -246,9 +246,12 @@ def count_features(labelled: DataFrame) -> FeatureCounts:
     for _ in range(TREE_LEVELS):  # the counts of up to TREE_WIDTH tasks meet in one, and of these again
         parts = parts.withColumn("task", F.expr(f"task div {TREE_WIDTH}")).groupBy("part", "task").applyInArrow(_merge_blobs, BLOB)
     got = parts.mapInArrow(_unfold_blobs, "bucket long, c0 long, t0 long, c1 long, t1 long, cm long, tm long")
-    got = got.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")], *[F.bit_count(F.bit_or(c)).alias(c) for c in ("cm", "tm")]).toPandas()
+    sums = got.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")], *[F.bit_count(F.bit_or(c)).alias(c) for c in ("cm", "tm")])
+    found = sums.toArrow()
     table = np.zeros((6, width + 1))
-    table[:, got["bucket"]] = got[["c0", "t0", "c1", "t1", "cm", "tm"]].to_numpy().T
+    for k, name in enumerate(("c0", "t0", "c1", "t1", "cm", "tm")):
+        table[k, found["bucket"].to_numpy()] = found[name].to_numpy()
+    del found
     contexts = -64 * np.log1p(-np.minimum(table[4:], 63.5) / 64)
     return FeatureCounts(table[:2, width], table[:4, :width].reshape(2, 2, width), contexts[:, :width])
 
