@@ -27,11 +27,10 @@ def _stack(wide: DataFrame, names: list[str], key: str, value: str) -> DataFrame
 
 
 def column_info(df: DataFrame) -> DataFrame:
-    """(column_name, data_type, non_null, total_rows) for every column."""
+    """(column_name, data_type, non_null, total_rows) for every column, from one aggregate."""
     wide = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(c) for c in df.columns])
-    long = _stack(wide, df.columns, "column_name", "non_null").withColumn(
-        "total_rows", wide.select("__rows").scalar()
-    )
+    cells = ", ".join(f"'{c}', `{c}`, `__rows`" for c in df.columns)
+    long = wide.selectExpr(f"stack({len(df.columns)}, {cells}) AS (column_name, non_null, total_rows)")
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     dtype = F.lit(None).cast("string")
     for name, t in types.items():

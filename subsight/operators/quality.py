@@ -234,20 +234,19 @@ def row_counts_match(raw: dict[str, DataFrame], cleaned: dict[str, DataFrame]) -
 
 
 def null_dates(customers0: DataFrame, subs0: DataFrame, events0: DataFrame, customers: DataFrame) -> DataFrame:
-    """NULL date counts after cleaning, plus the final signup check after the override."""
+    """NULL date counts after cleaning, plus the final signup check after the override; one scan of each."""
 
-    def nulls(df: DataFrame, table: str, col: str, stage: str) -> DataFrame:
-        return df.agg(F.count_if(F.col(col).isNull()).alias("null_count")).select(
-            F.lit(table).alias("table_name"), F.lit(col).alias("column_name"), F.lit(stage).alias("stage"),
-            "null_count",
-        )
+    def nulls(df: DataFrame, table: str, stage: str, *cols: str) -> DataFrame:
+        wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+        cells = ", ".join(f"'{c}', `{c}`" for c in cols)
+        long = wide.selectExpr(f"stack({len(cols)}, {cells}) AS (column_name, null_count)")
+        return long.select(F.lit(table).alias("table_name"), "column_name", F.lit(stage).alias("stage"), "null_count")
 
     parts = [
-        nulls(customers0, "customers", "signup_date", "cleaned"),
-        nulls(events0, "events", "event_date", "cleaned"),
-        nulls(subs0, "subscriptions", "start_date", "cleaned"),
-        nulls(subs0, "subscriptions", "end_date", "cleaned"),
-        nulls(customers, "customers", "signup_date", "final"),
+        nulls(customers0, "customers", "cleaned", "signup_date"),
+        nulls(events0, "events", "cleaned", "event_date"),
+        nulls(subs0, "subscriptions", "cleaned", "start_date", "end_date"),
+        nulls(customers, "customers", "final", "signup_date"),
     ]
     out = parts[0]
     for p in parts[1:]:
