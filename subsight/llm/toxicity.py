@@ -394,7 +394,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityMo
     small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = count_features(texts.join(known, "doc_id"))
+    counts = count_features(texts.join(known.hint("merge"), "doc_id"))  # the same join at every size
     clean, toxic = counts.rows
     odds, others = counts.evidence(), (counts.evidence(left_out=0), counts.evidence(left_out=1))
     rng = np.random.default_rng(3)
