@@ -1,7 +1,8 @@
 """URL filters: given host / path rules, then association rules mined from labels.
 
-Spark's FP-growth mines the combinations of URL tokens that go with bad pages. Rules below the
-minimum support or confidence are pruned. The rest are matched by an inverted index: each rule is
+Spark's FP-growth mines the combinations of URL tokens, of any size, that go with bad pages. Rules
+below the minimum support or confidence are pruned, and so are longer ones that a rule of one or two
+of their tokens implies: they fit no further URL. The rest are matched by an inverted index: each rule is
 posted under its rarest token only, a URL looks its tokens up there, and the rule fits if the URL
 has its other tokens too. Everything is DataFrame and Spark ML code; nothing runs in Python tasks.
 """
@@ -26,8 +27,6 @@ RULES = [
 ]
 #: Share of the labelled pages that have the combination and are bad; share of bad among those that have it.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.5
-#: Tokens in a combination at most.
-MAX_TOKENS = 2
 BAD = "label=bad"
 
 
@@ -73,10 +72,10 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return F.coalesce(*names, F.lit(None).cast("string")), F.coalesce(*verdicts, F.lit(None).cast("string"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``(tokens, confidence, support)``: the combinations of URL tokens that go with bad pages.
 
-    ``labelled`` has ``url`` and ``bad`` (boolean); rows with a null ``bad`` or a URL without tokens teach nothing.
+    All of one and two tokens, and the larger ones that contain none of these. ``labelled`` has ``url`` and ``bad`` (boolean); rows with a null ``bad`` or a URL without tokens teach nothing.
     """
     tokens = tokens_of(F.col("url"))
     baskets = labelled.where(F.col("bad").isNotNull() & (F.size(tokens) > 0)).select(
@@ -86,8 +85,18 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     if baskets.isEmpty():
         return baskets.select(F.col("items").alias("tokens"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens))
-    return landed(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
+    return landed(unimplied(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")), "url-rules")
+
+
+def unimplied(rules: DataFrame) -> DataFrame:
+    """``rules`` without those of three or more tokens that have all tokens of a rule of one or two."""
+    rules = landed(rules, "mined")
+    short, long = rules.where(F.size("tokens") <= 2), rules.where(F.size("tokens") > 2)
+    parts = long.select("tokens", F.explode("tokens").alias("a")).select("tokens", "a", F.explode("tokens").alias("b")).where("a <= b")
+    part = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    implied = parts.select("tokens", part.alias("part")).join(short.select(F.col("tokens").alias("part")), "part", "left_semi").select("tokens").distinct()
+    return short.unionByName(long.join(implied, "tokens", "left_anti"))
 
 
 def matching_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:

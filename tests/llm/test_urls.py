@@ -95,6 +95,37 @@ def test_mined_rules_against_all_combinations(spark):
     assert got == {k: any(plain_tokens(u) >= set(c) for c in want) for k, (u, _) in enumerate(rows)}
 
 
+def mine_all(rows):
+    """Like plain_mine, with combinations of every size."""
+    rows = [(plain_tokens(u), b) for u, b in rows if b is not None and plain_tokens(u)]
+    both, bad = Counter(), Counter()
+    for tokens, b in rows:
+        for n in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), n):
+                both[c] += 1
+                bad[c] += b
+    return {c for c, n in bad.items() if n >= max(1, math.ceil(urls.MIN_SUPPORT * len(rows))) and n >= urls.MIN_CONFIDENCE * both[c]}
+
+
+def test_combinations_that_are_bad_only_together(spark):
+    # spam, win and q are each, and in pairs, more common on good pages; with three (or four) of them a page is bad
+    shapes = [("http://spam.com/win/?q=1", True, 10), ("http://spam.com/win/", False, 30), ("http://spam.com/?q=1", False, 30), ("http://x.com/win/?q=1", False, 30)]
+    parts = ["a.com/b/c/?d", "z.com/b/c/?d", "a.com/z/c/?d", "a.com/b/z/?d", "a.com/b/c/?z"]
+    shapes += [(f"http://{p}=1", k == 0, 10 if k == 0 else 40) for k, p in enumerate(parts)]
+    shapes += [("http://alone.com/win/", True, 9)]
+    rows = [(u, b) for u, b, n in shapes for _ in range(n)]
+    rules = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    every = mine_all(rows)
+    short = [set(c) for c in every if len(c) <= 2]
+    assert {tuple(r["tokens"]) for r in rules.collect()} == {c for c in every if len(c) <= 2 or not any(s <= set(c) for s in short)}
+    pages = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate(shapes)], "page_id long, url string")
+    got = {r["page_id"]: (r["mined"], r["verdict"]) for r in urls.judge(pages, rules).collect()}
+    want = {k: any(plain_tokens(u) >= set(c) for c in every) for k, (u, _, _) in enumerate(shapes)}
+    assert got == {k: (hit, "block" if hit else "allow") for k, hit in want.items()}
+    assert [k for k, hit in want.items() if hit] == [k for k, (_, b, _) in enumerate(shapes) if b]
+    assert not any(len(c) <= 2 and set(c) <= plain_tokens(shapes[0][0]) for c in every)
+
+
 def test_query_against_brute_force_and_sql(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").collect()
     labels = {r["doc_id"]: r["quality"] == 0 for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
@@ -113,6 +144,15 @@ def test_query_against_brute_force_and_sql(spark):
     assert any(w[-1] for w in want)
 
 
+def test_query_against_combinations_of_every_size(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").collect()
+    labels = {r["doc_id"]: r["quality"] == 0 for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    mined = [set(c) for c in mine_all([(u, labels[k]) for k, u in pages if k in labels])]
+    want = {k: any(plain_tokens(u) >= c for c in mined) for k, u in pages}
+    got = urls.op4_urls(spark, SMALL).select("page_id", "mined").collect()
+    assert len(got) == len(pages) and {tuple(r) for r in got} == set(want.items())
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty, urls.mine_rules(spark.createDataFrame([("http://a.b/", True)], "url string, bad boolean"))).collect() == []
