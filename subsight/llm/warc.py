@@ -20,8 +20,8 @@ from subsight.llm.common import landed, table
 #: Children of a node; record ids in a shard.
 FANOUT = 16
 SHARD_IDS = 4096
-#: The shard of records whose id is null.
-NO_ID = -(1 << 62)
+#: The (first) shard of records whose id is null, and the least shard of another id that has shards of its own.
+NO_ID, HOT = -(1 << 62), 1 << 61
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -45,31 +45,61 @@ def archive_records(pages: DataFrame) -> DataFrame:
 
 
 def hashed(records: DataFrame) -> DataFrame:
-    """``(record_id, hash, size)``: one row per id, with the sha256 of its record.
+    """``(record_id, hash, size, copies)``: one row for each different record of an id.
 
-    Where an id has several records, copies or not, the hash is that of their number and the sums of
-    the quarters of their hashes: the same in any order, and summed up before anything is shuffled.
+    The hash is that of the id and of the record's sha256. Equal copies are counted before anything
+    is shuffled.
     """
-    digest = F.sha2("record", 256)
-    quarters = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
-    sums = [F.sum(q).alias(f"q{k}") for k, q in enumerate(quarters)]
-    each = records.groupBy("record_id").agg(F.count("*").alias("copies"), F.max(digest).alias("one"), F.sum(F.length("record").cast("long")).alias("size"), *sums)
-    several = F.sha2(F.concat_ws(":", "copies", *[F.col(f"q{k}").cast("string") for k in range(4)]), 256)
-    return each.select("record_id", F.when(F.col("copies") == 1, F.col("one")).otherwise(several).alias("hash"), "size")
+    rows = records.select("record_id", record_hash().alias("hash"), F.length("record").cast("long").alias("size"))
+    return rows.groupBy("record_id", "hash", "size").agg(F.count("*").alias("copies"))
+
+
+def record_hash() -> Column:
+    return F.sha2(F.concat_ws(":", id_text(), F.sha2("record", 256)), 256)
+
+
+def id_text() -> Column:
+    return F.coalesce(F.col("record_id").cast("string"), F.lit("none"))
+
+
+def pieces(leaves: DataFrame, shard_ids: int) -> DataFrame:
+    """``leaves`` with their ``shard``; copies that go to several shards are a row for each.
+
+    An id of more than ``shard_ids`` records has shards of its own, of so many each, in the order of
+    the hashes; they are numbered from ``NO_ID`` for the null id and by a hash above ``HOT`` else.
+    """
+    own = F.coalesce(F.expr(f"record_id div {shard_ids}"), F.lit(NO_ID))
+    hot = landed(leaves.groupBy("record_id").agg(F.sum("copies").alias("n")).where(F.col("n") > shard_ids).select(F.col("record_id").alias("hot_id")), "hot-ids")
+    if hot.isEmpty():
+        return leaves.withColumn("shard", own)
+    same = F.col("record_id").eqNullSafe(F.col("hot_id"))
+    many = leaves.join(hot, same, "left_semi").withColumn("slice", F.substring("hash", 1, 4))
+    # at most 65,536 slices of an id, of about as many different records each
+    earlier = Window.partitionBy("record_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = many.groupBy("record_id", "slice").agg(F.sum("copies").alias("n")).select(F.col("record_id").alias("id"), F.col("slice").alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"))
+    before = Window.partitionBy("record_id", "slice").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = many.withColumn("rank", F.coalesce(F.sum("copies").over(before), F.lit(0))).join(sliced, F.col("record_id").eqNullSafe(F.col("id")) & (F.col("slice") == F.col("of")))
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("off")).withColumn("part", F.explode(F.expr(f"sequence(rank div {shard_ids}, (rank + copies - 1) div {shard_ids})")))
+    first, end = F.greatest("rank", F.col("part") * shard_ids), F.least(F.col("rank") + F.col("copies"), (F.col("part") + 1) * shard_ids)
+    number = F.when(F.col("record_id").isNull(), F.lit(NO_ID) + F.col("part")).otherwise(F.lit(HOT) + F.xxhash64("record_id", "part").bitwiseAND(F.lit(HOT - 1)))
+    spread = ranked.select("record_id", "hash", "size", (end - first).alias("copies"), number.alias("shard"))
+    return leaves.join(hot, same, "left_anti").withColumn("shard", own).unionByName(spread)
 
 
 def manifest(leaves: DataFrame, shard_ids: int = SHARD_IDS) -> DataFrame:
     """``(shard, seq, record_id, start, stop, hash)``: the place of each record in its shard.
 
-    A shard has the records of ``shard_ids`` consecutive ids in their order; records with a null id
-    are the shard ``NO_ID``. The shards are the files of the archive.
+    A shard has the records of ``shard_ids`` consecutive ids in the order of ids, then hashes, then
+    copies; records with a null id are the shard ``NO_ID``. An id of more than ``shard_ids`` records,
+    null too, is spread over shards of its own. The shards are the files of the archive.
     """
-    in_shard = Window.partitionBy("shard").orderBy("record_id")
-    up_to = F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0))
-    own = F.coalesce(F.expr(f"record_id div {shard_ids}"), F.lit(NO_ID))
-    return leaves.withColumn("shard", own).select(
-        "shard", (F.row_number().over(in_shard) - 1).cast("long").alias("seq"), "record_id", (up_to - F.col("size")).alias("start"), up_to.alias("stop"), "hash"
-    )
+    in_shard = Window.partitionBy("shard").orderBy("record_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    put = pieces(landed(leaves, "leaves"), shard_ids)
+    ahead = F.coalesce(F.sum("copies").over(in_shard), F.lit(0)).alias("ahead")
+    at = F.coalesce(F.sum(F.col("copies") * F.col("size")).over(in_shard), F.lit(0)).alias("at")
+    each = put.select("*", ahead, at).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    start = F.col("at") + F.col("copy") * F.col("size")
+    return each.select("shard", (F.col("ahead") + F.col("copy")).alias("seq"), "record_id", start.alias("start"), (start + F.col("size")).alias("stop"), "hash")
 
 
 def tree(placed: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
@@ -97,34 +127,58 @@ def depth_for(nodes: int, fanout: int = FANOUT) -> int:
     return depth
 
 
+def differing(good: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``keys`` at which the hashes of two trees differ, or that only one of them has."""
+    held = bad.select(*keys, F.col("hash").alias("held"))
+    return good.select(*keys, "hash").join(held, keys, "full").where(~F.col("hash").eqNullSafe(F.col("held"))).select(*keys)
+
+
+def beyond(rows: DataFrame, key: str, allowed: str) -> DataFrame:
+    """The rows of each ``key`` after its first ``allowed`` ones, in the order of their places.
+
+    They are numbered by shard, so that a key of very many rows is not put in order in one task.
+    """
+    earlier = Window.partitionBy(key).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, "shard").agg(F.count("*").alias("n")).select(key, "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, "shard").orderBy("seq")))
+    return ranked.join(counts, [key, "shard"]).where(F.col("off") + F.col("rank") > F.col(allowed)).drop("rank", "off")
+
+
 def audit(records: DataFrame, replica: DataFrame, shard_ids: int = SHARD_IDS, fanout: int = FANOUT) -> DataFrame:
     """``(record_id, shard, seq, start, stop, status)`` of every record that a replica doesn't hold as it is listed.
 
     Both tables have ``record_id`` and ``record`` (bytes; a null record counts as none). ``status`` is
-    ``changed``, ``missing``, or ``extra`` for an id that is not listed (it has no place: nulls). Intact
-    records give no row; two empty tables give an empty result. Several records of one id are
-    audited as one. Other columns are not read.
+    ``missing`` where the replica has no record of the id, ``changed`` where it has one, but not this
+    or fewer copies of it, or ``extra`` for each record that is neither listed nor stands for a
+    changed one (it has no place: nulls). Every record and every copy is audited by itself; which of
+    equal copies are lost can't be told, so the last ones are reported. Intact records give no row;
+    two empty tables give an empty result. Other columns are not read.
     """
     usable = F.col("record").isNotNull()
     listed = landed(manifest(hashed(records.where(usable)), shard_ids), "manifest")
-    other = landed(hashed(replica.where(usable)), "replica")
-    there = other.select(F.col("record_id").alias("other_id"), F.col("hash").alias("other_hash"))
-    held = listed.drop("hash").join(there, F.col("record_id").eqNullSafe(F.col("other_id")), "left").withColumnRenamed("other_hash", "hash")
-    depth = depth_for((listed.agg(F.max("seq")).first()[0] or 0) + 1, fanout)
+    other = landed(manifest(hashed(replica.where(usable)), shard_ids), "replica")
+    depth = depth_for((listed.unionByName(other).agg(F.max("seq")).first()[0] or 0) + 1, fanout)
     good = landed(tree(listed, depth, fanout), "tree")
-    bad = landed(tree(held, depth, fanout), "tree")
+    bad = landed(tree(other, depth, fanout), "tree")
     looked_at = None
     for level in range(depth, -1, -1):
-        a = good.where(F.col("level") == level).drop("level")
-        b = bad.where(F.col("level") == level).select("shard", "node", F.col("hash").alias("held"))
+        a, b = (t.where(F.col("level") == level) for t in (good, bad))
         if looked_at is not None:
-            a = a.withColumn("up", F.expr(f"node div {fanout}")).join(looked_at.select("shard", F.col("node").alias("up")), ["shard", "up"], "left_semi").drop("up")
-        looked_at = a.join(b, ["shard", "node"], "left").where(~F.col("hash").eqNullSafe(F.col("held")))
-    places = listed.select("shard", F.col("seq").alias("node"), "record_id")
-    status = F.when(F.col("held").isNull(), "missing").otherwise("changed")
-    damaged = looked_at.join(places, ["shard", "node"]).select("record_id", "shard", F.col("node").alias("seq"), "start", "stop", status.alias("status"))
+            above = looked_at.select("shard", F.col("node").alias("up"))
+            a, b = (t.withColumn("up", F.expr(f"node div {fanout}")).join(above, ["shard", "up"], "left_semi") for t in (a, b))
+        looked_at = differing(a, b, ["shard", "node"])
+    places = landed(looked_at.withColumnRenamed("node", "seq"), "differing")
+    mine, theirs = (t.join(places, ["shard", "seq"], "left_semi").withColumn("id", id_text()) for t in (listed, other))
+    both = mine.select("hash", F.lit(1).alias("m"), F.lit(0).alias("t")).unionByName(theirs.select("hash", F.lit(0).alias("m"), F.lit(1).alias("t")))
+    uneven = landed(both.groupBy("hash").agg(F.sum("m").alias("listed"), F.sum("t").alias("held")).where("listed <> held"), "uneven")
+    lost = landed(beyond(mine.join(uneven.where("listed > held"), "hash"), "hash", "held"), "lost")
+    stray = beyond(theirs.join(uneven.where("held > listed"), "hash"), "hash", "listed").drop("listed", "held")
+    gone = lost.groupBy("id").agg(F.count("*").alias("n"))
+    there = other.select(id_text().alias("id")).join(gone, "id", "left_semi").distinct().withColumn("there", F.lit(True))
+    status = F.when(F.col("there"), "changed").otherwise("missing")
+    damaged = lost.join(there, "id", "left").select("record_id", "shard", "seq", "start", "stop", status.alias("status"))
     nothing = F.lit(None).cast("long")
-    extra = other.join(listed.select(F.col("record_id").alias("listed_id")), F.col("record_id").eqNullSafe(F.col("listed_id")), "left_anti")
+    extra = beyond(landed(stray.join(gone, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))), "stray"), "id", "n")
     return damaged.unionByName(extra.select("record_id", *[nothing.alias(c) for c in ("shard", "seq", "start", "stop")], F.lit("extra").alias("status")))
 
 
@@ -133,10 +187,10 @@ def write_archive(records: DataFrame, folder: str, shard_ids: int = SHARD_IDS) -
 
     Records end with a line end, which is the one that Spark's text writer adds.
     """
-    placed = manifest(hashed(records), shard_ids).select("record_id", "shard")
-    rows = records.join(placed.withColumnRenamed("record_id", "id"), F.col("record_id").eqNullSafe(F.col("id")))
+    placed = manifest(hashed(records), shard_ids).select("hash", "shard", "seq")
+    rows = records.select(record_hash().alias("hash"), "record").dropDuplicates(["hash"]).join(placed, "hash")
     body = F.substring("record", F.lit(1), F.length("record") - 1).cast("string").alias("value")
-    rows.repartition("shard").sortWithinPartitions("shard", "record_id", "record").select(body, "shard").write.mode("errorifexists").partitionBy("shard").text(folder)
+    rows.repartition("shard").sortWithinPartitions("shard", "seq").select(body, "shard").write.mode("errorifexists").partitionBy("shard").text(folder)
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:

@@ -86,3 +86,44 @@ def test_archive_files(spark):
     file.write_bytes(file.read_bytes().replace(b"xxxx", b"xxyx", 1))
     Path(file.parent, f".{file.name}.crc").unlink(missing_ok=True)
     assert status(warc.audit(records, warc.read_archive(spark, folder))) == {(5000, "changed")}
+
+
+def test_every_copy_of_a_hot_id_has_its_own_place(spark):
+    # one id and the null id hold most rows, with copies; each damaged or lost one is located by itself
+    rows = [(7, b"h%d" % (k % 40)) for k in range(60)] + [(None, b"n%03d" % k) for k in range(30)] + [(k, b"u%d" % k) for k in range(20, 30)]
+    a = frame(spark, rows)
+    placed = warc.manifest(warc.hashed(a), 8).collect()
+    assert len(placed) == len(rows)
+    shards = {}
+    for r in placed:
+        shards.setdefault(r["shard"], []).append((r["seq"], r["start"], r["stop"]))
+    assert max(map(len, shards.values())) <= 8
+    for places in shards.values():
+        places.sort()
+        assert [p[0] for p in places] == list(range(len(places)))
+        assert [p[1] for p in places] == [0] + [p[2] for p in places[:-1]]
+    assert warc.audit(a, frame(spark, rows[::-1]), shard_ids=8, fanout=2).collect() == []
+    held = list(rows)
+    held[3], held[70] = (7, b"bad"), (None, b"bad")
+    for gone in (b"h25", b"h5"):
+        held.remove((7, gone))
+    held += [(7, b"h1"), (None, b"new")]
+    got = warc.audit(a, frame(spark, held), shard_ids=8, fanout=2).collect()
+    hashes = {(r["shard"], r["seq"]): (r["record_id"], r["stop"] - r["start"], r["hash"]) for r in placed}
+    digest = {r["hash"]: bytes(r["record"]) for r in a.select("record", warc.record_hash().alias("hash")).collect()}
+    lost = sorted((str(r["record_id"]), digest[hashes[r["shard"], r["seq"]][2]], r["status"]) for r in got if r["status"] != "extra")
+    assert lost == sorted([("7", b"h3", "changed"), ("7", b"h25", "changed"), ("7", b"h5", "changed"), ("None", b"n010", "changed")])
+    assert all(r["stop"] - r["start"] == hashes[r["shard"], r["seq"]][1] for r in got if r["status"] != "extra")
+    # of id 7 two strays (bad, h1) stand for two of the three lost; of the null id one for one, one is left
+    assert [(r["record_id"], r["shard"]) for r in got if r["status"] == "extra"] == [(None, None)]
+
+
+def test_archive_of_copies_and_hot_ids(spark):
+    pages = [(7, "u", f"h{k % 9}") for k in range(20)] + [(None, "n", f"x{k}") for k in range(11)] + [(k, "v", "w") for k in range(5)]
+    records = warc.archive_records(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    folder = scratch_table_path(spark, "test-warc-hot")
+    warc.write_archive(records, folder, 4)
+    back = warc.read_archive(spark, folder)
+    key = "shard", "start", "record_id"
+    assert sorted(map(str, back.select("shard", back["at"].alias("start"), "record_id").collect())) == sorted(map(str, warc.manifest(warc.hashed(records), 4).select(*key).collect()))
+    assert warc.audit(records, back, shard_ids=4).collect() == []
