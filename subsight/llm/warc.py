@@ -1,10 +1,12 @@
 """WARC archives and a Merkle fixity audit of their replicas.
 
 Every record is hashed where it is. Hashes and lengths of the records of a shard, in the order of
-their offsets, are hashed together in groups of ``FANOUT``, these again, up to one node per shard
-and on to one root; each node has the offset range that it stands for. Two replicas are compared
-from the root down: a level is only looked at below nodes whose hashes differ, so an intact replica
-costs one comparison and a damaged one the branches that lead to the damage.
+their offsets, are hashed together in groups of ``FANOUT``, these again, up to one node per shard;
+shards go to buckets by a hash of their number, and buckets in groups of ``FANOUT`` up to one root.
+Each replica's tree is built from its own order, sizes and offsets. Two replicas are compared from
+the root down: a level is only looked at below nodes whose hashes differ, so an intact replica
+costs one comparison and a damaged one the branches that lead to the damage. A record that is
+inserted or lost shifts all that follow in its shard, which are then looked at too.
 """
 
 from __future__ import annotations
@@ -113,12 +115,49 @@ def tree(placed: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
     for k in range(1, depth + 1):
         child = F.struct("node", F.concat_ws(":", F.coalesce("hash", F.lit("none")), (F.col("stop") - F.col("start")).cast("string")).alias("h"))
         level = level.groupBy("shard", F.expr(f"node div {fanout}").alias("up")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["h"]), "/"), 256).alias("hash"), F.min("start").alias("start"), F.max("stop").alias("stop")
+            joined(child).alias("hash"), F.min("start").alias("start"), F.max("stop").alias("stop")
         ).select(F.lit(k).alias("level"), "shard", F.col("up").alias("node"), "hash", "start", "stop")
         out = out.unionByName(level)
     return out
 
 
+def shard_tree(roots: DataFrame, width: int, fanout: int = FANOUT) -> DataFrame:
+    """``(level, node, hash)`` over the root nodes of shards: level 0 are ``fanout ** width`` buckets, ``width`` is one root.
+
+    A bucket holds the shards whose numbers hash to it, so a shard that only one replica has moves no other.
+    """
+    bucket = F.pmod(F.xxhash64("shard"), F.lit(fanout**width))
+    own = F.struct("shard", F.concat_ws(":", "shard", "hash").alias("h"))
+    level = roots.groupBy(bucket.alias("node")).agg(joined(own).alias("hash")).select(F.lit(0).alias("level"), "node", "hash")
+    out = level
+    for k in range(1, width + 1):
+        child = F.struct("node", F.concat_ws(":", "node", "hash").alias("h"))
+        level = level.groupBy(F.expr(f"node div {fanout}").alias("up")).agg(joined(child).alias("hash")).select(F.lit(k).alias("level"), F.col("up").alias("node"), "hash")
+        out = out.unionByName(level)
+    return out
+
+
+def joined(child: Column) -> Column:
+    """The hash of the ``h`` of the children in their order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["h"]), "/"), 256)
+
+
+def own_manifest(replica: DataFrame) -> DataFrame:
+    """Like ``manifest``, of records at the places they have (``shard, at``), with ``leaf``: the hash for the tree.
+
+    Where a record does not start at the end of the one before it, ``leaf`` also stands for how far
+    it is off.
+    """
+    in_shard = Window.partitionBy("shard").orderBy("at", "hash")
+    rows = replica.select(F.coalesce("shard", F.lit(NO_ID)).alias("shard"), "record_id", record_hash().alias("hash"), F.length("record").cast("long").alias("size"), F.col("at").cast("long").alias("at"))
+    rows = rows.select(
+        "*", (F.row_number().over(in_shard) - 1).cast("long").alias("seq"), F.coalesce(F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead")
+    )
+    off = F.sha2(F.concat_ws(":", "hash", F.coalesce((F.col("at") - F.col("ahead")).cast("string"), F.lit("none"))), 256)
+    leaf = F.when(F.col("at").eqNullSafe(F.col("ahead")), F.col("hash")).otherwise(off)
+    return rows.select("shard", "seq", "record_id", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"), "hash", leaf.alias("leaf"))
+
+
 def depth_for(nodes: int, fanout: int = FANOUT) -> int:
     """Levels above the records until one node is left."""
     depth = 1
@@ -150,24 +189,44 @@ def audit(records: DataFrame, replica: DataFrame, shard_ids: int = SHARD_IDS, fa
     Both tables have ``record_id`` and ``record`` (bytes; a null record counts as none). ``status`` is
     ``missing`` where the replica has no record of the id, ``changed`` where it has one, but not this
     or fewer copies of it, or ``extra`` for each record that is neither listed nor stands for a
-    changed one (it has no place: nulls). Every record and every copy is audited by itself; which of
+    changed one (it has no place: nulls). A replica with ``shard`` and ``at`` (offset), as
+    ``read_archive`` gives them, is audited as it lies: records that it holds at another place are
+    ``moved``. Without them it has no order of its own and is placed like the listed one. Every record and every copy is audited by itself; which of
     equal copies are lost can't be told, so the last ones are reported. Intact records give no row;
     two empty tables give an empty result. Other columns are not read.
     """
     usable = F.col("record").isNotNull()
     listed = landed(manifest(hashed(records.where(usable)), shard_ids), "manifest")
-    other = landed(manifest(hashed(replica.where(usable)), shard_ids), "replica")
-    depth = depth_for((listed.unionByName(other).agg(F.max("seq")).first()[0] or 0) + 1, fanout)
+    lies = {"shard", "at"} <= set(replica.columns)
+    held = replica.where(usable)
+    other = landed(own_manifest(held) if lies else manifest(hashed(held), shard_ids).withColumn("leaf", F.col("hash")), "replica")
+    ends = listed.select("shard", "seq").unionByName(other.select("shard", "seq")).agg(F.max("seq"), F.count(F.when(F.col("seq") == 0, 1))).first()
+    depth, width = depth_for((ends[0] or 0) + 1, fanout), depth_for(ends[1], fanout)
     good = landed(tree(listed, depth, fanout), "tree")
-    bad = landed(tree(other, depth, fanout), "tree")
+    bad = landed(tree(other.drop("hash").withColumnRenamed("leaf", "hash"), depth, fanout), "tree")
+    top = F.col("level") == depth
+    good_top, bad_top = (landed(shard_tree(t.where(top), width, fanout), "shard-tree") for t in (good, bad))
+    roots = [[r["hash"] for r in t.where(F.col("level") == width).select("hash").collect()] for t in (good_top, bad_top)]
+    if roots[0] == roots[1]:
+        return listed.limit(0).select("record_id", "shard", "seq", "start", "stop", F.lit("").alias("status"))
+    looked_at = None
+    for level in range(width, -1, -1):
+        a, b = (t.where(F.col("level") == level) for t in (good_top, bad_top))
+        if looked_at is not None:
+            above = looked_at.select(F.col("node").alias("up"))
+            a, b = (t.withColumn("up", F.expr(f"node div {fanout}")).join(above, "up", "left_semi") for t in (a, b))
+        looked_at = landed(differing(a, b, ["node"]), "differing")
+    buckets = looked_at.select(F.col("node").alias("bucket"))
     looked_at = None
     for level in range(depth, -1, -1):
         a, b = (t.where(F.col("level") == level) for t in (good, bad))
-        if looked_at is not None:
+        if looked_at is None:
+            a, b = (t.withColumn("bucket", F.pmod(F.xxhash64("shard"), F.lit(fanout**width))).join(buckets, "bucket", "left_semi") for t in (a, b))
+        else:
             above = looked_at.select("shard", F.col("node").alias("up"))
             a, b = (t.withColumn("up", F.expr(f"node div {fanout}")).join(above, ["shard", "up"], "left_semi") for t in (a, b))
-        looked_at = differing(a, b, ["shard", "node"])
-    places = landed(looked_at.withColumnRenamed("node", "seq"), "differing")
+        looked_at = landed(differing(a, b, ["shard", "node"]), "differing")
+    places = looked_at.withColumnRenamed("node", "seq")
     mine, theirs = (t.join(places, ["shard", "seq"], "left_semi").withColumn("id", id_text()) for t in (listed, other))
     both = mine.select("hash", F.lit(1).alias("m"), F.lit(0).alias("t")).unionByName(theirs.select("hash", F.lit(0).alias("m"), F.lit(1).alias("t")))
     uneven = landed(both.groupBy("hash").agg(F.sum("m").alias("listed"), F.sum("t").alias("held")).where("listed <> held"), "uneven")
@@ -177,6 +236,9 @@ def audit(records: DataFrame, replica: DataFrame, shard_ids: int = SHARD_IDS, fa
     there = other.select(id_text().alias("id")).join(gone, "id", "left_semi").distinct().withColumn("there", F.lit(True))
     status = F.when(F.col("there"), "changed").otherwise("missing")
     damaged = lost.join(there, "id", "left").select("record_id", "shard", "seq", "start", "stop", status.alias("status"))
+    if lies:
+        moved = mine.join(lost, ["shard", "seq"], "left_anti")
+        damaged = damaged.unionByName(moved.select(*damaged.columns[:-1], F.lit("moved").alias("status")))
     nothing = F.lit(None).cast("long")
     extra = beyond(landed(stray.join(gone, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))), "stray"), "id", "n")
     return damaged.unionByName(extra.select("record_id", *[nothing.alias(c) for c in ("shard", "seq", "start", "stop")], F.lit("extra").alias("status")))

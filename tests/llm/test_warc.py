@@ -127,3 +127,37 @@ def test_archive_of_copies_and_hot_ids(spark):
     key = "shard", "start", "record_id"
     assert sorted(map(str, back.select("shard", back["at"].alias("start"), "record_id").collect())) == sorted(map(str, warc.manifest(warc.hashed(records), 4).select(*key).collect()))
     assert warc.audit(records, back, shard_ids=4).collect() == []
+
+
+def test_replica_is_audited_as_it_lies(spark):
+    listed = frame(spark, [(k, b"r%02d" % k) for k in range(48)])
+    files = {f: list(range(8 * f, 8 * f + 8)) for f in range(6)}
+
+    def found(gap_before):
+        rows = []
+        for shard, ids in files.items():
+            at = 0
+            for k in ids:
+                at += k == gap_before
+                rows.append((k, b"r%02d" % k, shard, at))
+                at += 3
+        return status(warc.audit(listed, spark.createDataFrame(rows[::-1], "record_id long, record binary, shard long, at long"), shard_ids=8))
+
+    assert found(None) == set()
+    files[0].insert(2, files[0].pop(3))
+    files[1].insert(5, 99)
+    files[4].append(files[3].pop())
+    files[5].remove(45)
+    moved = {2, 3, 13, 14, 15, 22, 23, 31, 46, 47}
+    assert found(22) == {(k, "moved") for k in moved} | {(99, "extra"), (45, "missing")}
+
+
+def test_roots_are_compared_first_and_ids_count(spark, monkeypatch):
+    a = frame(spark, [(1, b"x"), (200, b"y"), (None, b"z")])
+    assert status(warc.audit(a, frame(spark, [(1, b"x"), (201, b"y"), (None, b"z")]), shard_ids=8)) == {(200, "missing"), (201, "extra")}
+
+    def never(*_):
+        raise AssertionError("descended")
+
+    monkeypatch.setattr(warc, "differing", never)
+    assert warc.audit(a, a, shard_ids=8).collect() == []
