@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from subsight.llm.alignment import op11_alignment
 from subsight.llm.bpe import op2_bpe
 from subsight.llm.decontamination import op5_decontamination
 from subsight.llm.embeddings import op1_embeddings
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
 }
 ORACLE: dict[str, str] = {"op4_urls": OP4_SQL, "op9_warc": OP9_SQL}
