@@ -4,7 +4,8 @@ Each tokenizer gives a text as tokens that end at byte offsets. Two dictionaries
 index, where the tokens of each side end; the ends that both have, sorted, cut both id lists into
 groups, and inside each group the overlapping tokens are linked.
 
-Neither tokenizer joins what stands before a space to what follows it (unless white space stands
+The texts of a block are aligned together: both sides cover the same bytes, so one running offset
+serves them all. Neither tokenizer joins what stands before a space to what follows it (unless white space stands
 before it; a sentencepiece vocabulary is checked for it), so both sides always end at such a place. The parts between are aligned once in each
 block of texts, however often they occur, and a text's groups are those of its parts in order.
 
@@ -18,7 +19,8 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate, count
+from itertools import chain, count, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +39,8 @@ TOKENIZER_B = "piece_bpe_32k.model"
 
 #: Text bytes gathered into one block (a longer text is a block of its own).
 BLOCK_BYTES = 6 << 20
+#: Parts encoded and aligned at a time.
+PART_CHUNK = 16384
 #: Slices of the id pairs, by the B id; their size is bounded by the two vocabularies.
 SLICES = 64
 #: Blocks whose pairs meet in one task before the totals of a slice are added up.
@@ -101,45 +105,56 @@ def tokenizer_b(path: str) -> tuple[Encode, list[bytes]]:
     return encode, held
 
 
-def common_ends(sizes_a: list[int], sizes_b: list[int]) -> list[tuple[int, int]]:
-    """``(tokens of A, tokens of B)`` up to each byte offset at which both end, ascending."""
-    at_a = dict(zip(accumulate(sizes_a), count(1)))
-    at_b = dict(zip(accumulate(sizes_b), count(1)))
-    return [(at_a[end], at_b[end]) for end in sorted(at_a.keys() & at_b.keys())]
+def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and tokens of B up to each byte offset at which both end, ascending."""
+    at_a, at_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
+    common = sorted(at_a.keys() & at_b.keys())
+    return (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
 
 
-def overlaps(sizes_a: list[int], sizes_b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of the tokens of one group whose byte ranges overlap."""
-    if len(sizes_a) == 1 or len(sizes_b) == 1:
-        return [(i, j) for i in range(len(sizes_a)) for j in range(len(sizes_b))]
-    i = j = 0
-    end_a, end_b, out = sizes_a[0], sizes_b[0], []
-    while True:
-        out.append((i, j))
-        if end_a <= end_b:
-            i += 1
-            if i == len(sizes_a):
-                return out
-            end_a += sizes_a[i]
-        else:
-            j += 1
-            end_b += sizes_b[j]
+def links_of(ends_a: np.ndarray, ends_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the tokens whose byte ranges overlap, group by group, in order.
 
-
-def align(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups ``(A ids, B ids)`` and links ``(A id, B id)`` of one text or part, in order; ``size_*`` is a token's bytes by id."""
-    sizes_a, sizes_b = [size_a[k] for k in ids_a], [size_b[k] for k in ids_b]
-    groups, links, i, j = [], [], 0, 0
-    for end_i, end_j in common_ends(sizes_a, sizes_b):
-        a, b = ids_a[i:end_i], ids_b[j:end_j]
-        groups.append((a, b))
-        links += [(a[0], b[0])] if len(a) == len(b) == 1 else [(a[m], b[n]) for m, n in overlaps(sizes_a[i:end_i], sizes_b[j:end_j])]
-        i, j = end_i, end_j
-    return groups, links
-
-
-def shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
+    A group of one token of each side is one link. In any other each end of either side closes a
+    stretch of bytes that belongs to one token of A and one of B, and no two stretches to the same two.
+    """
+    single = (np.diff(to_a, prepend=0) == 1) & (np.diff(to_b, prepend=0) == 1)
+    inner_a, inner_b = (np.repeat(~single, np.diff(to, prepend=0)) for to in (to_a, to_b))
+    stretch = np.union1d(ends_a[inner_a], ends_b[inner_b])
+    a = np.concatenate((to_a[single] - 1, np.searchsorted(ends_a, stretch)))
+    b = np.concatenate((to_b[single] - 1, np.searchsorted(ends_b, stretch)))
+    order = np.lexsort((b, a))
+    return a[order], b[order]
+
+
+class Aligned(NamedTuple):
+    """Consecutive texts or parts aligned: per part its tokens, groups and links, its groups as text, and all links."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    shown: list[str]
+    links: np.ndarray  # A id below, B id above 32 bits
+
+
+def align(ids_a: list[list[int]], ids_b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> Aligned:
+    """Align parts whose two id lists cover the same bytes; ``size_*`` is a token's number of bytes by id."""
+    n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+    a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    to_a, to_b = common_ends(ends_a.tolist(), ends_b.tolist())
+    link_a, link_b = links_of(ends_a, ends_b, to_a, to_b)
+    part_to = np.cumsum(n_a)
+    n_groups = np.diff(np.searchsorted(to_a, part_to, "right"), prepend=0)
+    n_links = np.diff(np.searchsorted(link_a, part_to), prepend=0)
+    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    groups, i, j = [], 0, 0
+    for m, n in zip(to_a.tolist(), to_b.tolist(), strict=True):
+        groups.append(f"{text_a[i]}|{text_b[j]}" if m - i == n - j == 1 else ",".join(text_a[i:m]) + "|" + ",".join(text_b[j:n]))
+        i, j = m, n
+    edge = np.concatenate(([0], np.cumsum(n_groups))).tolist()
+    return Aligned(n_a, n_b, n_groups, n_links, [";".join(groups[x:y]) for x, y in pairwise(edge)], b[link_b] << 32 | a[link_a])
 
 
 class Aligner:
@@ -147,19 +162,26 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = tokenizer_a(path_a), tokenizer_b(path_b)
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-
-    def parts(self, parts: list[str]) -> list[tuple | None]:
-        """Per part ``(n_a, n_b, n_groups, groups as text, links)``; None where a side's bytes are not the part's."""
-        out = []
-        for part, a, b in zip(parts, self.encode_a(parts), self.encode_b(parts), strict=True):
-            want = b" " + part.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
-                out.append(None)
-            else:
-                groups, links = align(a, b, self.size_a, self.size_b)
-                out.append((len(a), len(b), len(groups), shown(groups), links))
-        return out
+        self.size_a, self.size_b = (np.array([len(x) for x in held]) for held in (self.bytes_a, self.bytes_b))
+
+    def _spelled(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> bool:
+        want = b"".join([b" " + p.encode() for p in parts])
+        return all(b"".join(map(held.__getitem__, chain.from_iterable(ids))) == want for held, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+
+    def parts(self, parts: list[str]) -> tuple[np.ndarray, Aligned]:
+        """Which of ``parts`` both sides spell byte by byte, and all of them aligned (others as without tokens)."""
+        spelled, out = np.ones(len(parts), bool), []
+        for low in range(0, len(parts), PART_CHUNK):
+            own = parts[low : low + PART_CHUNK]
+            a, b = self.encode_a(own), self.encode_b(own)
+            if not self._spelled(own, a, b):
+                for k, p in enumerate(own):
+                    if not self._spelled([p], [a[k]], [b[k]]):
+                        spelled[low + k], a[k], b[k] = False, [], []
+            out.append(align(a, b, self.size_a, self.size_b))
+        joined = [np.concatenate([getattr(x, c) for x in out]) if out else np.zeros(0, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")]
+        links = np.concatenate([x.links for x in out]) if out else np.zeros(0, np.int64)
+        return spelled, Aligned(*joined, [t for x in out for t in x.shown], links)
 
 
 def _zstd(data: bytes) -> bytes:
@@ -189,28 +211,23 @@ def _pack_block(texts: list[str | None], aligner: Aligner) -> tuple[dict, np.nda
     known: dict[str, int] = {}
     number, listed = known.setdefault, []
     for text in texts:
-        listed.append([number(p, len(known)) for p in parts_of(text)] if text else [])
-    aligned = aligner.parts(list(known))
+        own = [number(p, len(known)) for p in parts_of(text)] if text else []
+        listed.append(np.array(own, np.int64))
+    spelled, aligned = aligner.parts(list(known))
     del known
-    out = {c: [] for c in ("n_a", "n_b", "n_groups", "digests", "n_parts")}
-    for k, own in enumerate(listed):
-        found = [aligned[p] for p in own]
-        if not found or None in found:
-            found, listed[k] = [], []
-        for c, at in (("n_a", 0), ("n_b", 1), ("n_groups", 2)):
-            out[c].append(sum([x[at] for x in found]))
-        out["digests"].append(hashlib.sha256(";".join([x[3] for x in found]).encode()).hexdigest() if found else "")
-        out["n_parts"].append(len(found))
-    codes = np.fromiter((p for own in listed for p in own), "<u4")
-    del listed
-    links = [x[4] if x else [] for x in aligned]
-    n_pairs = np.fromiter(map(len, links), "<u4", len(links))
-    flat = np.fromiter((b << 32 | a for own in links for a, b in own), "<i8", int(n_pairs.sum()))
-    del links, aligned
-    pairs, place = np.unique(flat, return_inverse=True)
-    times = np.bincount(codes, minlength=len(n_pairs)).astype(np.int64)  # a part of texts without tokens counts nothing
-    counts = np.bincount(place, weights=np.repeat(times, n_pairs), minlength=len(pairs)).astype(np.int64)
-    return out | {"parts": _planes(codes), "n_pairs": _planes(n_pairs), "pairs": _planes(place)}, pairs, counts
+    listed = [own if spelled[own].all() else own[:0] for own in listed]
+    n_parts = np.fromiter(map(len, listed), np.int64, len(listed))
+    codes = np.concatenate(listed) if listed else np.zeros(0, np.int64)
+    to = np.concatenate(([0], np.cumsum(n_parts)))
+    out = {c: np.diff(np.concatenate(([0], np.cumsum(getattr(aligned, c)[codes])))[to]).tolist() for c in ("n_a", "n_b", "n_groups")}
+    shown = aligned.shown
+    out["digests"] = [hashlib.sha256(";".join([shown[p] for p in own.tolist()]).encode()).hexdigest() if len(own) else "" for own in listed]
+    del shown, listed
+    pairs, place = np.unique(aligned.links, return_inverse=True)
+    times = np.bincount(codes, minlength=len(aligned.n_links))  # a part of texts without tokens counts nothing
+    counts = np.bincount(place, weights=np.repeat(times, aligned.n_links), minlength=len(pairs)).astype(np.int64)
+    out |= {"n_parts": n_parts.tolist(), "parts": _planes(codes), "n_pairs": _planes(aligned.n_links), "pairs": _planes(place)}
+    return out, pairs, counts
 
 
 def pack(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -89,6 +90,7 @@ def test_odd_texts_against_the_libraries(spark, libraries):
 def test_small_blocks_and_salts_give_the_same(spark, libraries, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", 10)
     monkeypatch.setattr(alignment, "SALT_BLOCKS", 2)
+    monkeypatch.setattr(alignment, "PART_CHUNK", 5)
     texts = [t for t in ODD if t is None or len(t) < 100] * 40
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = sorted(tuple(r) for r in alignment.align_documents(df, *PATHS).collect())
@@ -111,15 +113,20 @@ def test_query_against_the_libraries(spark, libraries):
 def test_groups_and_links_of_any_cuts(a, b):
     short, long = (a, b) if sum(a) < sum(b) else (b, a)
     short += [1] * (sum(long) - sum(short))  # both sides cover the same bytes
-    size = [0, 1, 2, 3, 4]
-    groups, links = alignment.align(a, b, size, size)
-    assert [x for g in groups for x in g[0]] == a and [x for g in groups for x in g[1]] == b
-    assert all(sum(x) == sum(y) for x, y in groups)
+    size = np.arange(5)
+    found = alignment.align([a, b], [b, a], size, size)  # and the sides changed
+
     def ends(s):
         return [sum(s[: k + 1]) for k in range(len(s))]
 
-    assert len(groups) == len(set(ends(a)) & set(ends(b)))
-    assert len(links) == len(set(ends(a)) | set(ends(b)))
+    assert found.n_groups.tolist() == [len(set(ends(a)) & set(ends(b)))] * 2
+    assert found.n_links.tolist() == [len(set(ends(a)) | set(ends(b)))] * 2
+    groups = [g.split("|") for g in found.shown[0].split(";")]
+    assert [int(x) for g in groups for x in g[0].split(",")] == a and [int(x) for g in groups for x in g[1].split(",")] == b
+    assert all(sum(map(int, x.split(","))) == sum(map(int, y.split(","))) for x, y in groups)
+    first = found.links[: found.n_links[0]]
+    want = [(y << 32) | x for k, x in enumerate(a) for m, y in enumerate(b) if ends(a)[k] - x < ends(b)[m] and ends(b)[m] - y < ends(a)[k]]
+    assert sorted(first.tolist()) == sorted(want)
 
 
 @pytest.fixture(scope="module")
