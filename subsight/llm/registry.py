@@ -11,6 +11,7 @@ from subsight.llm.bpe import op2_bpe
 from subsight.llm.decontamination import op5_decontamination
 from subsight.llm.embeddings import op1_embeddings
 from subsight.llm.langid import op8_language
+from subsight.llm.manifest import OP12_SQL, op12_manifest
 from subsight.llm.records import op3_records
 from subsight.llm.simhash import op10_simhash
 from subsight.llm.suffix_dedup import op6_suffix
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_manifest": op12_manifest,
 }
-ORACLE: dict[str, str] = {"op4_urls": OP4_SQL, "op9_warc": OP9_SQL}
+ORACLE: dict[str, str] = {"op4_urls": OP4_SQL, "op9_warc": OP9_SQL, "op12_manifest": OP12_SQL}
