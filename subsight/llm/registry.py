@@ -11,6 +11,7 @@ from subsight.llm.bpe import op2_bpe
 from subsight.llm.decontamination import op5_decontamination
 from subsight.llm.embeddings import op1_embeddings
 from subsight.llm.langid import op8_language
+from subsight.llm.lines import OP13_SQL, op13_lines
 from subsight.llm.manifest import OP12_SQL, op12_manifest
 from subsight.llm.records import op3_records
 from subsight.llm.simhash import op10_simhash
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
     "op12_manifest": op12_manifest,
+    "op13_lines": op13_lines,
 }
-ORACLE: dict[str, str] = {"op4_urls": OP4_SQL, "op9_warc": OP9_SQL, "op12_manifest": OP12_SQL}
+ORACLE: dict[str, str] = {"op4_urls": OP4_SQL, "op9_warc": OP9_SQL, "op12_manifest": OP12_SQL, "op13_lines": OP13_SQL}
