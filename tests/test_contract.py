@@ -19,13 +19,13 @@ from subsight.sources.schemas import STAGING
 def test_changed_input_is_read_again(spark, tmp_path):
     for t in ("customer", "nation", "region", "orders", "events"):
         os.makedirs(tmp_path / f"{t}.parquet")
-        shutil.copy(f"{SMALL}/{t}.parquet", tmp_path / f"{t}.parquet" / "part.parquet")
+        shutil.copyfile(f"{SMALL}/{t}.parquet", tmp_path / f"{t}.parquet" / "part.parquet")
     counts = lambda: {r["table_name"]: r["row_count"] for r in QUERIES["load_row_counts"](spark, str(tmp_path)).collect()}
     before = counts()
     few = spark.read.parquet(f"{SMALL}/events.parquet").limit(100)
     few.coalesce(1).write.parquet(str(tmp_path / "new"))
     (part,) = [f for f in os.listdir(tmp_path / "new") if f.endswith(".parquet")]
-    shutil.copy(tmp_path / "new" / part, tmp_path / "events.parquet" / "part.parquet")
+    shutil.copyfile(tmp_path / "new" / part, tmp_path / "events.parquet" / "part.parquet")
     shutil.rmtree(tmp_path / "new")
     after = counts()
     assert after["events"] < before["events"] and after["customers"] == before["customers"]
