@@ -28,7 +28,7 @@ from ..sources.schemas import STAGING
 
 def _read_landed(spark: SparkSession, name: str, path: str) -> DataFrame:
     # The schema is known (all-string staging): no footer reads at planning time.
-    return spark.read.schema(STAGING[name]).parquet(path)
+    return spark.read.schema(STAGING[name]).parquet(path).select(*STAGING[name].fieldNames())
 
 
 class Workload:

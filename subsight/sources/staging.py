@@ -9,6 +9,8 @@ price parsed, nothing trimmed or filled.
 from __future__ import annotations
 
 import os
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,37 +28,67 @@ MONEY_COLUMNS = {"subscriptions": ("monthly_price",)}
 
 
 CORRUPT = "_corrupt_record"
+#: Headers read at a time (each is a job that reads the first line of one file).
+HEADER_READERS = 16
 
 
-def scan_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """The columns of ``table`` by their names in the header, all text, and the text of malformed lines.
+def csv_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The non-empty files under ``path``, listed by Spark; their contents are not read."""
+    found = spark.read.format("binaryFile").load(path).where("length > 0").select("path").collect()
+    return sorted(r["path"] for r in found)
 
-    Columns may come in any order and others may stand beside them; a missing one is an error.
-    ``_corrupt_record`` is NULL for a line that has as many fields as the header.
+
+def literal_path(path: str) -> str:
+    """``path`` as a pattern that fits only itself."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def csv_layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files under ``path`` by the column names of their headers, in order."""
+    files = csv_files(spark, path)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(lambda f: tuple(spark.read.option("header", True).csv(literal_path(f)).columns), files))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(files, headers, strict=True):
+        layouts.setdefault(header, []).append(file)
+    return layouts
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
+    """The columns of ``table`` by the names in each file's own header, all text, and the text of malformed lines.
+
+    Files may differ in the order of their columns and in what else they have; a missing column is
+    an error. Files of one header are one scan. ``_corrupt_record`` is NULL for a line that has as
+    many fields as its header. Empty files have no rows.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    missing = [f.name for f in STAGING[table].fields if f.name not in header]
-    if missing:
-        raise ValueError(f"{path} has no column {', '.join(missing)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("columnPruning", False)  # else the fields of a line are not counted
-        .option("emptyValue", "")
-        .csv(path)
-    )
-    return rows.select(*[f.name for f in STAGING[table].fields], CORRUPT)
-
-
-def read_staging_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+    names = STAGING[table].fieldNames()
+    empty = T.StructType([*STAGING[table].fields, T.StructField(CORRUPT, T.StringType())])
+    out = None
+    for header, files in csv_layouts(spark, path).items():
+        missing = [n for n in names if n not in header]
+        if missing:
+            raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
+        rows = (
+            spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]]))
+            .option("header", True)
+            .option("enforceSchema", False)  # a header that changed since is an error
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .option("columnPruning", False)  # else the fields of a line are not counted
+            .option("emptyValue", "")
+            .csv([literal_path(f) for f in files])
+            .select(*names, CORRUPT)
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], empty) if out is None else out
+
+
+def read_staging_csv(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
     """The well-formed rows of a headered CSV, read by column name; ``csv_rejects`` has the others."""
     return scan_csv(spark, path, table).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def csv_rejects(spark: SparkSession, path: str, table: str) -> DataFrame:
+def csv_rejects(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
     """The malformed lines of a CSV: what could be read of them, and ``line``, their text."""
     return scan_csv(spark, path, table).where(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "line")
 
