@@ -1,7 +1,7 @@
 """The month axis (M1-M2) and the "active at month end" expansion.
 
-The spine bounds are one small aggregate; callers evaluate it once and pass the two
-dates on as literals, so no plan carries the aggregate inside it.
+The spine bounds are one small aggregate; callers pass the two dates on as scalar subqueries, which
+Spark runs once for a query, as part of it.
 """
 
 from __future__ import annotations

@@ -221,39 +221,81 @@ def churned_by_cell(base: DataFrame) -> DataFrame:
     )
 
 
-def with_churn_rates(revenue: DataFrame, churned: DataFrame) -> DataFrame:
-    """M7: revenue cells + their churn; rates against the previous revenue row of the cell.
-
-    Left join on the four keys with plain equality (a NULL key never matches),
-    so churn in a month without a revenue cell is dropped, as in the workload.
-    ``lag`` is the previous *existing* row of the cell, not the previous calendar
-    month. One window spec serves both lags: one shuffle, one sort, partitioned
-    by the cell key (never a global window).
+def cell_facts(segments: DataFrame, churn_cm: DataFrame, dim: DataFrame, hi) -> DataFrame:
+    """Per cell and month of any change: ``dc``, ``dm`` (change in active customers and MRR), ``churned_logos``, ``lost_mrr``.
+
+    Revenue and churn of the customers meet the customer dimension in one join. A customer row that
+    repeats counts once in revenue and once for each repeat in the churn fan-out.
     """
-    j = revenue.join(churned, CELL, "left")
-    w = Window.partitionBy("source", "segment", "country").orderBy("month_start")
-    logos = F.coalesce(F.col("churned_logos"), F.lit(0))
-    lost = F.coalesce(F.col("lost_mrr"), F.lit(0)).cast(MONEY)
-    return j.select(
-        *CELL,
-        "mrr",
-        "arr",
-        "active_customers",
-        logos.cast("bigint").alias("churned_logos"),
-        lost.alias("lost_mrr"),
-        S.pct_uncapped(logos, F.lag("active_customers").over(w)).alias("logo_churn_rate_pct"),
-        S.pct_uncapped(lost, F.lag("mrr").over(w), integral=False).alias("revenue_churn_rate_pct"),
-        F.round(S.safe_ratio(F.col("mrr"), F.col("active_customers").cast("decimal(20,0)"), integral=False), 2)
-        .cast(RATE)
-        .alias("arpc"),
+    ev = F.explode(
+        F.array(
+            F.struct(F.col("seg_start").alias("m"), F.lit(1).alias("dc"), F.col("mrr").alias("dm")),
+            F.struct(F.add_months("seg_end", 1).alias("m"), F.lit(-1).alias("dc"), (-F.col("mrr")).alias("dm")),
+        )
+    )
+    none = F.lit(None)
+    revenue = segments.select("customer_id", ev.alias("e")).filter(F.col("e.m") <= hi).select(
+        "customer_id", F.col("e.m").alias("month_start"), F.col("e.dc").cast("bigint").alias("dc"), F.col("e.dm").alias("dm"),
+        none.cast("bigint").alias("logo"), none.cast("decimal(38,2)").alias("lost"),
+    )
+    churn = churn_cm.select(
+        "customer_id", "month_start", none.cast("bigint").alias("dc"), none.cast(revenue.schema["dm"].dataType).alias("dm"),
+        F.lit(1).cast("bigint").alias("logo"), F.col("lost").cast("decimal(38,2)").alias("lost"),
+    )
+    cells = dim.groupBy(*DIM_COLS).agg(F.count(F.lit(1)).alias("copies"))
+    return (
+        revenue.unionByName(churn)
+        .join(cells, "customer_id")
+        .groupBy(*CELL)
+        .agg(
+            F.coalesce(F.sum("dc"), F.lit(0)).alias("dc"),
+            F.coalesce(F.sum("dm"), F.lit(0)).alias("dm"),
+            F.coalesce(F.sum("logo"), F.lit(0)).alias("churned_logos"),
+            F.coalesce(F.sum(F.col("lost") * F.col("copies")), F.lit(0)).cast(MONEY).alias("lost_mrr"),
+        )
+    )
+
+
+def metrics_of(facts: DataFrame, hi) -> DataFrame:
+    """M7: the cells with revenue, month by month, with their churn and rates.
+
+    A cell's changes are summed up in month order and filled to the next change. Churn in a month
+    without revenue is dropped; so is that of a cell with a NULL key, which equals no key in the
+    workload. ``lag`` is the previous *existing* row of the cell, not the previous calendar month.
+    All windows are partitioned by the cell: one shuffle, never a global window.
+    """
+    own = Window.partitionBy(*CELL[1:]).orderBy("month_start")
+    run = facts.select(
+        "*",
+        F.sum("dc").over(_running(own)).alias("active_customers"),
+        F.sum("dm").over(_running(own)).alias("mrr"),
+        F.lead("month_start").over(own).alias("next_start"),
+    ).filter(F.col("active_customers") > 0)
+    months = F.sequence("month_start", F.coalesce(F.add_months("next_start", -1), hi), F.expr("INTERVAL 1 MONTH"))
+    filled = run.withColumn("_m", F.explode(months))
+    # churn belongs to the month of the change; months filled in have none
+    here = (F.col("_m") == F.col("month_start")) & F.col("segment").isNotNull() & F.col("country").isNotNull() & F.col("source").isNotNull()
+    cells = filled.select(
+        F.col("_m").alias("month_start"),
+        *CELL[1:],
+        F.col("mrr").cast(MONEY).alias("mrr"),
+        (F.col("mrr") * 12).cast(MONEY).alias("arr"),
+        F.col("active_customers").cast("bigint").alias("active_customers"),
+        F.when(here, F.col("churned_logos")).otherwise(0).cast("bigint").alias("churned_logos"),
+        F.when(here, F.col("lost_mrr")).otherwise(0).cast(MONEY).alias("lost_mrr"),
+    )
+    return cells.select(
+        "*",
+        S.pct_uncapped(F.col("churned_logos"), F.lag("active_customers").over(own)).alias("logo_churn_rate_pct"),
+        S.pct_uncapped(F.col("lost_mrr"), F.lag("mrr").over(own), integral=False).alias("revenue_churn_rate_pct"),
+        F.round(S.safe_ratio(F.col("mrr"), F.col("active_customers").cast("decimal(20,0)"), integral=False), 2).cast(RATE).alias("arpc"),
     )
 
 
 def core_metrics(subs: DataFrame, events: DataFrame, dim: DataFrame, lo, hi) -> DataFrame:
     """The monthly metrics table, ordered by month, segment, country, source.
 
-    ``lo``/``hi`` are the calendar bounds (``calendar.spine_bounds``).
+    ``lo``/``hi`` are the calendar bounds (``calendar.spine_bounds``), as values or scalar subqueries.
     """
-    revenue = revenue_by_cell(customer_segments_of(subs, lo, hi), dim, hi)
-    churned = churned_by_cell(churn_base(churn_by_customer_month(events, subs), dim))
-    return with_churn_rates(revenue, churned).orderBy(*CELL)
+    facts = cell_facts(customer_segments_of(subs, lo, hi), churn_by_customer_month(events, subs), dim, hi)
+    return metrics_of(facts, hi).orderBy(*CELL)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import with_rank
 from .quantile import exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -99,8 +100,9 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> Dat
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """(value, count) including NULL, most frequent first (ties by value)."""
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc(column))
+    """(value, count, rank) including NULL; rank 1 is the most frequent value (ties by value, NULL first)."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    return with_rank(counts, F.desc("count"), F.asc(column))
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.schemas import COLUMN_RULES, KEYS
 from .cleaning import ACTIVATED, ACTIVE, CANCELED, CHURNED, SIGNUP, TRIAL
 from .expand import expand_counts
+from .skew import HOT_ROWS, salted_join
 
 # Fixed value of the workload: the "today" of the future-date rules.
 DEFAULT_AS_OF = dt.date(2026, 1, 9)
@@ -168,11 +169,10 @@ def _dated_customers(customers: DataFrame) -> DataFrame:
     )
 
 
-def events_before_signup(events: DataFrame, customers: DataFrame) -> DataFrame:
-    """Events dated strictly before the customer's signup date."""
-    c = _dated_customers(customers)
-    j = events.join(c, events["customer_id"].eqNullSafe(c["_k"]))
-    return j.filter(F.col("event_date") < F.col("signup_date")).drop("_k")
+def events_before_signup(events: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Events dated strictly before the customer's signup date; a hot customer's events are dealt over salts."""
+    j = salted_join(events, _dated_customers(customers), "customer_id", "_k", hot_rows)
+    return j.filter(F.col("event_date") < F.col("signup_date")).select(*events.columns, "signup_date")
 
 
 def event_sequence(events: DataFrame) -> DataFrame:
@@ -196,23 +196,18 @@ def event_sequence(events: DataFrame) -> DataFrame:
     return firsts.select("customer_id", issues.alias("issues")).filter(F.col("issues") != "")
 
 
-def signup_mismatch(customers: DataFrame, events: DataFrame) -> DataFrame:
+def signup_mismatch(customers: DataFrame, events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Dated customers whose signup event date differs, one row per signup event;
     a customer with no signup event is a mismatch too (its event date is NULL).
 
-    Written as inner join + anti join rather than one left join, so a customer
-    with a huge number of signup events can be split across tasks.
+    Written as inner join + anti join rather than one left join, so that the signup events of
+    a hot customer are dealt over salts; the anti join meets distinct keys only.
     """
-    c = customers.filter(F.col("signup_date").isNotNull()).select("customer_id", "signup_date")
-    s = events.filter(F.col("event_type") == SIGNUP).select(
-        F.col("customer_id").alias("_k"), F.col("event_date").alias("event_signup_date")
-    )
-    matched = (
-        c.join(s, c["customer_id"].eqNullSafe(s["_k"]))
-        .filter(~F.col("signup_date").eqNullSafe(F.col("event_signup_date")))
-        .drop("_k")
-    )
-    unmatched = _anti(c, s.select("_k").distinct()).withColumn("event_signup_date", F.lit(None).cast("date"))
+    c = _dated_customers(customers)
+    s = events.filter(F.col("event_type") == SIGNUP).select("customer_id", F.col("event_date").alias("event_signup_date"))
+    matched = salted_join(s, c, "customer_id", "_k", hot_rows).filter(~F.col("signup_date").eqNullSafe(F.col("event_signup_date")))
+    matched = matched.select(F.col("_k").alias("customer_id"), "signup_date", "event_signup_date")
+    unmatched = _anti(c.withColumnRenamed("_k", "customer_id"), _keys(s)).withColumn("event_signup_date", F.lit(None).cast("date"))
     return matched.unionByName(unmatched)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..operators import funnel as N
 from ..operators import metrics as M
+from ..operators.ordering import with_rank
 from . import oracle_sql as O
 from ..sources.sinks import preview
 from .workload import Workload
@@ -160,8 +161,16 @@ register(
     ),
 )(lambda w: M.churned_by_cell(w.churn_base()))
 
-_CORE = _q(O.MONTHS_SQL, O.METRICS_SQL, O.CORE_METRICS_SELECT)
-register("core_metrics", _CORE, decimals=True)(lambda w: w.core_metrics())
+
+
+def _ranked_sql(select: str) -> str:
+    """O1: the rows of ``select`` with their place in the order of the cell keys."""
+    return f"SELECT *, ROW_NUMBER() OVER (ORDER BY {', '.join(f'{c} ASC NULLS FIRST' for c in M.CELL)}) AS rank FROM (\n{select}\n) r"
+
+
+register("core_metrics", _q(O.MONTHS_SQL, O.METRICS_SQL, _ranked_sql(O.CORE_METRICS_SELECT)), decimals=True)(
+    lambda w: with_rank(w.core_metrics(), *M.CELL)
+)
 
 register(
     "logo_churn_rate",
@@ -197,6 +206,6 @@ register(
        "SELECT month_start, segment, country, source, total_signups, total_trials, total_activated, "
        "total_paid, total_churned, data_flag FROM fr"),
 )(lambda w: N.funnel_flags(N.funnel_counts(w.funnel_base())))
-register("funnel_performance", _q(O.FUNNEL_SQL, O.funnel_rates_select("stages")), decimals=True)(
-    lambda w: w.funnel_performance()
+register("funnel_performance", _q(O.FUNNEL_SQL, _ranked_sql(O.funnel_rates_select("stages"))), decimals=True)(
+    lambda w: with_rank(w.funnel_performance(), *N.CELL)
 )

@@ -314,17 +314,23 @@ VALUE_COUNTS = {
     "event_type": "events",
     "source": "events",
 }
+
+
+def _ranked_counts(col: str, table: str) -> str:
+    return f"SELECT {col}, COUNT(*) AS count, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {col} ASC NULLS FIRST) AS rank FROM {table} GROUP BY {col}"
+
+
 for _short, _t in VALUE_COUNTS.items():
     _col = "monthly_price" if _short == "price" else _short
     register(
         f"value_counts_{_short}",
-        sql=_sql(f"SELECT {_col}, COUNT(*) AS count FROM typed_{_t} GROUP BY {_col}"),
+        sql=_sql(_ranked_counts(_col, f"typed_{_t}")),
         decimals=_short == "price",
     )((lambda t, c: lambda w: P.value_counts(w.typed(t), c))(_t, _col))
 
 for _col in ("is_enterprise", "segment"):
     register(
         f"group_counts_{_col}",
-        sql=_sql(f"SELECT {_col}, COUNT(*) AS count FROM c_clean GROUP BY {_col}"),
+        sql=_sql(_ranked_counts(_col, "c_clean")),
         flags=_col == "is_enterprise",
     )((lambda c: lambda w: P.value_counts(w.customers_clean0, c))(_col))

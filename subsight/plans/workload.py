@@ -5,9 +5,8 @@ raw (all strings) -> typed read (profiling / rule checks) -> cleaned -> deduped
 
 Each attribute is a DataFrame built on first access and shared by everything
 downstream, so Catalyst sees one plan per product and prunes the columns it does
-not need. Two calls run a job: ``bounds`` (one small aggregate) and the lineage
-cuts ``land`` and ``materialize``, which write tables where the caller says (the
-load and create-table-as-select steps of the workload) and go on from the files.
+not need. Only the lineage cuts ``land`` and ``materialize`` run a job: they write tables where
+the caller says (the load and create-table-as-select steps of the workload) and go on from the files.
 """
 
 from __future__ import annotations
@@ -107,11 +106,8 @@ class Workload:
         return spine_bounds(self.customers, self.subscriptions, self.events)
 
     def bounds(self) -> tuple[Column, Column]:
-        """First and last month as literals: one small job, once per workload."""
-        if "_bounds" not in self.__dict__:
-            row = self.spine.first()
-            self._bounds = F.lit(row["lo"]).cast("date"), F.lit(row["hi"]).cast("date")
-        return self._bounds
+        """First and last month, as scalar subqueries of one row: no job runs while a plan is being built."""
+        return self.spine.select("lo").scalar(), self.spine.select("hi").scalar()
 
     # --- products ----------------------------------------------------------
 
@@ -170,6 +166,6 @@ class Workload:
         for name in ("events", "subscriptions", "dim"):
             self.__dict__[name] = out[name]
         self.__dict__["customers"] = out["dim"].select(*C.CUSTOMER_COLS)
-        for name in ("profile", "spine", "_bounds"):
+        for name in ("profile", "spine"):
             self.__dict__.pop(name, None)
         return self

@@ -85,10 +85,18 @@ def test_quantiles_of_nothing(spark):
     assert [r["quantile"] for r in exact_quantiles(one, F.col("x"), (0.25, 1.0)).collect()] == [3.0, 3.0]
 
 
-def test_bounds_are_literals_in_the_plan(spark):
-    plan = Workload.from_testdata(spark, SMALL).core_metrics()._jdf.queryExecution().optimizedPlan().toString()
-    assert "scalar-subquery" not in plan
-    assert plan.count("Relation [") <= 13  # four tables, some for each of dimension, revenue and churn
+def test_building_the_metrics_starts_no_job(spark):
+    sc = spark.sparkContext
+    w = Workload.from_testdata(spark, SMALL)  # reads footers, in jobs of Spark's own
+    sc.setJobGroup("building", "")
+    try:
+        plan = w.core_metrics()._jdf.queryExecution().optimizedPlan().toString()
+        assert list(sc.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    main = plan.split("scalar-subquery")[0]
+    assert plan.count("Join Inner") <= 1  # revenue and churn meet the dimension together
+    assert main.count("Relation [c_custkey") <= 1
 
 
 def test_products_are_ordered(spark):
