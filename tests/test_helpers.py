@@ -11,9 +11,9 @@ from subsight.operators.quantile import exact_quantiles
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
-def _check(spark, values, buckets=8):
+def _check(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = {r.prob: r.quantile for r in exact_quantiles(df, F.col("x"), PROBS, buckets=buckets).collect()}
+    got = {r.prob: r.quantile for r in exact_quantiles(df, F.col("x"), PROBS).collect()}
     for p in PROBS:
         assert abs(got[p] - float(np.percentile(values, p * 100))) < 1e-9, (p, got[p])
 
@@ -26,7 +26,7 @@ def test_quantiles_hot_value(spark):
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=60))
 def test_quantiles_match_numpy(spark, values):
-    _check(spark, values, buckets=4)
+    _check(spark, values)
 
 
 def test_expand_counts_exact_copies(spark):
