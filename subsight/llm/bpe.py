@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from subsight.llm.common import table
+from subsight.llm.common import spare_name, table
 from subsight.llm.wordcodes import encode_corpus
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,22 +30,40 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: the adjacent pair of lowest rank is joined until none has a rank."""
+    """The ids of one pre-token: the adjacent pair of lowest rank (the first of equal ones) is joined until none has a rank.
+
+    Parts are kept by where they begin, each with the beginnings of its neighbours, and ranked pairs
+    in a heap; a pair whose parts have changed since is passed over. Long words take n log n.
+    """
     if word in ranks:
         return [ranks[word]]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-    while True:
-        found = [r for r in pairs if r is not None]
-        if not found:
-            return [ranks[p] for p in parts]
-        k = pairs.index(min(found))
-        parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        del pairs[k]
-        if k:
-            pairs[k - 1] = ranks.get(parts[k - 1] + parts[k])
-        if k < len(pairs):
-            pairs[k] = ranks.get(parts[k] + parts[k + 1])
+    n = len(word)
+    after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n + 1)
+
+    def ranked(i: int) -> tuple[int, int, int] | None:
+        j = after[i]
+        if j >= n or (rank := ranks.get(word[i : after[j]])) is None:
+            return None
+        return rank, i, after[j]
+
+    heap = [pair for i in range(n - 1) if (pair := ranked(i))]
+    heapify(heap)
+    while heap:
+        _, i, end = heappop(heap)
+        j = after[i]
+        if gone[i] or j >= n or after[j] != end:
+            continue
+        gone[j], after[i] = 1, end
+        if end < n:
+            before[end] = i
+        for k in (before[i], i):
+            if k >= 0 and (pair := ranked(k)):
+                heappush(heap, pair)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
@@ -70,15 +89,16 @@ def _decode(ids: bytes, token_bytes: dict[int, bytes]) -> bytes:
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with the column ``decoded``: the bytes of each row's ``ids`` (null: null)."""
+    """``encoded`` with the bytes of each row's ``ids`` (null: null) in the column ``decoded``; where ``encoded`` has such a column, in ``decoded_2`` (and so on)."""
+    name = spare_name(encoded.columns, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes = dict(map(reversed, read_ranks(path).items()))
         for batch in batches:
             found = [None if ids is None else _decode(ids, token_bytes) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, name])
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in encoded.dtypes), "decoded binary"])
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in encoded.dtypes), f"{name} binary"])
     return encoded.mapInArrow(run, schema)
 
 

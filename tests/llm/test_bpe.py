@@ -58,6 +58,19 @@ def test_odd_texts(spark, library):
     check(rows, texts, library)
 
 
+def test_long_words(library):
+    ranks = bpe.read_ranks(PATH)
+    for word in ("x" * 40_000, "ab" * 9_000, "".join(chr(97 + k * k % 26) for k in range(30_000)), "日本" * 4000, "aaaaaab" * 700):
+        assert bpe.merge_word(word.encode(), ranks) == library._encode_single_piece(word.encode())
+
+
+def test_a_column_named_decoded_stays(spark):
+    ids = np.array([1, 2], "<u4").tobytes()
+    df = spark.createDataFrame([(1, "mine", bytearray(ids)), (2, "too", None)], "doc_id long, decoded string, ids binary")
+    rows = {r["doc_id"]: r for r in bpe.decode_documents(df, PATH).collect()}
+    assert rows[1]["decoded"] == "mine" and rows[1]["decoded_2"] and rows[2]["decoded_2"] is None
+
+
 def test_empty_table_and_null_id(spark):
     schema = "doc_id long, text string"
     assert bpe.digests(spark.createDataFrame([], schema), PATH).collect() == []
