@@ -132,7 +132,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, mine_rules(pages.join(known, "page_id")))
 
 
-#: The same in SQL: single tokens and pairs are counted one by one.
+#: The same in SQL: every combination of tokens of a bad page is counted, by bit masks over its tokens.
 OP4_SQL = f"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages
@@ -149,16 +149,16 @@ WITH cut AS (
   FROM parsed
 ), labelled AS (
   SELECT row_number() OVER () AS k, tokens, quality = 0 AS bad FROM own JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL AND len(tokens) > 0
-), single AS (SELECT k, bad, unnest(tokens) AS t FROM labelled
+), baskets AS (SELECT DISTINCT list_sort(tokens) AS tokens FROM labelled WHERE bad
 ), combos AS (
-  SELECT k, bad, t AS a, t AS b FROM single
-  UNION ALL SELECT x.k, x.bad, x.t, y.t FROM single x JOIN single y ON x.k = y.k AND x.t < y.t
+  SELECT DISTINCT [tokens[i] FOR i IN range(1, len(tokens) + 1) IF (mask >> (i - 1)) & 1 = 1] AS tokens
+  FROM (SELECT tokens, unnest(range(1, CAST(1 AS BIGINT) << len(tokens))) AS mask FROM baskets)
 ), mined AS (
-  SELECT a, b FROM combos GROUP BY a, b
+  SELECT c.tokens FROM combos c JOIN labelled l ON list_has_all(l.tokens, c.tokens) GROUP BY c.tokens
   HAVING count(*) FILTER (bad) >= ceil({MIN_SUPPORT} * (SELECT count(*) FROM labelled))
     AND count(*) FILTER (bad) >= {MIN_CONFIDENCE} * count(*) AND count(*) FILTER (bad) > 0
 ), hits AS (
-  SELECT DISTINCT url FROM own, mined WHERE list_contains(tokens, a) AND list_contains(tokens, b)
+  SELECT DISTINCT url FROM own o, mined m WHERE list_has_all(o.tokens, m.tokens)
 ), fixed AS (
   SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}) r(verdict, host, path)
 ), best AS (

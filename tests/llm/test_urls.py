@@ -129,7 +129,7 @@ def test_combinations_that_are_bad_only_together(spark):
 def test_query_against_brute_force_and_sql(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").collect()
     labels = {r["doc_id"]: r["quality"] == 0 for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
-    mined = plain_mine([(u, labels[k]) for k, u in pages if k in labels])
+    mined = mine_all([(u, labels[k]) for k, u in pages if k in labels])
     want = set()
     for k, u in pages:
         host, path = plain_parse(u)
