@@ -35,7 +35,7 @@ EMBEDDED, WIDTH, HIDDEN, ATTENTION = 1 << 13, 3, 6, 6
 SAMPLE = 1500
 THRESHOLD = 0.7
 #: Text bytes and windows worked on at a time.
-BLOCK_BYTES, WINDOWS = 8 << 20, 4096
+BLOCK_BYTES, WINDOWS = 4 << 20, 4096
 
 #: ASCII letters in lower case; digits and other ASCII as a space; bytes of other characters as they are.
 FOLD = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
@@ -217,7 +217,7 @@ def count_features(labelled: DataFrame) -> FeatureCounts:
     width = WORD_BUCKETS + NGRAM_BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, marks, any_rows = np.zeros((2, 2, width + 1), np.int64), np.zeros((2, (width + 1) * 64), bool), False
+        counts, marks, any_rows = np.zeros((2, 2, width + 1), np.int32), np.zeros((2, width + 1), np.uint64), False
         for batch in _pieces(batches):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             words, at, sizes = split_words(utf8(batch.column("text")))
@@ -231,15 +231,15 @@ def count_features(labelled: DataFrame) -> FeatureCounts:
                 word = np.unique(owner[own] * np.int64(len(words)) + at[own]) % len(words)  # of each document, once
                 times = np.bincount(word, minlength=len(words))
                 for k in range(2):
-                    counts[k, label, :WORD_BUCKETS] += np.bincount(f.word[k], times, WORD_BUCKETS).astype(np.int64)
-                    counts[k, label, WORD_BUCKETS:width] += np.bincount(f.grams[k], np.repeat(times, f.sizes), NGRAM_BUCKETS).astype(np.int64)
+                    counts[k, label, :WORD_BUCKETS] += np.bincount(f.word[k], times, WORD_BUCKETS).astype(np.int32)
+                    counts[k, label, WORD_BUCKETS:width] += np.bincount(f.grams[k], np.repeat(times, f.sizes), NGRAM_BUCKETS).astype(np.int32)
                 before = np.where((own > 0) & (owner[own - 1] == owner[own]), f.word[1][at[own - 1]], 1) % 64
                 around = np.unique(at[own] * 64 + before)
-                word, before = around // 64, around % 64
-                marks[label, f.word[0][word] * 64 + before] = True
-                marks[label, (f.grams[0][f.spread(word)] + WORD_BUCKETS) * 64 + np.repeat(before, f.sizes[word])] = True
+                word, mark = around // 64, np.uint64(1) << (around % 64).astype(np.uint64)
+                np.bitwise_or.at(marks[label], f.word[0][word], mark)
+                np.bitwise_or.at(marks[label, WORD_BUCKETS:], f.grams[0][f.spread(word)], np.repeat(mark, f.sizes[word]))
         if any_rows:
-            table = np.concatenate((counts.reshape(4, -1), np.packbits(marks, axis=1).view("<i8")))
+            table = np.concatenate((counts.reshape(4, -1).astype("<i8"), marks.view("<i8")))
             yield _blobs(table, TaskContext.get().partitionId())
 
     parts = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, BLOB)
