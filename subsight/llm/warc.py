@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from subsight.llm.common import landed, table
 
+#: How a record begins, and what ends its head and itself.
+FIRST_LINE, BLANK_LINE = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Children of a node; record ids in a shard.
 FANOUT = 16
 SHARD_IDS = 4096
@@ -183,21 +185,21 @@ def beyond(rows: DataFrame, key: str, allowed: str) -> DataFrame:
     return ranked.join(counts, [key, "shard"]).where(F.col("off") + F.col("rank") > F.col(allowed)).drop("rank", "off")
 
 
-def audit(records: DataFrame, replica: DataFrame, shard_ids: int = SHARD_IDS, fanout: int = FANOUT) -> DataFrame:
+def audit(records: DataFrame, replica: DataFrame, shard_ids: int = SHARD_IDS, fanout: int = FANOUT, lies: bool = False) -> DataFrame:
     """``(record_id, shard, seq, start, stop, status)`` of every record that a replica doesn't hold as it is listed.
 
     Both tables have ``record_id`` and ``record`` (bytes; a null record counts as none). ``status`` is
     ``missing`` where the replica has no record of the id, ``changed`` where it has one, but not this
     or fewer copies of it, or ``extra`` for each record that is neither listed nor stands for a
-    changed one (it has no place: nulls). A replica with ``shard`` and ``at`` (offset), as
-    ``read_archive`` gives them, is audited as it lies: records that it holds at another place are
-    ``moved``. Without them it has no order of its own and is placed like the listed one. Every record and every copy is audited by itself; which of
-    equal copies are lost can't be told, so the last ones are reported. Intact records give no row;
-    two empty tables give an empty result. Other columns are not read.
+    changed one (it has no place: nulls). With ``lies`` the replica is audited as it lies: its columns
+    ``shard`` and ``at`` (offset) are those of ``read_archive``, and records that it holds at another
+    place are ``moved``. Else it has no order of its own and is placed like the listed one, whatever
+    columns it has. Every record and every copy is audited by itself; which of equal copies are lost
+    can't be told, so the last ones are reported. Intact records give no row; two empty tables give an
+    empty result. Other columns are not read.
     """
     usable = F.col("record").isNotNull()
     listed = landed(manifest(hashed(records.where(usable)), shard_ids), "manifest")
-    lies = {"shard", "at"} <= set(replica.columns)
     held = replica.where(usable)
     other = landed(own_manifest(held) if lies else manifest(hashed(held), shard_ids).withColumn("leaf", F.col("hash")), "replica")
     ends = listed.select("shard", "seq").unionByName(other.select("shard", "seq")).agg(F.max("seq"), F.count(F.when(F.col("seq") == 0, 1))).first()
@@ -247,7 +249,7 @@ def audit(records: DataFrame, replica: DataFrame, shard_ids: int = SHARD_IDS, fa
 def write_archive(records: DataFrame, folder: str, shard_ids: int = SHARD_IDS) -> None:
     """Write the records as WARC files, one for each shard, in the order and at the offsets of the manifest.
 
-    Records end with a line end, which is the one that Spark's text writer adds.
+    Equal records are written once, null records not at all; an empty table has no files. Records end with a line end, which is the one that Spark's text writer adds.
     """
     placed = manifest(hashed(records), shard_ids).select("hash", "shard", "seq")
     rows = records.select(record_hash().alias("hash"), "record").dropDuplicates(["hash"]).join(placed, "hash")
@@ -255,21 +257,39 @@ def write_archive(records: DataFrame, folder: str, shard_ids: int = SHARD_IDS) -
     rows.repartition("shard").sortWithinPartitions("shard", "seq").select(body, "shard").write.mode("errorifexists").partitionBy("shard").text(folder)
 
 
+def split_archive(data: bytes) -> Iterator[tuple[int, int, int | None]]:
+    """``(start, end, record id)`` of each record of a WARC file, damaged ones too; ends meet the next starts.
+
+    A record's length is believed if two of three signs agree with it: a record begins here, it ends as
+    one should, another (or nothing) follows. Otherwise the record goes up to the next line that
+    begins one. An id that can't be read is None.
+    """
+    at = 0
+    while at < len(data):
+        head = data.find(BLANK_LINE, at)
+        fields = dict(line.split(b": ", 1) for line in data[at : max(head, at)].split(b"\r\n")[1:] if b": " in line)
+        size, name = fields.get(b"Content-Length", b""), fields.get(b"WARC-Record-ID", b"")[10:-1]
+        end = head + 8 + int(size) if head >= 0 and size.isdigit() and len(size) < 19 else -1
+        signs = data.startswith(FIRST_LINE, at) + (data[end - 4 : end] == BLANK_LINE) + (end == len(data) or data.startswith(FIRST_LINE, end))
+        if not (at < end <= len(data) and signs >= 2):
+            following = data.find(BLANK_LINE + FIRST_LINE, at)
+            end = following + 4 if following >= 0 else len(data)
+        yield at, end, int(name) if name.removeprefix(b"-").isdigit() and len(name) < 20 else None
+        at = end
+
+
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """``(record_id, record, shard, at)`` of the records of WARC files; a record that can't be read ends its file."""
+    """``(record_id, record, shard, at)`` of the records of WARC files of at most 2 GB each.
+
+    A damaged record comes with the bytes that it has (and a null id, where that is damaged); the
+    records behind it are read all the same. An empty folder of files gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                shard, rows, at = int(path.rsplit("shard=", 1)[1].split("/", 1)[0]), [], 0
-                while (head := data.find(b"\r\n\r\n", at)) > 0:
-                    fields = dict(line.split(b": ", 1) for line in data[at:head].split(b"\r\n")[1:] if b": " in line)
-                    size, name = fields.get(b"Content-Length", b""), fields.get(b"WARC-Record-ID", b"")[10:-1]
-                    if not size.isdigit() or data[at : at + 8] != b"WARC/1.1":
-                        break
-                    end = head + 4 + int(size) + 4
-                    rows.append((int(name) if name.lstrip(b"-").isdigit() else None, data[at:end], shard, at))
-                    at = end
+                shard = int(path.rsplit("shard=", 1)[1].split("/", 1)[0])
+                rows = [(name, data[at:end], shard, at) for at, end, name in split_archive(data)]
                 types = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 columns = zip(*rows, strict=True) if rows else ([],) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["record_id", "record", "shard", "at"])

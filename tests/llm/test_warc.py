@@ -4,6 +4,7 @@ import hashlib
 from pathlib import Path
 
 import duckdb
+import pytest
 
 from subsight.llm import warc
 from subsight.session import scratch_table_path
@@ -79,13 +80,13 @@ def test_archive_files(spark):
     warc.write_archive(records, folder)
     back = {r["record_id"]: bytes(r["record"]) for r in warc.read_archive(spark, folder).collect()}
     assert back == {k: plain_record(k, u and u.replace("\r", " ").replace("\n", " "), h) for k, u, h in pages}
-    assert warc.audit(records, warc.read_archive(spark, folder)).collect() == []
+    assert warc.audit(records, warc.read_archive(spark, folder), lies=True).collect() == []
     places = {(r["shard"], r["at"], r["record_id"]) for r in warc.read_archive(spark, folder).collect()}
     assert places == {(r["shard"], r["start"], r["record_id"]) for r in warc.manifest(warc.hashed(records)).collect()}
     (file,) = Path(folder, "shard=1").glob("part-*")
     file.write_bytes(file.read_bytes().replace(b"xxxx", b"xxyx", 1))
     Path(file.parent, f".{file.name}.crc").unlink(missing_ok=True)
-    assert status(warc.audit(records, warc.read_archive(spark, folder))) == {(5000, "changed")}
+    assert status(warc.audit(records, warc.read_archive(spark, folder), lies=True)) == {(5000, "changed")}
 
 
 def test_every_copy_of_a_hot_id_has_its_own_place(spark):
@@ -126,7 +127,7 @@ def test_archive_of_copies_and_hot_ids(spark):
     back = warc.read_archive(spark, folder)
     key = "shard", "start", "record_id"
     assert sorted(map(str, back.select("shard", back["at"].alias("start"), "record_id").collect())) == sorted(map(str, warc.manifest(warc.hashed(records), 4).select(*key).collect()))
-    assert warc.audit(records, back, shard_ids=4).collect() == []
+    assert warc.audit(records, back, shard_ids=4, lies=True).collect() == []
 
 
 def test_replica_is_audited_as_it_lies(spark):
@@ -141,7 +142,7 @@ def test_replica_is_audited_as_it_lies(spark):
                 at += k == gap_before
                 rows.append((k, b"r%02d" % k, shard, at))
                 at += 3
-        return status(warc.audit(listed, spark.createDataFrame(rows[::-1], "record_id long, record binary, shard long, at long"), shard_ids=8))
+        return status(warc.audit(listed, spark.createDataFrame(rows[::-1], "record_id long, record binary, shard long, at long"), shard_ids=8, lies=True))
 
     assert found(None) == set()
     files[0].insert(2, files[0].pop(3))
@@ -152,6 +153,46 @@ def test_replica_is_audited_as_it_lies(spark):
     assert found(22) == {(k, "moved") for k in moved} | {(99, "extra"), (45, "missing")}
 
 
+def six_records():
+    return [plain_record(k, f"http://a/{k}", f"<p>{k}\r\n\r\nbody WARC/1.1\r\n of {k}") for k in range(1, 7)]
+
+
+def test_a_damaged_record_leaves_the_others_whole():
+    records = six_records()
+    starts = [sum(map(len, records[:k])) for k in range(7)]
+    whole = b"".join(records)
+    assert [(a, b) for a, b, _ in warc.split_archive(whole)] == list(zip(starts, starts[1:]))
+    for at in range(starts[2], starts[3]):
+        for other in (b"#", b"0", b"9", b"\n"):
+            data = whole[:at] + other + whole[at + 1 :]
+            found = [data[a:b] for a, b, _ in warc.split_archive(data)]
+            assert b"".join(found) == data
+            assert [r for r in records[:2] + records[3:] if r not in found] == [], (at, other)
+    for cut in range(len(whole)):  # a file that ends early
+        assert b"".join(whole[a:b] for a, b, _ in warc.split_archive(whole[:cut])) == whole[:cut]
+    assert list(warc.split_archive(b"")) == [] and [x[:2] for x in warc.split_archive(b"\0" * 9)] == [(0, 9)]
+
+
+@pytest.mark.parametrize("what", [b"WARC/1.1", b"Length: ", b"<p>"])
+def test_one_wrong_byte_is_one_damaged_record(spark, what):
+    pages = [(k, f"http://a/{k}", f"<p>{k}") for k in range(1, 7)]
+    records = warc.archive_records(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    folder = scratch_table_path(spark, "test-warc-byte")
+    warc.write_archive(records, folder)
+    (file,) = Path(folder, "shard=0").glob("part-*")
+    data = file.read_bytes()
+    at = data.index(what, data.index(b"page:3>") - 60 if what.startswith(b"WARC") else data.index(b"page:3>")) + len(what) - (0 if what == b"Length: " else 1)
+    file.write_bytes(data[:at] + b"#" + data[at + 1 :])
+    Path(file.parent, f".{file.name}.crc").unlink(missing_ok=True)
+    assert status(warc.audit(records, warc.read_archive(spark, folder), lies=True)) == {(3, "changed")}
+
+
+def test_columns_of_the_replica_do_not_choose_the_audit(spark):
+    rows = [(k, b"r%02d" % k) for k in range(20)]
+    odd = spark.createDataFrame([(k, r, 7, 3) for k, r in rows], "record_id long, record binary, shard long, at long")
+    assert warc.audit(frame(spark, rows), odd, shard_ids=8).collect() == []
+
+
 def test_roots_are_compared_first_and_ids_count(spark, monkeypatch):
     a = frame(spark, [(1, b"x"), (200, b"y"), (None, b"z")])
     assert status(warc.audit(a, frame(spark, [(1, b"x"), (201, b"y"), (None, b"z")]), shard_ids=8)) == {(200, "missing"), (201, "extra")}
