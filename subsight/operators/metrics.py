@@ -256,6 +256,34 @@ def cell_facts(segments: DataFrame, churn_cm: DataFrame, dim: DataFrame, hi) ->
     )
 
 
+def with_rates(cells: DataFrame) -> DataFrame:
+    """Cells and their churn with both rates against the cell's previous *existing* row, and ARPC.
+
+    One window spec serves both lags: one shuffle, one sort, partitioned by the cell key.
+    """
+    own = Window.partitionBy(*CELL[1:]).orderBy("month_start")
+    return cells.select(
+        "*",
+        S.pct_uncapped(F.col("churned_logos"), F.lag("active_customers").over(own)).alias("logo_churn_rate_pct"),
+        S.pct_uncapped(F.col("lost_mrr"), F.lag("mrr").over(own), integral=False).alias("revenue_churn_rate_pct"),
+        F.round(S.safe_ratio(F.col("mrr"), F.col("active_customers").cast("decimal(20,0)"), integral=False), 2).cast(RATE).alias("arpc"),
+    )
+
+
+def with_churn_rates(revenue: DataFrame, churned: DataFrame) -> DataFrame:
+    """M7 from two finished frames (M4 and M6): left join on the four keys with plain equality (a NULL key
+    never matches), so churn in a month without a revenue cell is dropped, as in the workload."""
+    cells = revenue.join(churned, CELL, "left").select(
+        *CELL,
+        "mrr",
+        "arr",
+        "active_customers",
+        F.coalesce(F.col("churned_logos"), F.lit(0)).cast("bigint").alias("churned_logos"),
+        F.coalesce(F.col("lost_mrr"), F.lit(0)).cast(MONEY).alias("lost_mrr"),
+    )
+    return with_rates(cells)
+
+
 def metrics_of(facts: DataFrame, hi) -> DataFrame:
     """M7: the cells with revenue, month by month, with their churn and rates.
 
@@ -284,12 +312,7 @@ def metrics_of(facts: DataFrame, hi) -> DataFrame:
         F.when(here, F.col("churned_logos")).otherwise(0).cast("bigint").alias("churned_logos"),
         F.when(here, F.col("lost_mrr")).otherwise(0).cast(MONEY).alias("lost_mrr"),
     )
-    return cells.select(
-        "*",
-        S.pct_uncapped(F.col("churned_logos"), F.lag("active_customers").over(own)).alias("logo_churn_rate_pct"),
-        S.pct_uncapped(F.col("lost_mrr"), F.lag("mrr").over(own), integral=False).alias("revenue_churn_rate_pct"),
-        F.round(S.safe_ratio(F.col("mrr"), F.col("active_customers").cast("decimal(20,0)"), integral=False), 2).cast(RATE).alias("arpc"),
-    )
+    return with_rates(cells)
 
 
 def core_metrics(subs: DataFrame, events: DataFrame, dim: DataFrame, lo, hi) -> DataFrame:
