@@ -9,9 +9,9 @@ document with a smaller id. Four steps, each a Spark shuffle; matches never cros
 2. Anchors of all blocks of text are grouped by gram. Where all spans of a gram are equal, they
    repeat as a whole: the smallest id keeps its bytes. Nothing more is looked at there.
 3. The other spans are cut in pieces that are dealt out by the content that all equal windows
-   share. The windows of each deal are classed by a suffix array made with the difference-cover
-   algorithm (``suffix_array``): equal windows are adjacent and share their prefix. Each class
-   gives the smallest id that has it.
+   share. Equal pieces of a deal are one text. The windows of a deal of several texts are classed by
+   a suffix array made with the difference-cover algorithm (``suffix_array``): equal windows are
+   adjacent and share their prefix. Each class gives the smallest id that has it.
 4. The blocks get both answers back and cut the bytes out of their texts.
 
 A gram or piece that very many places share is neither collected in one task nor capped: copies are
@@ -363,35 +363,76 @@ def unsettled_pieces(blocks: DataFrame, codes: DataFrame, slices: int, length: i
     return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(run, "block long, piece int, key long, doc long, text binary")
 
 
-def class_windows(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Per text the smallest document of the class of each of its windows, by a suffix array of all texts."""
-    joined = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    windows = sizes - length + 1
-    starts = np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    number = equal_prefixes(joined, starts, length)
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(edges, data)`` of a binary array without nulls: where each value begins in the data, and the end."""
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return edges - edges[0], np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...`` of every range, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def class_windows(texts: pa.Array, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The smallest document of the class of each window of each text in turn, by a suffix array of all texts."""
+    edges, joined = _bytes_of(texts)
+    windows = np.diff(edges) - length + 1
+    number = equal_prefixes(joined, _spread(edges[:-1], windows), length)
     least = np.full(number.max() + 1, NO_ID)
     np.minimum.at(least, number, np.repeat(docs, windows))
-    return np.split(least[number], np.cumsum(windows)[:-1])
+    return least[number]
+
+
+def class_deals(key: np.ndarray, doc: np.ndarray, text: pa.Array, length: int = LENGTH) -> pa.Array:
+    """Per piece the smallest documents of its windows' classes. Equal keys lie next to each other.
+
+    Equal pieces are one text with the smallest of their documents. Where all pieces of a deal are
+    equal, that document is the answer for every window; the other texts go into a suffix array.
+    """
+    coded = text.dictionary_encode()
+    of, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    first = np.full(len(texts), NO_ID)
+    np.minimum.at(first, of, doc)
+    deal = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+    pairs = np.unique(deal * len(texts) + of)
+    mixed = np.zeros(len(texts), bool)
+    mixed[pairs[(np.bincount(pairs // len(texts)) > 1)[pairs // len(texts)]] % len(texts)] = True
+    windows = np.diff(_bytes_of(texts)[0]) - length + 1
+    least = np.repeat(first, windows)
+    if mixed.any():
+        least[np.repeat(mixed, windows)] = class_windows(texts.filter(pa.array(mixed)), first[mixed], length)
+    begins, sizes = np.cumsum(windows) - windows, windows[of]
+    data = least[_spread(begins[of], sizes)].astype("<i8")
+    edges = np.concatenate(([0], 8 * np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(edges), pa.py_buffer(data)])
 
 
 def _class_deals(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            block, piece, _, doc, text = zip(*rows, strict=True)
-            least = [x.astype("<i8").tobytes() for x in class_windows(list(text), np.array(doc, np.int64), length)]
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(piece, pa.int32()), pa.array(np.zeros(len(block), np.int32)), pa.array(least, pa.binary())], ["block", "piece", "window", "least"])
+        def flush(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            key, doc = rows["key"].to_numpy(), rows["doc"].to_numpy()
+            least = class_deals(key, doc, rows["text"].chunk(0).cast(pa.binary()), length)
+            window = pa.array(np.zeros(len(key), np.int32))
+            return pa.RecordBatch.from_arrays([rows["block"].chunk(0), rows["piece"].chunk(0), window, least], ["block", "piece", "window", "least"])
 
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "piece", "key", "doc", "text")), strict=True):
-                if size >= ARRAY_BYTES and row[2] != held[-1][2]:  # rows come sorted by deal, and a deal is not cut
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield flush(held)
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            if size >= ARRAY_BYTES:  # rows come sorted by deal, and a deal is not cut
+                rows = pa.Table.from_batches(held)
+                other = np.flatnonzero(rows["key"].to_numpy() != rows["key"][-1].as_py())
+                if len(other):
+                    yield flush(rows.slice(0, other[-1] + 1))
+                    held = rows.slice(other[-1] + 1).to_batches()
+                    size = sum(pc.sum(pc.binary_length(b.column("text"))).as_py() or 0 for b in held)
+        if size:
+            yield flush(pa.Table.from_batches(held))
 
     return run
 
@@ -468,12 +509,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, as_tex
                 windows = p.high - p.low + 1
                 offset = np.cumsum(windows) - windows
                 least = np.full(windows.sum(), NO_ID)
-                raw = of_piece["least"].to_pylist()
-                count = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+                edges, raw = _bytes_of(of_piece["least"].combine_chunks().cast(pa.binary()))
+                count = np.diff(edges) // 8
                 begin = offset[of_piece["slice"].to_numpy()] + of_piece["window"].to_numpy()
                 if count.sum() != len(least):
                     raise RuntimeError("the texts changed between two reads; store them first")
-                least[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())] = np.frombuffer(b"".join(raw), "<i8")
+                least[_spread(begin, count)] = raw.view("<i8")
                 each = windows[p.of]
                 nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 smaller = least[np.repeat(offset[p.of], each) + nth] < np.repeat(block.ids[a.doc[p.anchor]], each)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from subsight.llm import suffix_dedup as sd
@@ -85,6 +86,26 @@ def test_made_up_texts(spark, monkeypatch, small):
     assert result(df, hot=2 if small else sd.HOT) == want
 
 
+def test_deals_against_plain_windows():
+    rng, length = random.Random(11), 6
+    for n in (1, 2, 40, 400):
+        # pieces of one deal share their middle; some deals have one text only, some texts stand in two deals
+        rows = sorted(((k := rng.randrange(max(1, n // 4))), rng.randrange(9), f"{'ab' * (k % 2)}x{k:04d}{rng.choice(['', 'y', 'yz'])}") for _ in range(n))
+        key, doc, text = (list(c) for c in zip(*rows, strict=True))
+        first = {}
+        for d, t in zip(doc, text, strict=True):
+            for i in range(len(t) - length + 1):
+                first[t[i : i + length]] = min(first.get(t[i : i + length], 99), d)
+        # a window counts where its deal's content, the number, is in it
+        got = sd.class_deals(np.array(key), np.array(doc), pa.array([t.encode() for t in text], pa.binary()), length).to_pylist()
+        for k, t, least in zip(key, text, got, strict=True):
+            seen = np.frombuffer(least, "<i8").tolist()
+            assert len(seen) == len(t) - length + 1
+            for i, d in enumerate(seen):
+                if f"{k:04d}" in t[i : i + length]:
+                    assert d == first[t[i : i + length]]
+
+
 def test_odd_texts_and_columns(spark):
     rows = [(1, None), (2, ""), (3, "short"), (4, "a" * 500), (5, "a" * 300), (6, "ab" * 70000), (7, "ba" * 400), (8, "é" * 25), (9, "x" + "é" * 25), (9, "x" + "é" * 25)]
     df = spark.createDataFrame([(7, "s", k, t, None) for k, t in rows], "n_bytes int, kept string, doc_id long, text string, id int")
