@@ -13,7 +13,7 @@ slice travel compressed together, so the shuffles stay smaller than the texts.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ BLOCK_BYTES = 6 << 20
 #: Slices of the vocabulary; a task holds the distinct words of one slice at a time.
 SLICES = 256
 
-Split = Callable[[str], list[str]]
+Split = Callable[[str], Sequence[str]]
 Encode = Callable[[list[bytes]], list[bytes]]
 
 
@@ -44,8 +44,17 @@ def _unplanes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _pack_words(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.fromiter(map(len, words), "<u4", len(words)).tobytes() + b"".join(words))
+def _words_by_slice(words: pa.Array, slices: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """``(slice, n, packed)``: the words of each slice in the order of their numbers, sizes first."""
+    order = np.argsort(slices, kind="stable")
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(slices, minlength=SLICES)))).tolist()
+    sorted_words, press = words.take(pa.array(order)), zstandard.ZstdCompressor(level=3).compress
+    if len(words):
+        edges = np.frombuffer(sorted_words.buffers()[1], "<i4")[: len(words) + 1]
+        data, sizes = memoryview(sorted_words.buffers()[2] or b""), np.diff(edges).astype("<u4")
+    for k in range(SLICES):
+        if (n := cuts[k + 1] - cuts[k]) > 0:
+            yield k, n, press(sizes[cuts[k] : cuts[k + 1]].tobytes() + data[edges[cuts[k]] : edges[cuts[k + 1]]])
 
 
 def _unpack_words(packed: bytes, n: int) -> list[bytes]:
@@ -61,8 +70,8 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack_block(texts: pa.Array, split: Split, spaced: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """``(words, numbers of all documents, words per document)`` of one block.
+def _pack_block(texts: pa.Array, split: Split, spaced: bool, body: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``(words, numbers of all documents, words per document)`` of one block; without ``body`` only the words.
 
     Texts are cut before each space; with ``spaced`` the space belongs to the unit it begins.
     Such a cut is none for the tokeniser where white space stands before the space: documents
@@ -71,44 +80,53 @@ def _pack_block(texts: pa.Array, split: Split, spaced: bool) -> tuple[list[bytes
     texts = pc.fill_null(texts, "")
     parts = pc.split_pattern(texts, " ")
     coded = parts.values.dictionary_encode()
-    units, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).copy()
+    units, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).copy()
     offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
     first, counts, whole = offsets[:-1], np.diff(offsets), np.zeros(len(texts), bool)
-    known: dict[str, int] = {}
-    number, flat, sizes, blank = known.setdefault, [], [], []
     lead = " " if spaced else ""
-
-    def add(unit: str) -> None:
-        words = split(unit) if unit else ()
-        flat.extend([number(w, len(known)) for w in words])
-        sizes.append(len(words))
-
-    for k, unit in enumerate(units):
-        if unit.isalpha():  # a single run of letters is one word
-            flat.append(number(lead + unit, len(known)))
-            sizes.append(1)
-        else:
-            add(lead + unit)
-            if not unit or unit[-1].isspace():
-                blank.append(k)
+    # a single run of letters is one word
+    single = np.array(pc.ascii_is_alpha(units).to_numpy(zero_copy_only=False), bool)
+    rest = np.flatnonzero(~single)
+    strings = units.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+    letters = np.fromiter(map(str.isalpha, strings), bool, len(strings))
+    single[rest[letters]] = True
+    rest, strings = rest[~letters], [u for u, alone in zip(strings, letters.tolist(), strict=True) if not alone]
+    found = [split(lead + u) if lead + u else () for u in strings]
     if spaced:
         ends_blank = np.zeros(len(units), bool)
-        ends_blank[blank] = True
+        ends_blank[rest[np.fromiter((not u or u[-1].isspace() for u in strings), bool, len(strings))]] = True
         last = np.zeros(len(at), bool)
         last[offsets[1:] - 1] = True
         whole[np.repeat(np.arange(len(texts)), counts)[ends_blank[at] & ~last]] = True
-        for k in range(len(texts)):  # a text's first unit has no space before it
-            add(texts[k].as_py() if whole[k] else units[at[first[k]]])
+        # a text's first unit has no space before it
+        begins = units.take(pa.array(at[first])).to_pylist()
+        for k in np.flatnonzero(whole).tolist():
+            begins[k] = texts[k].as_py()
+        found += [split(u) if u else () for u in begins]
+    alone = units.filter(pa.array(single))
+    if spaced:
+        alone = pc.binary_join_element_wise(lead, alone, "")
+    numbered = pa.concat_arrays([alone.cast(pa.string()), pa.array([w for words in found for w in words], pa.string())]).dictionary_encode()
+    words = numbered.dictionary.cast(pa.binary())
+    if not body:
+        return words, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    number = numbered.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
+    of_found = np.fromiter(map(len, found), np.int64, len(found))
+    del parts, coded, numbered, found
+    # a unit's words, as a range of ``number``: first those that are one word, then all others in turn
+    sizes, starts = np.ones(len(units), np.int64), np.cumsum(single) - 1
+    after = len(alone) + np.cumsum(of_found) - of_found
+    sizes[rest], starts[rest] = of_found[: len(rest)], after[: len(rest)]
+    if spaced:
+        sizes, starts = np.concatenate((sizes, of_found[len(rest) :])), np.concatenate((starts, after[len(rest) :]))
         at[first] = len(units) + np.arange(len(texts))
         keep = ~np.repeat(whole, counts)
         keep[first] = True
         at, counts = at[keep], np.where(whole, 1, counts)
-    del parts, coded
-    sizes, flat = np.array(sizes, np.int64), np.array(flat, np.uint32)
     per_unit = sizes[at]
-    codes = flat[_ranges((np.cumsum(sizes) - sizes)[at], per_unit)] if len(flat) else flat
+    codes = number[_ranges(starts[at], per_unit)] if len(number) else number
     ends = np.cumsum(per_unit)[np.cumsum(counts) - 1]
-    return [w.encode() for w in known], codes, np.diff(ends, prepend=0)
+    return words, codes, np.diff(ends, prepend=0)
 
 
 def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> DataFrame:
@@ -123,17 +141,13 @@ def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> Dat
 
     def flush(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
         doc_ids = [k for b in held for k in b.column("doc_id").to_pylist()]
-        words, codes, counts = _pack_block(pa.concat_arrays([b.column("text") for b in held]), split, spaced)
-        slices = np.fromiter((zlib.crc32(w) % SLICES for w in words), "<u2", len(words))
+        words, codes, counts = _pack_block(pa.concat_arrays([b.column("text") for b in held]), split, spaced, body)
+        slices = np.fromiter((zlib.crc32(w) % SLICES for w in words.to_numpy(zero_copy_only=False).tolist()), "<u2", len(words))
         rows = []
         if body:
             rows.append((block, -1, doc_ids, counts.tolist(), len(words), _planes(codes), zstandard.ZstdCompressor(level=1).compress(slices.tobytes())))
         if listed:
-            order = np.argsort(slices, kind="stable")
-            edges = np.concatenate(([0], np.cumsum(np.bincount(slices, minlength=SLICES)))).tolist()
-            for k in range(SLICES):
-                if own := [words[w] for w in order[edges[k] : edges[k + 1]].tolist()]:
-                    rows.append((block, k, None, None, len(own), _pack_words(own), None))
+            rows += [(block, k, None, None, n, packed, None) for k, n, packed in _words_by_slice(words, slices)]
         types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
         columns = zip(*rows, strict=True) if rows else ([],) * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)

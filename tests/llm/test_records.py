@@ -1,5 +1,6 @@
 """Binary records: ids against the tokenizers library, the files byte by byte, corruption found."""
 
+import itertools
 import struct
 import zlib
 from pathlib import Path
@@ -105,3 +106,10 @@ def test_empty_table_and_null_id(spark):
     assert records.file_bounds(spark.createDataFrame([], "doc_id long, text string")) == []
     with pytest.raises(Exception, match="needs a doc_id"):
         written(spark, [(None, b"")], [])
+
+
+def test_parts_of_ascii_are_those_of_all_characters():
+    for n in (1, 2):
+        for unit in map("".join, itertools.product(map(chr, range(128)), repeat=n)):
+            general = records.PARTS.findall(unit) if "<|" not in unit and records.PLAIN.fullmatch(unit) else [unit]
+            assert records.split_unit(unit) == general
