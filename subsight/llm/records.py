@@ -4,7 +4,7 @@ Record, all integers little-endian:
 
     length   u64   bytes of the payload
     check    u32   masked crc32 of the eight length bytes
-    payload        doc_id i64, width u8 (bytes of an id: 2 or 4), ids
+    payload        doc_id i64, width u8 (bytes of an id: 2 or 4; 128 more where doc_id is null), ids
     check    u32   masked crc32 of the payload
     end      u8    0x0A
 
@@ -37,6 +37,8 @@ from subsight.session import scratch_table_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
+#: Set in the width of a record without a doc_id.
+NO_ID = 128
 #: Payload bytes per file, about: a file is read by one task.
 FILE_BYTES = 8 << 20
 
@@ -87,9 +89,10 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray) -> bytes:
+def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    payload = struct.pack("<qB", doc_id, width) + ids.astype(f"<u{width}").tobytes()
+    head = struct.pack("<qB", 0, width | NO_ID) if doc_id is None else struct.pack("<qB", doc_id, width)
+    payload = head + ids.astype(f"<u{width}").tobytes()
     length = struct.pack("<Q", len(payload))
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload)), b"\n"))
 
@@ -98,7 +101,7 @@ class Corrupt(ValueError):
     """A record whose lengths or checksums don't hold."""
 
 
-def unframe(data: bytes, at: int) -> tuple[int, np.ndarray, int]:
+def unframe(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
     """``(doc_id, ids, where the next record begins)`` of the record at ``at``."""
     if len(data) < at + 12:
         raise Corrupt(f"truncated at {at}")
@@ -109,7 +112,8 @@ def unframe(data: bytes, at: int) -> tuple[int, np.ndarray, int]:
     if struct.unpack_from("<I", data, end - 5)[0] != masked(payload) or data[end - 1] != 10:
         raise Corrupt(f"payload at {at}")
     doc_id, width = struct.unpack_from("<qB", payload)
-    return doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4"), end
+    doc_id = None if width & NO_ID else doc_id
+    return doc_id, np.frombuffer(payload, f"<u{width & ~NO_ID}", offset=9).astype("<u4"), end
 
 
 def file_bounds(docs: DataFrame, file_bytes: int = FILE_BYTES) -> list[int]:
@@ -128,10 +132,9 @@ FRAMED = "file int, doc_id long, record binary"
 
 def _framed(rows: pa.Table | pa.RecordBatch, bounds: list[int], end_id: int) -> pa.Table:
     doc_ids = rows.column("doc_id").to_pylist()
-    if None in doc_ids:
-        raise ValueError("a record needs a doc_id")
     records = [frame(k, np.append(np.frombuffer(raw or b"", "<u4"), np.uint32(end_id))) for k, raw in zip(doc_ids, rows.column("ids").to_pylist(), strict=True)]
-    file = np.searchsorted(np.array(bounds, np.int64), np.array(doc_ids, np.int64), "right").astype(np.int32)
+    least = np.iinfo(np.int64).min  # null ids come first
+    file = np.searchsorted(np.array(bounds, np.int64), np.array([least if k is None else k for k in doc_ids], np.int64), "right").astype(np.int32)
     # the line end that closes a record is the one that the text writer adds
     return pa.table({"file": pa.array(file), "doc_id": pa.array(doc_ids, pa.int64()), "record": pa.array([r[:-1] for r in records], pa.binary())})
 
@@ -139,8 +142,8 @@ def _framed(rows: pa.Table | pa.RecordBatch, bounds: list[int], end_id: int) ->
 def frame_records(encoded: DataFrame, bounds: list[int], end_id: int = END_ID) -> DataFrame:
     """``(file, doc_id, record)``: ``encoded`` (``doc_id, ids``; null ids: none) with ``end_id`` after each record's ids.
 
-    ``bounds`` cut the files (``file_bounds``). Rows with a null ``doc_id`` have no place in the order
-    and are an error. Repeated rows are records each.
+    ``bounds`` cut the files (``file_bounds``). Rows with a null ``doc_id`` come before all others,
+    in the order of their records. Repeated rows are records each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,8 +104,10 @@ def test_empty_table_and_null_id(spark):
     folder = written(spark, [], [])
     assert records.read_records(spark, folder).collect() == []
     assert records.file_bounds(spark.createDataFrame([], "doc_id long, text string")) == []
-    with pytest.raises(Exception, match="needs a doc_id"):
-        written(spark, [(None, b"")], [])
+    rows = [(3, b"\x05\0\0\0"), (None, b"\x07\0\0\0" * 2), (-(1 << 63), b""), (None, None)]
+    got = records.read_records(spark, written(spark, rows, [0])).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, -(1 << 63), 3]
+    assert sorted(r["n_tokens"] for r in got[:2]) == [1, 3] and [r["start"] for r in got[2:]] == [4, 5]
 
 
 def test_parts_of_ascii_are_those_of_all_characters():
