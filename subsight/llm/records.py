@@ -12,8 +12,9 @@ A masked checksum is the crc32 rotated right by 15 bits plus 0xA282EAD8, modulo
 checksum of bytes that hold checksums says something.
 
 The data set is a folder with ``data`` (files of records in ascending order of ``doc_id``; the file
-number is the order) and ``index`` (a table: file number, offset and size of each record, and the
-number of ids in all records before it). Both are written by Spark's own writers, with their commit
+number is the order), ``index`` (a table: file number, offset and size of each record, and the
+number of ids in all records before it) and ``files`` (a table: records and ids of each file, and the
+number of ids in all files before it). All are written by Spark's own writers, with their commit
 protocol: a lost executor's files are written again, and any file system that Spark reaches will do.
 """
 
@@ -73,7 +74,7 @@ def _encoded(docs: DataFrame, path: str, **options) -> DataFrame:
 
         return encode
 
-    return encode_corpus(docs, split_unit, False, encoder, **options)
+    return encode_corpus(docs, split_unit, False, encoder, once=True, **options)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -169,10 +170,12 @@ def write_records(framed: DataFrame, folder: str, files: int) -> None:
         _index_rows, "shard int, at long, size long, doc_id long, n long"
     )
     stored = landed(index, "record-index")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = stored.groupBy("shard").agg(F.sum("n").alias("own")).withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    shards = stored.groupBy("shard").agg(F.count("*").alias("records"), F.sum("n").alias("ids"))
+    shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).write.mode("errorifexists").parquet(f"{folder}/files")
     within = Window.partitionBy("shard").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    started = stored.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(shards.select("shard", "base"), "shard")
+    bases = spark.read.parquet(f"{folder}/files").select("shard", "base")
+    started = stored.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(bases, "shard")
     started.select("shard", "at", "size", "doc_id", (F.col("base") + F.col("inner")).alias("start"), "n").write.mode("errorifexists").parquet(f"{folder}/index")
 
 
@@ -196,7 +199,7 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)``: each record by its place in the index, checksums verified.
 
-    A file and the places of its records meet in one task; any order of places can be asked for.
+    For shuffled reads, or reads of a part of the index; ``scan_records`` reads all in the order of the files. A file and the places of its records meet in one task; any order of places can be asked for.
     """
     index = spark.read.parquet(f"{folder}/index")
     name = F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard")
@@ -216,8 +219,34 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return index.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, types = ["shard", "inner", "doc_id", "n_tokens", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            data, at, inner, shard = content.as_py(), 0, 0, _shard_of(path)
+            while at < len(data):
+                rows = []
+                while at < len(data) and len(rows) < 1000:
+                    doc_id, ids, at = unframe(data, at)
+                    rows.append((shard, inner, doc_id, len(ids), ids.tobytes()))
+                    inner += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def scan_records(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``read_records``, for all records: each file is read from its beginning and moves nowhere.
+
+    A record's lengths and checksums say where the next one begins; ``start`` counts on from the
+    file's place in the table of files.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/data")
+    rows = files.select("path", "content").mapInArrow(_scan_rows, "shard int, inner long, doc_id long, n_tokens long, ids binary")
+    bases = spark.read.parquet(f"{folder}/files").select("shard", "base")
+    return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids")
+
+
 def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, docs = scratch_table_path(spark, "llm-records"), table(spark, sf_dir, "documents")
     bounds = file_bounds(docs)
     write_records(encode_framed(docs, public_tokenizers.path(VOCABULARY), bounds), folder, len(bounds) + 1)
-    return read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return scan_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

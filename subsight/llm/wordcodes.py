@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsight.llm.common import landed, lean_memory, small_batches
+from subsight.llm.common import lean_memory, small_batches
 
 #: Text bytes gathered into one block (a longer text is a block of its own).
 BLOCK_BYTES = 6 << 20
@@ -179,6 +179,9 @@ def _encode_slices(encoder: Callable[[], Encode]) -> Callable:
             columns = [batch.column(c).to_pylist() for c in ("slice", "n", "packed")]
             out = []
             for slice_, n, packed in zip(*columns, strict=True):
+                if slice_ < 0:  # the documents of a block go on as they are
+                    out.append(packed)
+                    continue
                 if slice_ != at:  # rows come sorted by slice
                     at, known = slice_, {}
                 words = _unpack_words(packed, n)
@@ -187,7 +190,8 @@ def _encode_slices(encoder: Callable[[], Encode]) -> Callable:
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), "<u4", n) // 4
                 out.append(_planes(np.concatenate((sizes, np.frombuffer(b"".join(ids), "<u4")))))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("slice"), batch.column("n"), pa.array(out, pa.binary())], ["block", "slice", "n", "ids"])
+            place = batch.schema.get_field_index("packed")
+            yield batch.set_column(place, "packed", pa.array(out, pa.binary()))
 
     return run
 
@@ -200,7 +204,7 @@ def _assemble(bodies: pa.Table, words: pa.Table) -> pa.Table:
         by_slice = np.argsort(slices, kind="stable")  # a slice's words came in the order of their numbers
         edges = np.concatenate(([0], np.cumsum(np.bincount(slices, minlength=SLICES))))
         start, size, flat, passed = np.zeros(body["n"], np.int64), np.zeros(body["n"], np.int64), [], 0
-        for k, n, packed in zip(*(words[c].to_pylist() for c in ("slice", "n", "ids")), strict=True):
+        for k, n, packed in zip(*(words[c].to_pylist() for c in ("slice", "n", "packed")), strict=True):
             own = by_slice[edges[k] : edges[k + 1]]
             if len(own) != n:
                 raise RuntimeError("the texts changed between two reads; store them first")
@@ -225,7 +229,7 @@ def encode_corpus(
     split: Split,
     spaced: bool,
     encoder: Callable[[], Encode],
-    store: bool = False,
+    once: bool = False,
     finish: Callable[[pa.Table], pa.Table] | None = None,
     schema: str = "doc_id long, n_tokens long, ids binary",
 ) -> DataFrame:
@@ -233,27 +237,26 @@ def encode_corpus(
 
     ``split`` cuts a unit of text into words that are encoded on their own (a single run of letters
     always is one word); ``encoder`` makes, once in each task, the function that gives the id bytes
-    of each of a list of words. ``store`` writes the packed blocks to the shared checkpoint folder
-    and reads both sides from there; without it the texts are packed once for each side, which
-    takes more time and less disk. ``finish`` turns the rows of a block into others, of ``schema``,
-    where they are put together. A null text has no ids. Rows are not merged.
+    of each of a list of words. With ``once`` the texts are packed once and the documents of a block
+    travel with the words to where these are encoded, then on with the ids: less time, and a second
+    journey of the documents. Without it they are packed once for each side and travel once; ``docs``
+    must then be a read that gives the same rows again. ``finish`` turns the rows of a block into
+    others, of ``schema``, where they are put together. A null text has no ids. Rows are not merged.
     """
     small_batches(docs.sparkSession)
-    if store:
-        packed = landed(pack(docs, split, spaced), "packed")
-        bodies, listed = packed.where("slice < 0"), packed.where("slice >= 0")
-    else:
-        bodies, listed = pack(docs, split, spaced, "body"), pack(docs, split, spaced, "words")
-    encoded = (
-        listed.select("block", "slice", "n", "packed")
-        .repartition("slice")
-        .sortWithinPartitions("slice")
-        .mapInArrow(_encode_slices(encoder), "block long, slice int, n int, ids binary")
-    )
-
     def put_together(bodies: pa.Table, words: pa.Table) -> pa.Table:
         lean_memory()
         rows = _assemble(bodies, words)
         return rows if finish is None else finish(rows)
 
+    if once:
+        packed = pack(docs, split, spaced).repartition("slice", F.when(F.col("slice") < 0, F.col("block"))).sortWithinPartitions("slice")
+
+        def split_up(rows: pa.Table) -> pa.Table:
+            body = pc.less(rows["slice"], 0)
+            return put_together(rows.filter(body), rows.filter(pc.invert(body)))
+
+        return packed.mapInArrow(_encode_slices(encoder), packed.schema).groupBy("block").applyInArrow(split_up, schema)
+    bodies, listed = pack(docs, split, spaced, "body"), pack(docs, split, spaced, "words").select("block", "slice", "n", "packed")
+    encoded = listed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_encode_slices(encoder), listed.schema)
     return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(put_together, schema)

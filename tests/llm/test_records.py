@@ -82,6 +82,11 @@ def test_files_are_ordered_and_shuffled_reads_work(spark):
     assert sorted((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got) == want
     ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
     assert [a for a, _ in ends] == [0] + [b for _, b in ends][:-1]
+    columns = ["doc_id", "start", "n_tokens", "ids"]
+    scanned = records.scan_records(spark, folder).collect()
+    assert sorted(tuple(r[c] for c in columns) for r in scanned) == sorted(tuple(r[c] for c in columns) for r in got)
+    files = spark.read.parquet(f"{folder}/files").orderBy("shard").collect()
+    assert sum(r["records"] for r in files) == len(rows) and [r["base"] for r in files] == [sum(x["ids"] for x in files[:k]) for k in range(len(files))]
 
 
 def test_corruption_is_found(spark):
@@ -102,7 +107,7 @@ def test_corruption_is_found(spark):
 
 def test_empty_table_and_null_id(spark):
     folder = written(spark, [], [])
-    assert records.read_records(spark, folder).collect() == []
+    assert records.read_records(spark, folder).collect() == [] and records.scan_records(spark, folder).collect() == []
     assert records.file_bounds(spark.createDataFrame([], "doc_id long, text string")) == []
     rows = [(3, b"\x05\0\0\0"), (None, b"\x07\0\0\0" * 2), (-(1 << 63), b""), (None, None)]
     got = records.read_records(spark, written(spark, rows, [0])).orderBy("start").collect()
