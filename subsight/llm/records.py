@@ -32,8 +32,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from subsight.llm.alignment import byte_letters
 from subsight.llm.common import landed, table
-from subsight.llm.wordcodes import encode_corpus
+from subsight.llm.wordcodes import encode_in_place
 from subsight.session import scratch_table_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,6 +60,12 @@ def split_unit(unit: str) -> list[str]:
     return PARTS.findall(unit) if "<|" not in unit and PLAIN.fullmatch(unit) else [unit]
 
 
+def one_part(word: str) -> bool:
+    """Whether ``split_unit`` would have given the word as a part of a unit (and not for want of knowing better)."""
+    plain, parts = (ASCII_PLAIN, ASCII_PARTS) if word.isascii() else (PLAIN, PARTS)
+    return "<|" not in word and bool(plain.fullmatch(word) and parts.fullmatch(word))
+
+
 def _encoded(docs: DataFrame, path: str, **options) -> DataFrame:
     def encoder():
         import os
@@ -66,15 +73,27 @@ def _encoded(docs: DataFrame, path: str, **options) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer, as_bytes = Tokenizer.from_file(path), {b: chr(c) for c, b in byte_letters().items()}
+        merged = tokenizer.model.tokenize
 
         def encode(words: list[bytes]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+            # normalisation and cutting leave a part but for its case: the library's model gets it as it is
+            texts, out = [w.decode() for w in words], []
+            for text in texts:
+                if one_part(text):
+                    lower = text.lower()
+                    ids = [t.id for t in merged(lower if lower.isascii() else "".join(map(as_bytes.__getitem__, lower.encode())))]
+                    out.append(struct.pack(f"<{len(ids)}I", *ids))
+                else:
+                    out.append(None)
+            rest = [k for k, ids in enumerate(out) if ids is None]
+            for k, found in zip(rest, tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+                out[k] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+            return out
 
         return encode
 
-    return encode_corpus(docs, split_unit, False, encoder, once=True, **options)
+    return encode_in_place(docs, split_unit, False, encoder, **options)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

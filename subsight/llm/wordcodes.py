@@ -8,6 +8,8 @@
 
 A word travels at most once from each block, never once for each occurrence, and the words of a
 slice travel compressed together, so the shuffles stay smaller than the texts.
+
+``encode_in_place`` does without the shuffle: a task encodes the distinct words of its own blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from subsight.llm.common import lean_memory, small_batches
 BLOCK_BYTES = 6 << 20
 #: Slices of the vocabulary; a task holds the distinct words of one slice at a time.
 SLICES = 256
+#: Words whose ids a task keeps from block to block in ``encode_in_place``; it begins anew beyond.
+KNOWN = 1 << 19
 
 Split = Callable[[str], Sequence[str]]
 Encode = Callable[[list[bytes]], list[bytes]]
@@ -129,6 +133,23 @@ def _pack_block(texts: pa.Array, split: Split, spaced: bool, body: bool = True)
     return words, codes, np.diff(ends, prepend=0)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows in blocks of about ``BLOCK_BYTES`` of text, cut at every 128 rows of the partition, wherever its batches end."""
+    held, size, seen = [], 0, 0
+    for batch in batches:
+        low = 0
+        while low < batch.num_rows:
+            piece = batch.slice(low, 128 - seen % 128)
+            low, seen = low + piece.num_rows, seen + piece.num_rows
+            held.append(piece)
+            size += pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+            if size >= BLOCK_BYTES and seen % 128 == 0:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> DataFrame:
     """Per block one row of its documents (``slice`` -1) and one for each slice of its words.
 
@@ -154,18 +175,7 @@ def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
-        held, size, block, seen = [], 0, TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            low = 0
-            while low < batch.num_rows:  # cut at every 128 rows of the partition, wherever its batches end
-                piece = batch.slice(low, 128 - seen % 128)
-                low, seen = low + piece.num_rows, seen + piece.num_rows
-                held.append(piece)
-                size += pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
-                if size >= BLOCK_BYTES and seen % 128 == 0:
-                    yield from flush(held, block)
-                    held, size, block = [], 0, block + 1
-        if held:
+        for block, held in enumerate(_gathered(batches), TaskContext.get().partitionId() << 32):
             yield from flush(held, block)
 
     schema = "block long, slice int, doc_ids array<long>, counts array<long>, n int, packed binary, slices binary"
@@ -179,9 +189,6 @@ def _encode_slices(encoder: Callable[[], Encode]) -> Callable:
             columns = [batch.column(c).to_pylist() for c in ("slice", "n", "packed")]
             out = []
             for slice_, n, packed in zip(*columns, strict=True):
-                if slice_ < 0:  # the documents of a block go on as they are
-                    out.append(packed)
-                    continue
                 if slice_ != at:  # rows come sorted by slice
                     at, known = slice_, {}
                 words = _unpack_words(packed, n)
@@ -190,8 +197,7 @@ def _encode_slices(encoder: Callable[[], Encode]) -> Callable:
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), "<u4", n) // 4
                 out.append(_planes(np.concatenate((sizes, np.frombuffer(b"".join(ids), "<u4")))))
-            place = batch.schema.get_field_index("packed")
-            yield batch.set_column(place, "packed", pa.array(out, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("slice"), batch.column("n"), pa.array(out, pa.binary())], ["block", "slice", "n", "ids"])
 
     return run
 
@@ -204,7 +210,7 @@ def _assemble(bodies: pa.Table, words: pa.Table) -> pa.Table:
         by_slice = np.argsort(slices, kind="stable")  # a slice's words came in the order of their numbers
         edges = np.concatenate(([0], np.cumsum(np.bincount(slices, minlength=SLICES))))
         start, size, flat, passed = np.zeros(body["n"], np.int64), np.zeros(body["n"], np.int64), [], 0
-        for k, n, packed in zip(*(words[c].to_pylist() for c in ("slice", "n", "packed")), strict=True):
+        for k, n, packed in zip(*(words[c].to_pylist() for c in ("slice", "n", "ids")), strict=True):
             own = by_slice[edges[k] : edges[k + 1]]
             if len(own) != n:
                 raise RuntimeError("the texts changed between two reads; store them first")
@@ -229,7 +235,6 @@ def encode_corpus(
     split: Split,
     spaced: bool,
     encoder: Callable[[], Encode],
-    once: bool = False,
     finish: Callable[[pa.Table], pa.Table] | None = None,
     schema: str = "doc_id long, n_tokens long, ids binary",
 ) -> DataFrame:
@@ -237,26 +242,61 @@ def encode_corpus(
 
     ``split`` cuts a unit of text into words that are encoded on their own (a single run of letters
     always is one word); ``encoder`` makes, once in each task, the function that gives the id bytes
-    of each of a list of words. With ``once`` the texts are packed once and the documents of a block
-    travel with the words to where these are encoded, then on with the ids: less time, and a second
-    journey of the documents. Without it they are packed once for each side and travel once; ``docs``
-    must then be a read that gives the same rows again. ``finish`` turns the rows of a block into
-    others, of ``schema``, where they are put together. A null text has no ids. Rows are not merged.
+    of each of a list of words. The texts are packed once for each side. ``finish`` turns the rows of
+    a block into others, of ``schema``, where they are put together. A null text has no ids. Rows are
+    not merged.
     """
     small_batches(docs.sparkSession)
+    bodies, listed = pack(docs, split, spaced, "body"), pack(docs, split, spaced, "words")
+    encoded = (
+        listed.select("block", "slice", "n", "packed")
+        .repartition("slice")
+        .sortWithinPartitions("slice")
+        .mapInArrow(_encode_slices(encoder), "block long, slice int, n int, ids binary")
+    )
+
     def put_together(bodies: pa.Table, words: pa.Table) -> pa.Table:
         lean_memory()
         rows = _assemble(bodies, words)
         return rows if finish is None else finish(rows)
 
-    if once:
-        packed = pack(docs, split, spaced).repartition("slice", F.when(F.col("slice") < 0, F.col("block"))).sortWithinPartitions("slice")
+    return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(put_together, schema)
 
-        def split_up(rows: pa.Table) -> pa.Table:
-            body = pc.less(rows["slice"], 0)
-            return put_together(rows.filter(body), rows.filter(pc.invert(body)))
 
-        return packed.mapInArrow(_encode_slices(encoder), packed.schema).groupBy("block").applyInArrow(split_up, schema)
-    bodies, listed = pack(docs, split, spaced, "body"), pack(docs, split, spaced, "words").select("block", "slice", "n", "packed")
-    encoded = listed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_encode_slices(encoder), listed.schema)
-    return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(put_together, schema)
+def encode_in_place(
+    docs: DataFrame,
+    split: Split,
+    spaced: bool,
+    encoder: Callable[[], Encode],
+    finish: Callable[[pa.Table], pa.Table] | None = None,
+    schema: str = "doc_id long, n_tokens long, ids binary",
+) -> DataFrame:
+    """As ``encode_corpus``, in the tasks that read the texts: nothing is shuffled and each text is cut once.
+
+    A task encodes each distinct word of its blocks once, as long as it knows no more than ``KNOWN``
+    words. For encoders so fast that a word costs less than its way to another task and back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        encode, known = encoder(), {}
+        for held in _gathered(batches):
+            words, codes, counts = _pack_block(pa.concat_arrays([b.column("text") for b in held]), split, spaced)
+            listed = words.to_numpy(zero_copy_only=False).tolist()
+            if len(known) > KNOWN:
+                known = {}
+            new = [w for w in listed if w not in known]
+            known.update(zip(new, encode(new), strict=True))
+            found = [known[w] for w in listed]
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            flat = np.frombuffer(b"".join(found), "<u4")
+            per_word = size[codes]
+            raw = (flat[_ranges((np.cumsum(size) - size)[codes], per_word)] if len(codes) else flat[:0]).tobytes()
+            edge = np.concatenate(([0], np.cumsum(per_word)))[np.concatenate(([0], np.cumsum(counts)))]
+            doc_ids = pa.concat_arrays([b.column("doc_id") for b in held])
+            ids = [raw[a:b] for a, b in zip((4 * edge[:-1]).tolist(), (4 * edge[1:]).tolist(), strict=True)]
+            rows = pa.table({"doc_id": doc_ids, "n_tokens": pa.array(np.diff(edge), pa.int64()), "ids": pa.array(ids, pa.binary())})
+            yield from (rows if finish is None else finish(rows)).to_batches(max_chunksize=1000)
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -120,3 +120,25 @@ def test_parts_of_ascii_are_those_of_all_characters():
         for unit in map("".join, itertools.product(map(chr, range(128)), repeat=n)):
             general = records.PARTS.findall(unit) if "<|" not in unit and records.PLAIN.fullmatch(unit) else [unit]
             assert records.split_unit(unit) == general
+
+
+def test_every_plain_letter_and_sign_against_the_library(spark):
+    """All characters that go to the model directly, alone, doubled, in upper case and among letters."""
+    plain = [c for c in map(chr, range(0x250)) if records.PLAIN.fullmatch(c) and not c.isspace()]
+    texts = [t for c in plain for t in (c, c + c, f"ab{c}cd", f"{c.upper()}{c}")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = library()
+    for r in records.encode_documents(df, PATH).collect():
+        text = texts[r["doc_id"]]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_task_that_knows_too_many_words_begins_anew(spark, monkeypatch):
+    from subsight.llm import wordcodes
+
+    monkeypatch.setattr(wordcodes, "KNOWN", 3)
+    monkeypatch.setattr(wordcodes, "BLOCK_BYTES", 1)
+    df = spark.createDataFrame([(k, f"word{k % 7} and {k}") for k in range(600)], "doc_id long, text string").coalesce(1)
+    tokenizer = library()
+    for r in records.encode_documents(df, PATH).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == tokenizer.encode(f"word{r['doc_id'] % 7} and {r['doc_id']}").ids
