@@ -51,6 +51,8 @@ PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: What the two come to for ASCII, for the faster library.
 ASCII_PLAIN = re.compile(r"[ \t\n\r!-&(-~]+")
 ASCII_PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+")
+#: The characters of ``PLAIN`` from the letters on; all but two of them are letters.
+LATIN = re.compile(r"[A-Za-zÀ-įı-ɏ]+")
 
 
 def split_unit(unit: str) -> list[str]:
@@ -62,6 +64,8 @@ def split_unit(unit: str) -> list[str]:
 
 def one_part(word: str) -> bool:
     """Whether ``split_unit`` would have given the word as a part of a unit (and not for want of knowing better)."""
+    if word.isalpha():
+        return bool(LATIN.fullmatch(word))
     plain, parts = (ASCII_PLAIN, ASCII_PARTS) if word.isascii() else (PLAIN, PARTS)
     return "<|" not in word and bool(plain.fullmatch(word) and parts.fullmatch(word))
 
@@ -69,6 +73,7 @@ def one_part(word: str) -> bool:
 def _encoded(docs: DataFrame, path: str, **options) -> DataFrame:
     def encoder():
         import os
+        from array import array
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -83,12 +88,12 @@ def _encoded(docs: DataFrame, path: str, **options) -> DataFrame:
                 if one_part(text):
                     lower = text.lower()
                     ids = [t.id for t in merged(lower if lower.isascii() else "".join(map(as_bytes.__getitem__, lower.encode())))]
-                    out.append(struct.pack(f"<{len(ids)}I", *ids))
+                    out.append(array("I", ids).tobytes())
                 else:
                     out.append(None)
             rest = [k for k, ids in enumerate(out) if ids is None]
             for k, found in zip(rest, tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-                out[k] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+                out[k] = array("I", found.ids).tobytes()
             return out
 
         return encode

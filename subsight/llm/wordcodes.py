@@ -281,19 +281,26 @@ def encode_in_place(
         lean_memory()
         encode, known = encoder(), {}
         for held in _gathered(batches):
-            words, codes, counts = _pack_block(pa.concat_arrays([b.column("text") for b in held]), split, spaced)
+            doc_ids, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+            held.clear()
+            words, codes, counts = _pack_block(texts, split, spaced)
             listed = words.to_numpy(zero_copy_only=False).tolist()
+            del words, texts
             if len(known) > KNOWN:
                 known = {}
-            new = [w for w in listed if w not in known]
-            known.update(zip(new, encode(new), strict=True))
-            found = [known[w] for w in listed]
+            found = list(map(known.get, listed))
+            new = [k for k, ids in enumerate(found) if ids is None]
+            asked = [listed[k] for k in new]
+            for k, word, ids in zip(new, asked, encode(asked), strict=True):
+                found[k] = known[word] = ids
+            del listed, asked, new
             size = np.fromiter(map(len, found), np.int64, len(found)) // 4
             flat = np.frombuffer(b"".join(found), "<u4")
+            del found
             per_word = size[codes]
             raw = (flat[_ranges((np.cumsum(size) - size)[codes], per_word)] if len(codes) else flat[:0]).tobytes()
             edge = np.concatenate(([0], np.cumsum(per_word)))[np.concatenate(([0], np.cumsum(counts)))]
-            doc_ids = pa.concat_arrays([b.column("doc_id") for b in held])
+            del flat, codes, per_word
             ids = [raw[a:b] for a, b in zip((4 * edge[:-1]).tolist(), (4 * edge[1:]).tolist(), strict=True)]
             rows = pa.table({"doc_id": doc_ids, "n_tokens": pa.array(np.diff(edge), pa.int64()), "ids": pa.array(ids, pa.binary())})
             yield from (rows if finish is None else finish(rows)).to_batches(max_chunksize=1000)
