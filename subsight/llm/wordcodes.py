@@ -29,6 +29,8 @@ from subsight.llm.common import lean_memory, small_batches
 
 #: Text bytes gathered into one block (a longer text is a block of its own).
 BLOCK_BYTES = 6 << 20
+#: The same for ``encode_in_place``, which holds words, ids and documents at a time.
+PLACE_BYTES = 3 << 20
 #: Slices of the vocabulary; a task holds the distinct words of one slice at a time.
 SLICES = 256
 #: Words whose ids a task keeps from block to block in ``encode_in_place``; it begins anew beyond.
@@ -133,8 +135,8 @@ def _pack_block(texts: pa.Array, split: Split, spaced: bool, body: bool = True)
     return words, codes, np.diff(ends, prepend=0)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """The rows in blocks of about ``BLOCK_BYTES`` of text, cut at every 128 rows of the partition, wherever its batches end."""
+def _gathered(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows in blocks of about ``block_bytes`` of text, cut at every 128 rows of the partition, wherever its batches end."""
     held, size, seen = [], 0, 0
     for batch in batches:
         low = 0
@@ -143,7 +145,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
             low, seen = low + piece.num_rows, seen + piece.num_rows
             held.append(piece)
             size += pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
-            if size >= BLOCK_BYTES and seen % 128 == 0:
+            if size >= block_bytes and seen % 128 == 0:
                 yield held
                 held, size = [], 0
     if held:
@@ -175,7 +177,7 @@ def pack(docs: DataFrame, split: Split, spaced: bool, want: str = "both") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
-        for block, held in enumerate(_gathered(batches), TaskContext.get().partitionId() << 32):
+        for block, held in enumerate(_gathered(batches, BLOCK_BYTES), TaskContext.get().partitionId() << 32):
             yield from flush(held, block)
 
     schema = "block long, slice int, doc_ids array<long>, counts array<long>, n int, packed binary, slices binary"
@@ -280,7 +282,7 @@ def encode_in_place(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
         encode, known = encoder(), {}
-        for held in _gathered(batches):
+        for held in _gathered(batches, PLACE_BYTES):
             doc_ids, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
             held.clear()
             words, codes, counts = _pack_block(texts, split, spaced)

@@ -63,3 +63,44 @@ def test_odd_rows(spark):
     unlearned = langid.train(df.limit(0))
     assert {r["lang_pred"] for r in langid.predict(texts, unlearned).collect()} == {"und"}
     assert langid.predict(texts.limit(0), model).collect() == []
+
+
+def plain_prediction(model, text):
+    """``(language, probability)`` by loops over n-grams, bits and languages."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    folded = b" " + b"".join(bytes([b]) if b >= 128 else bytes([b]).lower() if bytes([b]).isalpha() else b" " for b in text.encode()) + b" "
+    counts = {}
+    for size in (2, 3, 4):
+        for at in range(len(folded) - size + 1):
+            h = size
+            for b in folded[at : at + size]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+            bucket = ((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 20
+            counts[bucket] = counts.get(bucket, 0) + 1
+    total = sum(counts.values())
+    margins = [model.bias[bit] + sum((n / total) ** 0.5 * model.weights[g, bit] for g, n in counts.items()) for bit in range(model.code.shape[1])]
+    losses = [sum(np.log(1 + np.exp(-m * c)) for m, c in zip(margins, row, strict=True)) for row in model.code]
+    weights = [np.exp(min(losses) - x) for x in losses]
+    best = int(np.argmin(losses))
+    return model.languages[best], weights[best] / sum(weights)
+
+
+def test_query_against_plain_decoding(spark):
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    model = langid.train(docs.where(langid.remainder("doc_id", 5) != 0))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = langid.op8_language(spark, base).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        lang, score = plain_prediction(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3, r["doc_id"]
+
+
+def test_repeated_ids_teach_as_often_as_they_occur(spark):
+    """A document given twice, or with two labels, is as many rows; none is an error."""
+    rows = [(k, "the and of" if k % 2 else "der die und", "en" if k % 2 else "de") for k in range(40)]
+    model = langid.train(spark.createDataFrame(rows + rows[:10] + [(0, "der die und", "en")], "doc_id long, text string, lang string"))
+    got = langid.predict(spark.createDataFrame([(1, "the of"), (2, "die der")], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "en", 2: "de"}

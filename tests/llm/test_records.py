@@ -137,7 +137,7 @@ def test_a_task_that_knows_too_many_words_begins_anew(spark, monkeypatch):
     from subsight.llm import wordcodes
 
     monkeypatch.setattr(wordcodes, "KNOWN", 3)
-    monkeypatch.setattr(wordcodes, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(wordcodes, "PLACE_BYTES", 1)
     df = spark.createDataFrame([(k, f"word{k % 7} and {k}") for k in range(600)], "doc_id long, text string").coalesce(1)
     tokenizer = library()
     for r in records.encode_documents(df, PATH).collect():
