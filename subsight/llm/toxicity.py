@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsight.llm import gru
-from subsight.llm.common import shared, small_batches, table, utf8
+from subsight.llm.common import give_back, lean_memory, shared, small_batches, table, utf8
 from subsight.llm.langid import remainder
 
 #: Words per window, and words from one window's start to the next.
@@ -36,6 +36,8 @@ SAMPLE = 1500
 THRESHOLD = 0.7
 #: Text bytes and windows worked on at a time.
 BLOCK_BYTES, WINDOWS = 4 << 20, 4096
+#: Distinct words of a block whose n-grams are held at a time.
+WORDS = 1 << 12
 
 #: ASCII letters in lower case; digits and other ASCII as a space; bytes of other characters as they are.
 FOLD = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
@@ -79,13 +81,11 @@ class WordFeatures:
 
 
 def word_features(words: list[bytes]) -> WordFeatures:
-    padded = np.frombuffer(b"".join(b"^" + w + b"$$$" for w in words), np.uint8).astype(np.uint32)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 4
+    padded, lengths = _padded(words)
     ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(words)), lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     room = np.repeat(ends, lengths) - np.arange(len(padded))
     rolled, grams, owners = np.zeros(len(padded), np.uint32), [], []
-    word = np.zeros(len(words), np.uint32)
     with np.errstate(over="ignore"):
         for i in range(max(NGRAMS)):
             rolled = rolled * np.uint32(0x01000193) ^ np.concatenate((padded[i:], np.zeros(min(i, len(padded)), np.uint32)))
@@ -93,15 +93,34 @@ def word_features(words: list[bytes]) -> WordFeatures:
                 fits = room >= i + 1
                 grams.append(_two_buckets(rolled[fits], NGRAM_BUCKETS))
                 owners.append(owner[fits])
-        if len(words):
-            place = np.arange(len(padded)) - np.repeat(ends - lengths, lengths)
-            salted = (padded + np.uint32(1)) * (place.astype(np.uint32) * np.uint32(2654435761) + np.uint32(0x9E3779B1))
-            salted = (salted ^ salted >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-            word = np.add.reduceat(salted, ends - lengths, dtype=np.uint32)
-        word = _two_buckets(word, WORD_BUCKETS)
     owners, grams = np.concatenate(owners), np.concatenate(grams, axis=1)
     order = np.argsort(owners, kind="stable")
-    return WordFeatures(word, grams[:, order], np.bincount(owners, minlength=len(words)))
+    return WordFeatures(word_buckets(words), grams[:, order], np.bincount(owners, minlength=len(words)))
+
+
+def word_buckets(words: list[bytes]) -> np.ndarray:
+    """The two buckets of every word, without its n-grams."""
+    if not words:
+        return np.zeros((2, 0), np.int64)
+    padded, lengths = _padded(words)
+    starts = np.cumsum(lengths) - lengths
+    with np.errstate(over="ignore"):
+        place = np.arange(len(padded)) - np.repeat(starts, lengths)
+        salted = (padded + np.uint32(1)) * (place.astype(np.uint32) * np.uint32(2654435761) + np.uint32(0x9E3779B1))
+        salted = (salted ^ salted >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+        return _two_buckets(np.add.reduceat(salted, starts, dtype=np.uint32), WORD_BUCKETS)
+
+
+def features_in_turn(words: list[bytes]) -> Iterator[tuple[slice, WordFeatures]]:
+    """The features of ``WORDS`` words at a time: a word has some dozens of n-grams, and a block very many words."""
+    for k in range(0, len(words), WORDS):
+        yield slice(k, k + WORDS), word_features(words[k : k + WORDS])
+
+
+def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all words with their ends, and how many each word has."""
+    padded = np.frombuffer(b"".join(b"^" + w + b"$$$" for w in words), np.uint8).astype(np.uint32)
+    return padded, np.fromiter(map(len, words), np.int64, len(words)) + 4
 
 
 def _two_buckets(hashed: np.ndarray, buckets: int) -> np.ndarray:
@@ -147,7 +166,7 @@ class ToxicityModel:
         out = np.zeros(len(texts))
         if not len(at):
             return out
-        x = np.concatenate((self.inputs(word_features(words)), np.zeros((1, 3 + 2 * WIDTH), np.float32)))
+        x = np.concatenate([*(self.inputs(f) for _, f in features_in_turn(words)), np.zeros((1, 3 + 2 * WIDTH), np.float32)])
         projected = {d: x @ self.params[f"x{d}"] + self.params[f"c{d}"] for d in "fb"}
         begins, owner = window_starts(counts)
         limit = np.cumsum(counts)
@@ -177,6 +196,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+                give_back()
 
 
 @dataclass
@@ -208,6 +228,23 @@ class FeatureCounts:
         return np.array(out, np.float32)
 
 
+def word_uses(words: list[bytes], at: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per label and word: the documents that have it, and the marks (one of 64 bits each) of the words before it."""
+    times, around = np.zeros((2, len(words)), np.int32), np.zeros((2, len(words)), np.uint64)
+    buckets, owner = word_buckets(words)[1], np.repeat(np.arange(len(toxic)), sizes)
+    for label in (0, 1):
+        own = np.flatnonzero(toxic[owner] == label)
+        if not len(own):
+            continue
+        once = np.unique(owner[own] * np.int64(len(words)) + at[own]) % len(words)
+        times[label] = np.bincount(once, minlength=len(words))
+        before = np.where((own > 0) & (owner[own - 1] == owner[own]), buckets[at[own - 1]], 1) % 64
+        pairs = np.unique(at[own] * 64 + before)
+        first = np.flatnonzero(np.diff(pairs // 64, prepend=-1))
+        around[label, pairs[first] // 64] = np.bitwise_or.reduceat(np.uint64(1) << (pairs % 64).astype(np.uint64), first)
+    return times, around
+
+
 def count_features(labelled: DataFrame) -> FeatureCounts:
     """Counted over the whole texts of all labelled rows; the driver gets one row per bucket.
 
@@ -217,27 +254,24 @@ def count_features(labelled: DataFrame) -> FeatureCounts:
     width = WORD_BUCKETS + NGRAM_BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         counts, marks, any_rows = np.zeros((2, 2, width + 1), np.int32), np.zeros((2, width + 1), np.uint64), False
         for batch in _pieces(batches):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             words, at, sizes = split_words(utf8(batch.column("text")))
-            f, any_rows = word_features(words), True
-            owner = np.repeat(np.arange(len(toxic)), sizes)
+            any_rows = True
             for label in (0, 1):
                 counts[0, label, width] += (toxic == label).sum()
-                own = np.flatnonzero(toxic[owner] == label)
-                if not len(own):
-                    continue
-                word = np.unique(owner[own] * np.int64(len(words)) + at[own]) % len(words)  # of each document, once
-                times = np.bincount(word, minlength=len(words))
-                for k in range(2):
-                    counts[k, label, :WORD_BUCKETS] += np.bincount(f.word[k], times, WORD_BUCKETS).astype(np.int32)
-                    counts[k, label, WORD_BUCKETS:width] += np.bincount(f.grams[k], np.repeat(times, f.sizes), NGRAM_BUCKETS).astype(np.int32)
-                before = np.where((own > 0) & (owner[own - 1] == owner[own]), f.word[1][at[own - 1]], 1) % 64
-                around = np.unique(at[own] * 64 + before)
-                word, mark = around // 64, np.uint64(1) << (around % 64).astype(np.uint64)
-                np.bitwise_or.at(marks[label], f.word[0][word], mark)
-                np.bitwise_or.at(marks[label, WORD_BUCKETS:], f.grams[0][f.spread(word)], np.repeat(mark, f.sizes[word]))
+            times, around = word_uses(words, at, sizes, toxic)
+            for own, f in features_in_turn(words):
+                for label in np.flatnonzero(times[:, own].any(axis=1)).tolist():
+                    n, mark = times[label, own], around[label, own]
+                    of_grams = np.repeat(n, f.sizes)
+                    for k in range(2):
+                        np.add.at(counts[k, label], f.word[k], n)
+                        np.add.at(counts[k, label], WORD_BUCKETS + f.grams[k], of_grams)
+                    np.bitwise_or.at(marks[label], f.word[0], mark)
+                    np.bitwise_or.at(marks[label], WORD_BUCKETS + f.grams[0], np.repeat(mark, f.sizes))
         if any_rows:
             table = np.concatenate((counts.reshape(4, -1).astype("<i8"), marks.view("<i8")))
             yield _blobs(table, TaskContext.get().partitionId())
@@ -310,15 +344,17 @@ def choose_windows(sample: DataFrame, others: tuple[np.ndarray, np.ndarray]) ->
     odds = shared(sample.sparkSession, others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         odds_of = odds()
         for batch in _pieces(batches):
             labels, texts = batch.column("toxic").to_pylist(), utf8(batch.column("text"))
             words, at, sizes = split_words(texts)
             if not len(at):
                 continue
-            f = word_features(words)
-            starts = np.cumsum(f.sizes) - f.sizes
-            strengths = [w + np.maximum.reduceat(g, starts) for w, g in (evidence_of(o, f) for o in odds_of)]
+            strengths = np.zeros((2, len(words)), np.float32)
+            for own, f in features_in_turn(words):
+                starts = np.cumsum(f.sizes) - f.sizes
+                strengths[:, own] = [w + np.maximum.reduceat(g, starts) for w, g in (evidence_of(o, f) for o in odds_of)]
             out_labels, out_words, out_strength = [], [], []
             for label, own in zip(labels, np.split(at, np.cumsum(sizes)[:-1]), strict=True):
                 begins, _ = window_starts(np.array([len(own)]))
@@ -424,6 +460,7 @@ def predict(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD)
     fitted = shared(docs.sparkSession, model)  # as large as its hash buckets, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         model = fitted()
         for batch in _pieces(batches):
             score = model.score(utf8(batch.column("text")))
@@ -438,6 +475,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
     fitted = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         model = fitted()
         for batch in _pieces(batches):
             yield batch.filter(pa.array(model.score(utf8(batch.column("text"))) < threshold))
